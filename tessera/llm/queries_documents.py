@@ -14,6 +14,26 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ngram_join import similarity_join
+
+    members, _ = similarity_join(table(spark, sf_dir, "documents"))
+    return members.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "class_id")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_rules import judged
+
+    found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.exact_dedup import exact_groups
 
@@ -32,9 +52,62 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op5_sentencepiece": op5_sentencepiece, "op10_mixture": op10_mixture}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_toxicity": op2_toxicity, "op3_exact_dedup": op3_exact_dedup, "op4_quality_rules": op4_quality_rules, "op5_sentencepiece": op5_sentencepiece, "op10_mixture": op10_mixture}
+
+#: A binomial tail is summed from gamma functions, and the tests of a rule stop at the first failure, as in the operator.
+QUALITY_SQL = r"""
+WITH base AS (
+  SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT *, list_transform(range(1, greatest(len(words) - 4, 0) + 1), lambda i: array_to_string(words[i:i + 4], ' ')) AS w FROM base
+), spread AS (
+  SELECT doc_id, unnest(w) AS win, unnest(range(1, len(w) + 1)) AS i FROM windows
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM spread) WHERE c > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM repeated, (SELECT unnest([0, 1, 2, 3, 4]) AS j) GROUP BY doc_id
+), counts AS (
+  SELECT b.doc_id, b.lang, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(array_to_string(words, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+         len(lines)::BIGINT AS n_lines, len(regexp_extract_all(array_to_string(words, ''), '[A-Z]'))::BIGINT AS n_capitals
+  FROM base b LEFT JOIN covered c USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts
+), cutoffs AS (
+  SELECT 'symbols' AS rule, unnest([20, 15, 10, 8, 6, 5, 4, 3, 2, 1]) AS cutoff, unnest(range(10)) AS pos
+  UNION ALL SELECT 'dup_lines', unnest([60, 50, 40, 30, 20, 10]), unnest(range(6))
+  UNION ALL SELECT 'repeats', unnest([20, 15, 10, 5]), unnest(range(4))
+  UNION ALL SELECT 'capitals', unnest([60, 50, 40, 30, 20, 10]), unnest(range(6))
+), shares AS (
+  SELECT doc_id, lang, 'symbols' AS rule, n_symbols AS num, word_chars AS den FROM judged WHERE NOT base_failed
+  UNION ALL SELECT doc_id, lang, 'dup_lines', n_dup_lines, n_lines FROM judged WHERE NOT base_failed
+  UNION ALL SELECT doc_id, lang, 'repeats', n_repeat_words, n_words FROM judged WHERE NOT base_failed
+  UNION ALL SELECT doc_id, lang, 'capitals', n_capitals, word_chars FROM judged WHERE NOT base_failed
+), good AS (
+  SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+), trials AS (
+  SELECT lang, rule, pos, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND 100 * num > cutoff * den) AS k, count(*) FILTER (NOT good AND 100 * num > cutoff * den) AS bad
+  FROM shares JOIN good USING (doc_id) JOIN cutoffs USING (rule) GROUP BY ALL
+), tested AS (
+  SELECT *, k < n * 0.01 AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) <= 0.05 / (4 * (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM trials)) AS passed
+  FROM trials
+), stops AS (
+  SELECT lang, rule, coalesce(min(pos) FILTER (NOT passed), 1000) AS failed FROM tested GROUP BY ALL
+), chosen AS (
+  SELECT t.lang, t.rule, arg_max(t.cutoff, t.bad * 1000 - t.pos) AS cutoff
+  FROM tested t JOIN stops s ON t.rule = s.rule AND t.lang IS NOT DISTINCT FROM s.lang WHERE t.pos < s.failed AND t.bad > 0 GROUP BY ALL
+), rejected AS (
+  SELECT DISTINCT x.doc_id FROM shares x JOIN chosen c ON x.rule = c.rule AND x.lang IS NOT DISTINCT FROM c.lang WHERE 100 * num > cutoff * den
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM judged
+"""
 
 ORACLES = {
+    "op4_quality_rules": QUALITY_SQL,
     "op3_exact_dedup": """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
