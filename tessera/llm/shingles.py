@@ -39,11 +39,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of texts that lie end to end, and how many each text has."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts that lie end to end, and how many each text has.
+
+    With prefixes there is a column for the word and one for its first bytes, so many of each.
+    """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     word = ~space[data]
     border = np.zeros(n + 1, bool)
     border[offsets] = True
@@ -55,11 +58,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(LOWER[data] * _powers(_BASE, n), out=sums[1:])
     inverse = pow(_BASE, -1, 1 << 64)
-    hashes = (sums[stops] - sums[starts]) * _powers(inverse, n)[starts]
-    return mix(hashes + (stops - starts).astype(np.uint64)), np.diff(np.searchsorted(starts, offsets))
+    back = _powers(inverse, n)[starts]
+    counts = np.diff(np.searchsorted(starts, offsets))
+    words = mix((sums[stops] - sums[starts]) * back + (stops - starts).astype(np.uint64))
+    if not prefixes:
+        return words, counts
+    parts = [mix((sums[np.minimum(stops, starts + k)] - sums[starts]) * back + np.uint64(1_000_003 * k)) for k in prefixes]
+    return np.stack([words, *parts], 1), counts
 
 
-def _long(data: np.ndarray, space: np.ndarray) -> np.ndarray:
+def _long(data: np.ndarray, space: np.ndarray, prefixes: tuple[int, ...] = ()) -> np.ndarray:
     """The words of one long text, by pieces that end at white space, so that memory does not follow its length."""
     found, at = [], 0
     while at < len(data):
@@ -67,7 +75,7 @@ def _long(data: np.ndarray, space: np.ndarray) -> np.ndarray:
         while stop < len(data) and not space[data[stop]]:
             stop += 1
         piece = data[at:stop]
-        found.append(word_hashes(piece, np.array([0, len(piece)]), space)[0])
+        found.append(word_hashes(piece, np.array([0, len(piece)]), space, prefixes)[0])
         at = stop
     return np.concatenate(found)
 
@@ -92,7 +100,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return mix(out), many
 
 
-def each_text(column: pa.Array, space: np.ndarray = SPACE):
+def each_text(column: pa.Array, space: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()):
     """For some texts of the column at a time, their words' hashes and how many each has."""
     column = pc.fill_null(column, "")
     lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -104,10 +112,10 @@ def each_text(column: pa.Array, space: np.ndarray = SPACE):
         offsets = np.frombuffer(part.buffers()[1], width)[part.offset : part.offset + n + 1].astype(np.int64)
         data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         if n == 1 and len(data) > PIECE:
-            words = _long(data, space)
+            words = _long(data, space, prefixes)
             yield words, np.array([len(words)])
         else:
-            yield word_hashes(data, offsets - offsets[0], space)
+            yield word_hashes(data, offsets - offsets[0], space, prefixes)
         at += n
 
 
