@@ -17,11 +17,18 @@ depends on how good it is.
 
 Linking a group of n near copies needs no n^2 pairs. Exact copies (equal sets) are
 one class. Then, per prefix shingle, every document is paired with the least one
-that has it (a star); stars' pairs are verified and joined to components. What is
-left are the shingles whose documents lie in more than one component, and pairs of
-documents from different components are all formed, counted and verified there. A
-pair that is never formed is one whose ends are in one component already, so that
-the components are exact. Frequent shingles are salted in the stars, so that no
+that has it (a star), and the stars' likely pairs are verified and joined to
+components. What is left are the shingles whose documents lie in more than one
+component: pairs of documents from different components are formed there, and
+verified if they share enough. A pair that is never formed is one whose ends are in
+one component already, or too few of whose shingles can be shared, so that the
+components are exact.
+
+Enough is more than the smaller l: beyond their prefixes, two sets can share no more
+than the longer of their rests, so that of the overlap that the threshold asks for,
+what exceeds that rest must be shared in the prefixes. If that is k shingles, k - 1 of
+them come after the first, which must stand that far from the end of both prefixes;
+shingles that stand later form no pairs. Frequent shingles are salted in the stars, so that no
 task holds more than a bounded part of a posting list.
 
 Texts are moved for verification only, and only those that a fixed-size bitmap of
@@ -54,6 +61,8 @@ VERIFY_COST = 50.0
 BUCKET_BITS, HEAVY = 18, 65_536
 BUCKETS = 1 << BUCKET_BITS
 SALT_ROWS = 20_000
+#: Stars with this share of the shingles that a similar pair must share are verified.
+STAR_SHARE = 0.4
 BITMAP_BITS = 1 << 22
 
 
@@ -108,7 +117,7 @@ def prefix(own: np.ndarray, weight: np.ndarray, percent: int = PERCENT) -> tuple
 
 
 def postings(texts: DataFrame, heavy: dict[int, int], percent: int) -> DataFrame:
-    """A row for each prefix shingle: id, n, matches, token, salt (-1: the token has one group)."""
+    """A row for each prefix shingle: id, n, matches, place (in the prefix), token, salt (-1: the token has one group)."""
     places, excess = np.array(list(heavy), np.int64), np.array(list(heavy.values()), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +129,8 @@ def postings(texts: DataFrame, heavy: dict[int, int], percent: int) -> DataFrame
             def flush() -> pa.RecordBatch:
                 lengths = list(map(len, found))
                 at = np.repeat(np.arange(len(ids)), lengths)
-                arrays = [pa.array(ids, batch.column(0).type).take(pa.array(at)), pa.array(np.array(n)[at]), pa.array(np.array(matches, np.int32)[at]), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(salts))]
-                return pa.RecordBatch.from_arrays(arrays, names=["id", "n", "matches", "token", "salt"])
+                arrays = [pa.array(ids, batch.column(0).type).take(pa.array(at)), pa.array(np.array(n)[at]), pa.array(np.array(matches, np.int32)[at]), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lengths])), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(salts))]
+                return pa.RecordBatch.from_arrays(arrays, names=["id", "n", "matches", "place", "token", "salt"])
 
             held = 0
             for id_, own in zip(batch.column(0).to_pylist(), sets(batch.column(1))):
@@ -142,13 +151,20 @@ def postings(texts: DataFrame, heavy: dict[int, int], percent: int) -> DataFrame
             if found:
                 yield flush()
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n long, matches int, token long, salt int")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n long, matches int, place int, token long, salt int")
 
 
 def similar_size(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def asked(n: Column, matches: Column, m: Column, other: Column, percent: int) -> Column:
+    """How many prefix shingles a similar pair shares at least: sets of n and m, with their own demands."""
+    overlap = F.ceil((n + m) * percent / (100 + percent))
+    rest = F.greatest(F.ceil(n * percent / 100) - matches, F.ceil(m * percent / 100) - other)
+    return F.greatest(F.least(matches, other), overlap - rest)
+
+
 def through_bitmap(df: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of df whose id may be among ids, by a bitmap of BITMAP_BITS bits: rows of 4 KB, of a fixed number."""
     place = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS)) + 1
@@ -203,16 +219,19 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # stars: each document with the least of its shingle's group, each group's least with the shingle's
     rows = postings(texts, heavy, percent)
     own = Window.partitionBy("token", "salt")
-    met = rows.withColumns({"rep": F.min(F.struct("id", "n")).over(own), "last": F.max("id").over(own)})
-    met = written(met.where("salt >= 0 OR last <> rep.id").select("id", "n", "matches", "token", "salt", F.col("rep.id").alias("rep"), F.col("rep.n").alias("rep_n")), "postings")
-    groups = met.where("salt >= 0").groupBy("token", "rep", "rep_n").agg(F.count(F.lit(1)).alias("rows"))
-    tops = groups.groupBy("token").agg(F.min(F.struct("rep", "rep_n")).alias("top"))
-    upper = groups.join(tops, "token").select(F.col("rep").alias("id"), F.col("rep_n").alias("n"), F.col("top.rep").alias("rep"), F.col("top.rep_n").alias("rep_n"))
-    lower = met.select("id", "n", "rep", "rep_n")
-    stars = lower.unionByName(upper).where("id <> rep").where(similar_size(F.col("n"), F.col("rep_n"), percent)).groupBy("id", "rep").agg(F.count(F.lit(1)).alias("matches"))
-    stars = checkpoint(_by_class(stars.select(F.col("rep").alias("a"), F.col("id").alias("b"), "matches"), class_of).groupBy("a", "b").agg(F.max("matches").alias("matches")))
+    met = rows.withColumns({"rep": F.min(F.struct("id", "n", "matches")).over(own), "last": F.max("id").over(own)})
+    met = written(met.where("salt >= 0 OR last <> rep.id").select("id", "n", "matches", "place", "token", "salt", "rep"), "postings")
+    groups = met.where("salt >= 0").groupBy("token", "rep").agg(F.count(F.lit(1)).alias("rows"))
+    tops = groups.groupBy("token").agg(F.min("rep").alias("top"))
+    upper = groups.join(tops, "token").select("rep.id", "rep.n", "rep.matches", F.col("top").alias("rep"))
+    near = met.select("id", "n", "matches", "rep").unionByName(upper).where("id <> rep.id").where(similar_size(F.col("n"), F.col("rep.n"), percent))
+    stars = near.groupBy("id", "n", "matches", "rep").agg(F.count(F.lit(1)).alias("met"))
+    # a star's count leaves out shingles whose least document is another one, and so decides what is worth a try only
+    share = F.col("met") / asked(F.col("n"), F.col("matches"), F.col("rep.n"), F.col("rep.matches"), percent)
+    stars = _by_class(stars.select(F.col("rep.id").alias("a"), F.col("id").alias("b"), share.alias("share")).where(F.col("share") >= STAR_SHARE), class_of)
+    stars = checkpoint(stars.groupBy("a", "b").agg(F.max("share").alias("share")))
     # first the best star of each document, then the stars that still lie between components
-    best = checkpoint(stars.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b"))
+    best = checkpoint(stars.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a")).select("a", "b"))
     links = checkpoint(verified(best, texts, percent))
     roots = components(links)
     others = stars.join(best, ["a", "b"], "left_anti").select("a", "b")
@@ -222,14 +241,16 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links)
 
     # what lies between components: all pairs of a shingle's documents, a class once
-    mapped = met.select("id", "n", "matches", "token").join(class_of, "id", "left").select(F.coalesce("class_id", "id").alias("id"), "n", "matches", "token").distinct()
-    mapped = mapped.join(roots, "id", "left").select("id", "n", "matches", "token", F.coalesce("root", "id").alias("root"))
+    known = class_of.select("id", F.lit(True).alias("copy"), F.lit(None).cast(roots.schema["root"].dataType).alias("root")).unionByName(roots.select("id", F.lit(False).alias("copy"), "root"))
+    mapped = met.select("id", "n", "matches", "place", "token").join(known, "id", "left").where("copy IS NULL OR NOT copy")
+    mapped = written(mapped.select("id", "n", "matches", "place", "token", F.coalesce("root", "id").alias("root")), "mapped")
     open_tokens = mapped.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    still = written(mapped.join(open_tokens, "token", "left_semi"), "open")
-    left, right = (still.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "matches", "root")), "token") for side in "ab")
-    met_again = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & similar_size(F.col("n_a"), F.col("n_b"), percent))
-    counted = met_again.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first(F.least("matches_a", "matches_b")).alias("asked"))
-    rest = counted.where("met >= asked").select("a", "b").join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    still = mapped.join(open_tokens, "token", "left_semi")
+    left, right = (still.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "matches", "place", "root")), "token") for side in "ab")
+    enough = asked(F.col("n_a"), F.col("matches_a"), F.col("n_b"), F.col("matches_b"), percent)
+    early = [F.col(f"place_{x}") <= F.col(f"n_{x}") - F.ceil(F.col(f"n_{x}") * percent / 100) + F.col(f"matches_{x}") - enough for x in "ab"]
+    met_again = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & similar_size(F.col("n_a"), F.col("n_b"), percent) & early[0] & early[1])
+    rest = met_again.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = checkpoint(rest)
     if not rest.isEmpty():
         links = links.unionByName(checkpoint(verified(rest, texts, percent)))

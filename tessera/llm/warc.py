@@ -85,7 +85,7 @@ class Roller:
     def write(self, page: int | None, data: bytes) -> None:
         if self.out is None:
             self.temporary = f"{self.folder}/.tmp-{self.part:05d}-{self.sequence:05d}-{self.attempt}"
-            self.out, self.sum = self.fs.open_output_stream(self.temporary), hashlib.sha256()
+            self.out, self.sum = self.fs.open_output_stream(self.temporary, compression=None), hashlib.sha256()
             self.row = {"records": 0, "bytes": 0, "first_page": page}
         self.out.write(data)
         self.sum.update(data)
@@ -193,7 +193,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows, held, met = [], 0, 0
-                with files.open_input_stream(f"{top}/{name}") as stream:
+                with files.open_input_stream(f"{top}/{name}", compression=None) as stream:
                     for fields, block in records_of(stream):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         size = int(http.rpartition(b"Content-Length: ")[2])
