@@ -183,6 +183,6 @@ def mix(df: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents of the mix with their own columns: each as often as the words taken from it make up its size, rounded (0, 1 or 2 times)."""
-    copies = mix(df, id_col=id_col, **options).select(F.col(id_col).alias("__id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies")).where("__copies > 0").groupBy("__id").agg(F.max("__copies").alias("__copies"))
+    copies = mix(df, id_col=id_col, **options).select(F.col(id_col).alias("__id"), F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("__copies")).where("__copies > 0").groupBy("__id").agg(F.max("__copies").alias("__copies"))
     joined = df.join(copies, df[id_col].eqNullSafe(copies["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return joined.select(*(df[c] for c in df.columns))

@@ -67,19 +67,19 @@ WITH seen AS (
 ), s0 AS (
   SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(parent) AS parent FROM hosts, root GROUP BY suffix
 ), s1 AS (
-  SELECT 1 / coalesce(greatest(least((sum((bad - n * parent) ** 2 / (parent * (1 - parent))) - sum(n)) / nullif(sum(n * (n - 1)), 0), 0.9), 0.001), 0.9) - 1 AS prior FROM s0 WHERE n > 0
+  SELECT 1 / greatest(least(coalesce(avg(((bad - n * parent) ** 2 / (parent * (1 - parent)) - n) / (n * (n - 1))), 0.1), 0.9), 0.001) - 1 AS prior FROM s0 WHERE n > 1
 ), s2 AS (
   SELECT suffix, (bad + prior * parent) / (n + prior) AS mean FROM s0, s1
 ), d0 AS (
   SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS parent FROM hosts JOIN s2 USING (suffix) GROUP BY suffix, domain
 ), d1 AS (
-  SELECT 1 / coalesce(greatest(least((sum((bad - n * parent) ** 2 / (parent * (1 - parent))) - sum(n)) / nullif(sum(n * (n - 1)), 0), 0.9), 0.001), 0.9) - 1 AS prior FROM d0 WHERE n > 0
+  SELECT 1 / greatest(least(coalesce(avg(((bad - n * parent) ** 2 / (parent * (1 - parent)) - n) / (n * (n - 1))), 0.1), 0.9), 0.001) - 1 AS prior FROM d0 WHERE n > 1
 ), d2 AS (
   SELECT domain, (bad + prior * parent) / (n + prior) AS mean FROM d0, d1
 ), h0 AS (
   SELECT host, n, bad, mean AS parent FROM hosts JOIN d2 USING (domain)
 ), h1 AS (
-  SELECT 1 / coalesce(greatest(least((sum((bad - n * parent) ** 2 / (parent * (1 - parent))) - sum(n)) / nullif(sum(n * (n - 1)), 0), 0.9), 0.001), 0.9) - 1 AS prior FROM h0 WHERE n > 0
+  SELECT 1 / greatest(least(coalesce(avg(((bad - n * parent) ** 2 / (parent * (1 - parent)) - n) / (n * (n - 1))), 0.1), 0.9), 0.001) - 1 AS prior FROM h0 WHERE n > 1
 ), h2 AS (
   SELECT host, (bad + prior * parent) / (n + prior) AS mean, n + prior AS weight FROM h0, h1
 ), ruled AS (

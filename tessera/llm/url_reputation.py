@@ -4,7 +4,8 @@ Labelled pages count as good or bad outcomes of their host. A host's bad rate is
 shrunk towards its registered domain's, that towards its suffix's, and that towards
 the rate of all: at each level the prior is a beta distribution around the parent's
 posterior mean whose weight, in pages, comes from how much the level's nodes vary
-beyond binomial chance (moments of the beta-binomial). A host is blocked when the
+beyond binomial chance (moments of the beta-binomial, each node with two labelled
+pages or more counting once). A host is blocked when the
 lower posterior bound of its bad rate, mean - z sd, is above ``limit``, so that a
 few bad pages do not block a host and hosts without labels follow their domain.
 
@@ -69,9 +70,10 @@ def levels(host: Column, long_suffixes: tuple[str, ...] = ()) -> dict[str, Colum
 def _shrunk(nodes: DataFrame) -> DataFrame:
     """nodes(key, bad, n, parent mean) with the posterior ``mean`` and ``weight``."""
     spread = F.col("parent") * (1 - F.col("parent"))
-    moments = nodes.where((F.col("n") > 0) & (spread > 0)).agg(F.sum((F.col("bad") - F.col("n") * F.col("parent")) ** 2 / spread).alias("s"), F.sum("n").alias("n1"), F.sum(F.col("n") * (F.col("n") - 1)).alias("n2"))
-    beyond = F.greatest(F.least((F.col("s") - F.col("n1")) / F.nullif(F.col("n2"), F.lit(0)), F.lit(0.9)), F.lit(0.001))
-    prior = moments.select((1 / F.coalesce(beyond, F.lit(0.9)) - 1).alias("prior"))
+    n = F.col("n")
+    beyond = F.avg(((F.col("bad") - n * F.col("parent")) ** 2 / spread - n) / (n * (n - 1)))
+    beyond = F.greatest(F.least(F.coalesce(beyond, F.lit(0.1)), F.lit(0.9)), F.lit(0.001))
+    prior = nodes.where((n > 1) & (spread > 0)).agg(beyond.alias("rho")).select((1 / F.col("rho") - 1).alias("prior"))
     return nodes.crossJoin(F.broadcast(prior)).withColumns({"mean": (F.col("bad") + F.col("prior") * F.col("parent")) / (F.col("n") + F.col("prior")), "weight": F.col("n") + F.col("prior")}).drop("prior")
 
 
