@@ -19,16 +19,15 @@ Linking a group of n near copies needs no n^2 pairs. Exact copies (equal sets) a
 one class. Then, per prefix shingle, every document is paired with the least one
 that has it (a star), and the stars' likely pairs are verified and joined to
 components. What is left are the shingles whose documents lie in more than one
-component: pairs of documents from different components are formed there, and
-verified if they share enough. A pair that is never formed is one whose ends are in
-one component already, or too few of whose shingles can be shared, so that the
-components are exact.
+component: all pairs of documents from different components are formed and counted
+there, and verified if they share enough. A pair that is never formed is one whose
+ends are in one component already, so that the components are exact.
 
 Enough is more than the smaller l: beyond their prefixes, two sets can share no more
 than the longer of their rests, so that of the overlap that the threshold asks for,
-what exceeds that rest must be shared in the prefixes. If that is k shingles, k - 1 of
-them come after the first, which must stand that far from the end of both prefixes;
-shingles that stand later form no pairs. Frequent shingles are salted in the stars, so that no
+what exceeds that rest must be shared in the prefixes. Then sketches of 512 bits, the
+parities of a set's shingles by hash, bound the overlap from above: each bit in which
+two sketches differ is a shingle that one of the sets has alone. Frequent shingles are salted in the stars, so that no
 task holds more than a bounded part of a posting list.
 
 Texts are moved for verification only, and only those that a fixed-size bitmap of
@@ -64,6 +63,7 @@ SALT_ROWS = 20_000
 #: Stars with this share of the shingles that a similar pair must share are verified.
 STAR_SHARE = 0.4
 BITMAP_BITS = 1 << 22
+SKETCH_BITS = 512
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -77,27 +77,34 @@ def bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """The parity of the set's shingles in each of SKETCH_BITS cells, 64 to an integer."""
+    odd = np.bincount((own & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def outline(texts: DataFrame) -> DataFrame:
-    """id, n, key (digest of the set); and rows without id: bucket (as id), excess (as n)."""
+    """id, n, key (digest of the set), sketch (parities); and rows of frequent buckets: bucket and its excess (as n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["id", "n", "key", "bucket"]
+        names = ["id", "n", "key", "sketch", "bucket"]
         for batch in batches:
-            n, keys = [], []
+            n, keys, sketches = [], [], []
             for own in sets(batch.column(1)):
                 n.append(len(own))
                 keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                sketches.append(parities(own))
                 np.add.at(counts, bucket(own), 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(n), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(len(n), pa.int64())], names=names)
         mean = counts.mean()
         high = np.flatnonzero(counts > mean + 6 * np.sqrt(mean) + 2)
         if len(high):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(high), texts_id), pa.array((counts[high] - mean).astype(np.int64)), pa.nulls(len(high), pa.binary()), pa.array(high)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(high), texts_id), pa.array((counts[high] - mean).astype(np.int64)), pa.nulls(len(high), pa.binary()), pa.nulls(len(high), pa.list_(pa.int64())), pa.array(high)], names=names)
 
     kind = texts.schema["id"].dataType
     texts_id = pa.int64() if isinstance(kind, T.LongType) else pa.int32()
-    return texts.mapInArrow(run, f"id {kind.simpleString()}, n long, key binary, bucket long")
+    return texts.mapInArrow(run, f"id {kind.simpleString()}, n long, key binary, sketch array<bigint>, bucket long")
 
 
 def prefix(own: np.ndarray, weight: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, int]:
@@ -117,7 +124,7 @@ def prefix(own: np.ndarray, weight: np.ndarray, percent: int = PERCENT) -> tuple
 
 
 def postings(texts: DataFrame, heavy: dict[int, int], percent: int) -> DataFrame:
-    """A row for each prefix shingle: id, n, matches, place (in the prefix), token, salt (-1: the token has one group)."""
+    """A row for each prefix shingle: id, n, matches, token, salt (-1: the token has one group)."""
     places, excess = np.array(list(heavy), np.int64), np.array(list(heavy.values()), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +136,8 @@ def postings(texts: DataFrame, heavy: dict[int, int], percent: int) -> DataFrame
             def flush() -> pa.RecordBatch:
                 lengths = list(map(len, found))
                 at = np.repeat(np.arange(len(ids)), lengths)
-                arrays = [pa.array(ids, batch.column(0).type).take(pa.array(at)), pa.array(np.array(n)[at]), pa.array(np.array(matches, np.int32)[at]), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lengths])), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(salts))]
-                return pa.RecordBatch.from_arrays(arrays, names=["id", "n", "matches", "place", "token", "salt"])
+                arrays = [pa.array(ids, batch.column(0).type).take(pa.array(at)), pa.array(np.array(n)[at]), pa.array(np.array(matches, np.int32)[at]), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(salts))]
+                return pa.RecordBatch.from_arrays(arrays, names=["id", "n", "matches", "token", "salt"])
 
             held = 0
             for id_, own in zip(batch.column(0).to_pylist(), sets(batch.column(1))):
@@ -151,7 +158,7 @@ def postings(texts: DataFrame, heavy: dict[int, int], percent: int) -> DataFrame
             if found:
                 yield flush()
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n long, matches int, place int, token long, salt int")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n long, matches int, token long, salt int")
 
 
 def similar_size(n: Column, m: Column, percent: int) -> Column:
@@ -209,18 +216,19 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = written(outline(texts), "outline")
-    documents = seen.where("bucket IS NULL").select("id", "n", "key")
+    documents = seen.where("bucket IS NULL").select("id", "n", "key", "sketch")
     heavy = {r["bucket"]: r["n"] for r in seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(HEAVY).collect()}
     classes = documents.where("id IS NOT NULL AND n > 0").groupBy("key", "n").agg(F.min("id").alias("class_id"))
-    members = documents.join(classes, ["key", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
+    members = documents.join(classes, ["key", "n"], "left").select("id", "n", "sketch", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
     members = written(members, "members")
     class_of = members.where("class_id <> id").select("id", "class_id").distinct()
+    sketches = members.where("class_id = id").select("id", "n", "sketch")
 
     # stars: each document with the least of its shingle's group, each group's least with the shingle's
     rows = postings(texts, heavy, percent)
     own = Window.partitionBy("token", "salt")
     met = rows.withColumns({"rep": F.min(F.struct("id", "n", "matches")).over(own), "last": F.max("id").over(own)})
-    met = written(met.where("salt >= 0 OR last <> rep.id").select("id", "n", "matches", "place", "token", "salt", "rep"), "postings")
+    met = written(met.where("salt >= 0 OR last <> rep.id").select("id", "n", "matches", "token", "salt", "rep"), "postings")
     groups = met.where("salt >= 0").groupBy("token", "rep").agg(F.count(F.lit(1)).alias("rows"))
     tops = groups.groupBy("token").agg(F.min("rep").alias("top"))
     upper = groups.join(tops, "token").select("rep.id", "rep.n", "rep.matches", F.col("top").alias("rep"))
@@ -232,25 +240,25 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = checkpoint(stars.groupBy("a", "b").agg(F.max("share").alias("share")))
     # first the best star of each document, then the stars that still lie between components
     best = checkpoint(stars.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a")).select("a", "b"))
-    links = checkpoint(verified(best, texts, percent))
+    links = checkpoint(verified(checkpoint(_plausible(best, sketches, percent)), texts, percent))
     roots = components(links)
     others = stars.join(best, ["a", "b"], "left_anti").select("a", "b")
-    others = checkpoint(_apart(others, roots).select("a", "b"))
+    others = checkpoint(_plausible(_apart(others, roots).select("a", "b"), sketches, percent))
     more = checkpoint(verified(others, texts, percent))
     links = links.unionByName(more)
     roots = components(links)
 
     # what lies between components: all pairs of a shingle's documents, a class once
     known = class_of.select("id", F.lit(True).alias("copy"), F.lit(None).cast(roots.schema["root"].dataType).alias("root")).unionByName(roots.select("id", F.lit(False).alias("copy"), "root"))
-    mapped = met.select("id", "n", "matches", "place", "token").join(known, "id", "left").where("copy IS NULL OR NOT copy")
-    mapped = written(mapped.select("id", "n", "matches", "place", "token", F.coalesce("root", "id").alias("root")), "mapped")
+    mapped = met.select("id", "n", "matches", "token").join(known, "id", "left").where("copy IS NULL OR NOT copy")
+    mapped = written(mapped.select("id", "n", "matches", "token", F.coalesce("root", "id").alias("root")), "mapped")
     open_tokens = mapped.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     still = mapped.join(open_tokens, "token", "left_semi")
-    left, right = (still.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "matches", "place", "root")), "token") for side in "ab")
+    left, right = (still.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "matches", "root")), "token") for side in "ab")
     enough = asked(F.col("n_a"), F.col("matches_a"), F.col("n_b"), F.col("matches_b"), percent)
-    early = [F.col(f"place_{x}") <= F.col(f"n_{x}") - F.ceil(F.col(f"n_{x}") * percent / 100) + F.col(f"matches_{x}") - enough for x in "ab"]
-    met_again = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & similar_size(F.col("n_a"), F.col("n_b"), percent) & early[0] & early[1])
-    rest = met_again.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    met_again = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & similar_size(F.col("n_a"), F.col("n_b"), percent))
+    counted = met_again.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(enough).alias("asked")).where("met >= asked").select("a", "b")
+    rest = _plausible(counted.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sketches, percent)
     rest = checkpoint(rest)
     if not rest.isEmpty():
         links = links.unionByName(checkpoint(verified(rest, texts, percent)))
@@ -268,6 +276,15 @@ def _by_class(pairs: DataFrame, class_of: DataFrame) -> DataFrame:
     return pairs.where("a <> b")
 
 
+def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches allow the overlap that is asked for."""
+    for side in "ab":
+        pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = F.floor((F.col("n_a") + F.col("n_b") - apart) / 2)
+    return pairs.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends are not in one component."""
     for side in "ab":
