@@ -27,9 +27,9 @@ raise an error.
 
 from __future__ import annotations
 
-import math
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import blocks_for, checkpoint, n_words
@@ -96,29 +96,31 @@ def positions(df: DataFrame, id_col: str, text_col: str, source_col: str, bucket
     return placed.join(sums, same).select("id", "source", "size", "bucket", "place", (F.col("ahead") + F.col("inside")).alias("start"))
 
 
-def slot_plan(spark: SparkSession, sources: list[Row], block_words: int, shard_slots: int, seed: int) -> DataFrame:
+def with_slots(sources: DataFrame, block_words: int) -> DataFrame:
+    """sources with the words to take, blocks and full blocks of an epoch, and slots."""
+    words = F.floor(F.col("target") + 0.5)
+    full = F.floor(F.col("source_size") / block_words)
+    per_epoch = F.ceil(F.col("source_size") / block_words)
+    epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0))
+    rest = words - epochs * F.col("source_size")
+    return sources.select("source", "source_size", "target", "rank", words.alias("words"), full.alias("full"), per_epoch.alias("blocks"), (epochs * per_epoch + F.ceil(rest / block_words)).alias("slots"))
+
+
+def slot_plan(sources: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
     """shard, slot, rank (of the source), epoch, block, words (from the block's start)."""
-    plan = []
-    for s in sources:
-        words = int(math.floor(s["target"] + 0.5))
-        epochs, rest = divmod(words, s["source_size"]) if s["source_size"] else (0, 0)
-        per_epoch = -(-s["source_size"] // block_words)
-        plan.append({"rank": s["rank"], "size": s["source_size"], "words": words, "blocks": per_epoch, "full": s["source_size"] // block_words, "slots": epochs * per_epoch + -(-rest // block_words)})
-    slots = sum(p["slots"] for p in plan)
-    schema = "rank long, size long, words long, blocks long, full long, slots long"
-    known = spark.createDataFrame([Row(**p) for p in plan], schema)
+    spark = sources.sparkSession
+    known = sources.select("rank", F.col("source_size").alias("size"), "words", "blocks", "full", "slots")
+    parts = [r["slots"] for r in known.select("rank", "slots").orderBy("rank").collect()]  # max_sources rows at most
+    slots = sum(parts)
     if not slots:
         return spark.sql("SELECT 0L shard, 0L slot, 0L rank, 0L epoch, 0L block, 0L words WHERE false")
-    share, shares = 0, []
-    for p in plan:
-        share += p["slots"]
-        shares.append(share / slots)
+    shares = [n / slots for n in accumulate(parts)]
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col("slot")), F.lit(1 << 53)) / F.lit(float(1 << 53))
     # the first source whose cumulative share is above the draw
     cumulative = F.array(*map(F.lit, shares))
     drawn = spark.range(slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / shard_slots).alias("shard")).withColumn("unit", unit)
     drawn = drawn.select("slot", "shard", F.size(F.filter(cumulative, lambda c: c <= F.col("unit"))).cast("long").alias("rank"))
-    drawn = drawn.withColumn("rank", F.least("rank", F.lit(len(plan) - 1).cast("long")))
+    drawn = drawn.withColumn("rank", F.least("rank", F.lit(len(parts) - 1).cast("long")))
     counts = drawn.groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
@@ -146,16 +148,15 @@ class Mixture:
     """A mix of one table: ``documents`` (a row each, with its size and its source's size and target) and ``segments`` (what each slot reads)."""
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 512, shard_slots: int = 4096, bucket_rows: int = 4096, seed: int = 7, max_sources: int = 10_000):
-        spark = df.sparkSession
         placed = checkpoint(positions(df, id_col, text_col, source_col, bucket_rows))
-        sources = with_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).limit(max_sources + 1).collect()
-        if len(sources) > max_sources:
+        sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
+        sources = checkpoint(with_slots(with_targets(sizes, weights, share, most), block_words))
+        if sources.count() > max_sources:
             raise ValueError(f"more than {max_sources} sources")
-        known = spark.createDataFrame(sources, "source string, source_size long, rank long, target double").withColumnsRenamed({"source": "s"})
         self.id_col = id_col
+        known = sources.select(F.col("source").alias("s"), "source_size", "rank", "target")
         self.documents = placed.join(F.broadcast(known), placed["source"].eqNullSafe(known["s"])).drop("s")
-        sources.sort(key=lambda s: s["rank"])
-        self.slots = slot_plan(spark, sources, block_words, shard_slots, seed)
+        self.slots = slot_plan(sources, block_words, shard_slots, seed)
         ends = F.floor((F.col("start") + F.col("size") - 1) / block_words)
         spread = self.documents.where("size > 0").select("rank", "id", "bucket", "place", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block_words), ends)).alias("block"))
         low = F.greatest(F.col("start"), F.col("block") * block_words)
