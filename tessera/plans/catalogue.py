@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import python, scalar
+from tessera.operators import aggregates, joins, windows
+from tessera.sources import formats
 from tessera.sources.tables import table
+from tessera.streaming import streams
 
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +31,8 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MODULES = (joins, aggregates, windows, scalar, python, formats, streams)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pricing_summary": pricing_summary}
 
 ORACLES: dict[str, str] = {
@@ -38,3 +44,6 @@ SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(s
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL
 """,
 }
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
