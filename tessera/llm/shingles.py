@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORDS = 5
-PIECE = 2_000_000
+PIECE = 500_000
 _BYTE = np.arange(256)
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint64) + np.uint64(1)
 SPACE = (_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13))
