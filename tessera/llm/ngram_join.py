@@ -25,9 +25,10 @@ ends are in one component already, so that the components are exact.
 
 Enough is more than the smaller l: beyond their prefixes, two sets can share no more
 than the longer of their rests, so that of the overlap that the threshold asks for,
-what exceeds that rest must be shared in the prefixes. Then sketches of 512 bits, the
-parities of a set's shingles by hash, bound the overlap from above: each bit in which
-two sketches differ is a shingle that one of the sets has alone. Frequent shingles are salted in the stars, so that no
+what exceeds that rest must be shared in the prefixes. And sketches, the parities of a
+set's shingles by hash, bound the overlap from above, as each bit in which two sketches
+differ is a shingle that one of the sets has alone: 256 bits where pairs are formed,
+512 before they are verified. Frequent shingles are salted in the stars, so that no
 task holds more than a bounded part of a posting list.
 
 Texts are moved for verification only, and only those that a fixed-size bitmap of
@@ -64,6 +65,8 @@ SALT_ROWS = 20_000
 STAR_SHARE = 0.4
 BITMAP_BITS = 1 << 22
 SKETCH_BITS = 512
+#: A shorter sketch, of this many integers, goes with the shingles: the two halves of the longer one by exclusive or.
+SHORT = SKETCH_BITS // 128
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -172,6 +175,11 @@ def asked(n: Column, matches: Column, m: Column, other: Column, percent: int) ->
     return F.greatest(F.least(matches, other), overlap - rest)
 
 
+def overlap_allows(n: Column, m: Column, apart: Column, percent: int) -> Column:
+    """Whether sets of n and m whose sketches differ in so many bits can be similar."""
+    return (100 + percent) * F.floor((n + m - apart) / 2) >= percent * (n + m)
+
+
 def through_bitmap(df: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of df whose id may be among ids, by a bitmap of BITMAP_BITS bits: rows of 4 KB, of a fixed number."""
     place = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS)) + 1
@@ -249,14 +257,18 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links)
 
     # what lies between components: all pairs of a shingle's documents, a class once
-    known = class_of.select("id", F.lit(True).alias("copy"), F.lit(None).cast(roots.schema["root"].dataType).alias("root")).unionByName(roots.select("id", F.lit(False).alias("copy"), "root"))
-    mapped = met.select("id", "n", "matches", "token").join(known, "id", "left").where("copy IS NULL OR NOT copy")
-    mapped = written(mapped.select("id", "n", "matches", "token", F.coalesce("root", "id").alias("root")), "mapped")
+    short = [F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch", F.lit(k + SHORT))).alias(f"s{k}") for k in range(SHORT)]
+    classes = sketches.select("id", *short).dropDuplicates(["id"]).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    names = ("id", "n", "matches", "root", *(f"s{k}" for k in range(SHORT)))
+    mapped = written(met.select("id", "n", "matches", "token").join(classes, "id").select("token", *names), "mapped")
     open_tokens = mapped.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     still = mapped.join(open_tokens, "token", "left_semi")
-    left, right = (still.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "matches", "root")), "token") for side in "ab")
-    enough = asked(F.col("n_a"), F.col("matches_a"), F.col("n_b"), F.col("matches_b"), percent)
-    met_again = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & similar_size(F.col("n_a"), F.col("n_b"), percent))
+    left, right = (still.select(*(F.col(c).alias(f"{c}_{side}") for c in names), "token") for side in "ab")
+    n, m = F.col("n_a"), F.col("n_b")
+    enough = asked(n, F.col("matches_a"), m, F.col("matches_b"), percent)
+    apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SHORT)), F.lit(0))
+    likely = similar_size(n, m, percent) & overlap_allows(n, m, apart, percent)
+    met_again = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & likely)
     counted = met_again.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(enough).alias("asked")).where("met >= asked").select("a", "b")
     rest = _plausible(counted.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sketches, percent)
     rest = checkpoint(rest)
@@ -281,8 +293,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     for side in "ab":
         pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
     apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    most = F.floor((F.col("n_a") + F.col("n_b") - apart) / 2)
-    return pairs.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return pairs.where(overlap_allows(F.col("n_a"), F.col("n_b"), apart, percent)).select("a", "b")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
