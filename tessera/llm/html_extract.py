@@ -8,15 +8,19 @@ vector and form an equivalence class. A class is valid if it has support on most
 pages and its tokens come in one order everywhere. The classes that occur once a
 page are merged to the template, of which a page's slots are the stretches between
 two template tokens; valid classes that lie within one slot throughout are nested in
-it as lists or optional parts. A slot is boilerplate if the path above it names a
-role (``nav``, ``footer``, class ``advert`` and the like) or if, outside of any
-article, the words that the template has in it are most of its text; the remaining
-slots are the main text: those in article elements where a page has them, else those
-in main elements, else all.
-
-The template decides about slots and never about single words in them: nothing of
-the text of a kept slot is dropped. Pages of blocks too small for a template are cut
-into slots by their own structural elements.
+it as lists or optional parts. As a word of the template may occur in a page's own
+text too, pairs of neighbouring words with one occurrence vector are the template's
+as well. The ends of slots are moved to those of blocks of text. A slot is
+boilerplate if the path above it names a role (``nav``, ``footer``, class ``advert``
+and the like) or if, outside of any article, the words that the template has in it are
+most of its text; the remaining slots are the main text: those in article elements
+where a page has them, else those in main elements, else all. Where nothing would
+remain, or in a main element that is the template's for NEAR_COPY of its words (near
+copies of one page), all of it stays.
+
+The template decides about blocks of text and never about single words in them:
+nothing of the text of a kept block is dropped. Copies of a page count once. Pages of
+blocks too small for a template are cut into slots by their own structural elements.
 
 A host's pages are spread over blocks by a hash of the page, so that a hot host is
 many blocks; html is shuffled once, and a task holds one block.
@@ -34,6 +38,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -61,6 +66,8 @@ NAMES = frozenset(
 ARTICLE_NAMES = frozenset("ad ads advert adverts advertisement sponsored related recommended comment comments disqus replies".split())
 ARTICLE_HEADS = frozenset("header masthead banner".split())
 LEAST_PAGES, MOST_HOSTS = 3, 100_000
+#: From this share of a main element's words on the template's words do not decide within it.
+NEAR_COPY = 0.8
 CONTENT = ("article", "main")
 
 
@@ -105,12 +112,13 @@ def parsed(source: str) -> tuple[list[tuple], list[Slot]]:
         return slots[-1]
 
     def text(piece: str) -> None:
-        if not piece or piece.isspace():
-            slot.part.append(" " if piece else "")
-            return
-        slot.part.append(piece)
+        slot.part.append(" " if piece.isspace() else piece)
+
+    def end_block() -> None:
+        n = len(slot.blocks)
+        slot.end_block()
         if slot.role != "article":
-            tokens.extend((slot.path, w, len(slots) - 1) for w in piece.split())
+            tokens.extend((slot.path, w, len(slots) - 1) for b in slot.blocks[n:] for w in b.split())
 
     at, skipped = 0, False
     for m in TOKEN.finditer(source):
@@ -125,7 +133,7 @@ def parsed(source: str) -> tuple[list[tuple], list[Slot]]:
             slot.part.append(" ")
         closing = source[m.start() + 1] == "/"
         if name in BLOCKS:
-            slot.end_block()
+            end_block()
             skipped = False
         if name not in STRUCTURE:  # a paragraph or list item that is named as boilerplate goes up to the next block
             if name in BLOCKS and not closing and m[3].strip():
@@ -145,8 +153,7 @@ def parsed(source: str) -> tuple[list[tuple], list[Slot]]:
         slot = open_slot()
     if not skipped:
         text(source[at:])
-    for s in slots:
-        s.end_block()
+    end_block()
     return tokens, slots
 
 
@@ -173,6 +180,26 @@ def ordered(members: set, pages: list[list[tuple]], support: list[int]) -> bool:
     return True
 
 
+def in_order(members: set, pages: list[list[tuple]], support: list[int]) -> set:
+    """Of members that occur once a page those that come in one order everywhere: page by page the longest run in the first one's order stays."""
+    place, members = None, set(members)
+    for i in support:
+        order = [(path, word) for path, word, _ in pages[i] if (path, word) in members]
+        if place is None:
+            place = {t: n for n, t in enumerate(order)}
+            continue
+        ends, last, before = [], [], []
+        for n, t in enumerate(order):
+            k = bisect_left(ends, place[t])
+            before.append(last[k - 1] if k else -1)
+            ends[k : k + 1], last[k : k + 1] = [place[t]], [n]
+        n, members = (last[-1] if last else -1), set()
+        while n >= 0:
+            members.add(order[n])
+            n = before[n]
+    return members
+
+
 def template(pages: list[list[tuple]]) -> tuple[set, list[set]]:
     """The template's tokens, and the valid classes that are nested within one slot throughout."""
     most = len(pages) / 2
@@ -182,11 +209,9 @@ def template(pages: list[list[tuple]]) -> tuple[set, list[set]]:
             continue
         support = [i for i, _ in vector]
         own = set(members)
-        if not ordered(own, pages, support):
-            continue
         if all(n == 1 for _, n in vector):
-            once |= own
-        else:
+            once |= in_order(own, pages, support)
+        elif ordered(own, pages, support):
             nested.append(own)
     kept = []
     for own in nested:  # within one slot: between the same template tokens on a page
@@ -204,40 +229,58 @@ def template(pages: list[list[tuple]]) -> tuple[set, list[set]]:
     return once, kept
 
 
-def constant_paths(pages: list[list[tuple]]) -> set:
-    """Paths outside of articles whose words are mostly the template's, on pages that differ elsewhere."""
-    once, nested = template(pages)
-    fixed = once.union(*nested) if nested else once
-    all_words, fixed_words = Counter(), Counter()
-    for tokens in pages:
-        for path, word, _ in tokens:
-            if word[0] != "<":
-                all_words[path] += 1
-                fixed_words[path] += (path, word) in fixed
-    return {path for path, n in all_words.items() if 2 * fixed_words[path] > n}
-
-
-def main_text(slots: list[Slot], constant: set) -> str:
-    kept = [s for s in slots if s.role != "boilerplate" and s.blocks]
-    for role in CONTENT:
-        if any(s.role == role for s in kept):
-            chosen = [s for s in kept if s.role == role and not (role != "article" and s.path in constant)]
-            break
-    else:
-        varying = [s for s in kept if s.path not in constant]
-        chosen = varying or kept
-    blocks = (" ".join(html.unescape(b).split()) for s in chosen for b in s.blocks)
+def pairs(block: str) -> list[str]:
+    """A block's pairs of neighbouring words, its ends included."""
+    words = ["", *block.split(), ""]
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def repeated(pages: list[list[tuple]]) -> set:
+    """The pairs (path, words) that occur equally often, and in one order, on most of the pages, LEAST_PAGES at least."""
+    found = set()
+    for vector, members in classes(pages).items():
+        if len(vector) < LEAST_PAGES or 2 * len(vector) <= len(pages) or any(n != vector[0][1] for _, n in vector):
+            continue
+        support, own = [i for i, _ in vector], set(members)
+        if vector[0][1] == 1:
+            found |= in_order(own, pages, support)
+        elif ordered(own, pages, support):
+            found |= own
+    return found
+
+
+def fixed_words(read: list[tuple[list[tuple], list[Slot]]]) -> list[list[list[int]]]:
+    """Per page, slot and block how many of the block's words are the template's: tokens of it, or in pairs of words that repeat."""
+    distinct = {tuple((p, w) for p, w, _ in tokens): (tokens, slots) for tokens, slots in read if tokens}
+    if len(distinct) < LEAST_PAGES:  # copies of one page say nothing about what varies
+        return [[[0] * len(s.blocks) for s in slots] for _, slots in read]
+    once, nested = template([tokens for tokens, _ in distinct.values()])
+    single = once.union(*nested)
+    double = repeated([[(s.path, pair, i) for i, s in enumerate(slots) for b in s.blocks for pair in pairs(b)] for _, slots in distinct.values()])
+
+    def count(path: tuple, block: str) -> int:
+        known = [(path, pair) in double for pair in pairs(block)]
+        return sum(before or after or (path, word) in single for word, before, after in zip(block.split(), known, known[1:]))
+
+    return [[[count(s.path, b) for b in s.blocks] for s in slots] for _, slots in read]
+
+
+def main_text(slots: list[Slot], fixed: list[list[int]]) -> str:
+    kept = [(s, f) for s, f in zip(slots, fixed) if s.role != "boilerplate" and s.blocks]
+    role = next((r for r in CONTENT if any(s.role == r for s, _ in kept)), None)
+    judged = [(b, n, len(b.split())) for s, f in kept if role in (None, s.role) for b, n in zip(s.blocks, f)]
+    chosen = [b for b, n, words in judged if 2 * n <= words]
+    # all of it is the template's, or the page's main element is all but a copy of others: what is left is not the text
+    if not chosen or role == "article" or role and sum(n for _, n, _ in judged) >= NEAR_COPY * sum(words for *_, words in judged):
+        chosen = [b for b, *_ in judged]
+    blocks = (" ".join(html.unescape(b).split()) for b in chosen)
     return "\n\n".join(b for b in blocks if b)
 
 
 def extract(sources: list[str]) -> list[str]:
     """The main texts of pages of one host."""
     read = [parsed(s) for s in sources]
-    pages = [tokens for tokens, _ in read if tokens]
-    alike = len({tuple((p, w) for p, w, _ in tokens) for tokens in pages})
-    # copies of one page say nothing about what varies
-    constant = constant_paths(pages) if alike >= LEAST_PAGES and 2 * alike > len(pages) else set()
-    return [main_text(slots, constant) for _, slots in read]
+    return [main_text(slots, fixed) for (_, slots), fixed in zip(read, fixed_words(read))]
 
 
 def extracted(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block_pages: int = 32) -> DataFrame:

@@ -175,6 +175,28 @@ def test_copies_of_one_page_keep_their_text():
     assert html_extract.extract([source] * 10) == ["menu words\n\nthe only text"] * 10
 
 
+WORDS = [a + b for a in ("al", "be", "cor", "du", "em", "fi", "gon") for b in ("ta", "vo", "mer", "lis", "pun", "dra", "sek")]
+
+
+def test_near_copies_keep_their_text():
+    """Pages that differ in a word, or a short block, each: no text of main or of all containers is lost."""
+    text = " ".join(WORDS[:30])
+    for body in ("<main><p>{}</p></main>", "<main><p>{}</p><p>number {}</p></main>", "<div><p>{}</p></div>"):
+        pages = [(f"{text} n{i}", f"x{i}") for i in range(10)]
+        got = html_extract.extract([f"<body><div>menu of the site</div>{body.format(*p)}<div>legal words</div></body>" for p in pages])
+        assert all(p[0] in t for t, p in zip(got, pages))
+
+
+def test_sibling_containers_are_judged_apart():
+    """A long menu and a short text at one path: the menu goes, the text stays, whatever else varies."""
+    rng = random.Random(4)
+    menu = " ".join(f"Entry{i}" for i in range(40))
+    texts = [" ".join(rng.choice(WORDS) for _ in range(6)) for _ in range(20)]
+    more = [" ".join(rng.choice(WORDS) for _ in range(5)) for _ in range(20)]
+    got = html_extract.extract([f"<body><div>{menu}</div><div>{t}</div><section>{m}</section></body>" for t, m in zip(texts, more)])
+    assert got == [f"{t}\n\n{m}" for t, m in zip(texts, more)]
+
+
 def test_template_classes():
     pages = [html_extract.parsed(f"<body><div class=top>Site name</div><div><p>{w}</p></div></body>")[0] for w in ("a b", "c d", "e f g")]
     once, _ = html_extract.template(pages)
