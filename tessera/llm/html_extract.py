@@ -1,8 +1,8 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Pages of a host are compared in blocks of some ``block_pages`` pages. A page is a
-sequence of tokens: tags with their attributes that name a kind, and the words
-outside of article elements, each with the path of structural elements above it.
+sequence of tokens: tags with their attributes that name a kind, and the words, each
+with the path of structural elements above it.
 Tokens that occur equally often on every page of a block have the same occurrence
 vector and form an equivalence class. A class is valid if it has support on most
 pages and its tokens come in one order everywhere. The classes that occur once a
@@ -12,11 +12,12 @@ it as lists or optional parts. As a word of the template may occur in a page's o
 text too, pairs of neighbouring words with one occurrence vector are the template's
 as well. The ends of slots are moved to those of blocks of text. A slot is
 boilerplate if the path above it names a role (``nav``, ``footer``, class ``advert``
-and the like) or if, outside of any article, the words that the template has in it are
-most of its text; the remaining slots are the main text: those in article elements
-where a page has them, else those in main elements, else all. Where nothing would
-remain, or in a main element that is the template's for NEAR_COPY of its words (near
-copies of one page), all of it stays.
+and the like), if the words that the template has in it are most of its text, or if
+the element begins with a short text of the template that names boilerplate
+("Comments"); the remaining slots are the main text: those in article elements where
+a page has them, else those in main elements, else all. Where nothing would remain,
+or where articles or main elements are the template's for NEAR_COPY of a page's words
+in them (near copies of one page), all of it stays.
 
 The template decides about blocks of text and never about single words in them:
 nothing of the text of a kept block is dropped. Copies of a page count once. Pages of
@@ -66,7 +67,9 @@ NAMES = frozenset(
 ARTICLE_NAMES = frozenset("ad ads advert adverts advertisement sponsored related recommended comment comments disqus replies".split())
 ARTICLE_HEADS = frozenset("header masthead banner".split())
 LEAST_PAGES, MOST_HOSTS = 3, 100_000
-#: From this share of a main element's words on the template's words do not decide within it.
+#: Up to how many words a label of the template has.
+LABEL_WORDS = 4
+#: From this share of an article's or main element's words on the template's words do not decide within it.
 NEAR_COPY = 0.8
 CONTENT = ("article", "main")
 
@@ -76,6 +79,7 @@ class Slot:
 
     def __init__(self, path: tuple[str, ...], role: str):
         self.path, self.role, self.blocks, self.part = path, role, [], []
+        self.key = "/".join(path)  # a string keeps its hash
 
     def end_block(self) -> None:
         text = "".join(self.part)
@@ -100,7 +104,7 @@ def named(name: str, attributes: str, in_article: bool) -> tuple[str, bool]:
 
 
 def parsed(source: str) -> tuple[list[tuple], list[Slot]]:
-    """A page's tokens (path and tag, or path and word outside of articles; with the slot that they stand in) and its slots."""
+    """A page's tokens (path and tag, or path and word; with the slot that they stand in) and its slots."""
     stack: list[tuple[str, str, bool]] = []
     slot = Slot((), "")
     slots, tokens = [slot], []
@@ -117,8 +121,8 @@ def parsed(source: str) -> tuple[list[tuple], list[Slot]]:
     def end_block() -> None:
         n = len(slot.blocks)
         slot.end_block()
-        if slot.role != "article":
-            tokens.extend((slot.path, w, len(slots) - 1) for b in slot.blocks[n:] for w in b.split())
+        at = len(slots) - 1
+        tokens.extend([(slot.key, w, at) for b in slot.blocks[n:] for w in b.split()])
 
     at, skipped = 0, False
     for m in TOKEN.finditer(source):
@@ -143,11 +147,11 @@ def parsed(source: str) -> tuple[list[tuple], list[Slot]]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is None:
                 continue
-            tokens.append((tuple(t for _, t, _ in stack[:depth]), f"</{stack[depth][1]}>", len(slots) - 1))
+            tokens.append(("/".join([t for _, t, _ in stack[:depth]]), f"</{stack[depth][1]}>", len(slots) - 1))
             del stack[depth:]
         else:
             tag, boilerplate = named(name, m[3], any(n == "article" for n, *_ in stack))
-            tokens.append((tuple(t for _, t, _ in stack), f"<{tag}>", len(slots) - 1))
+            tokens.append(("/".join([t for _, t, _ in stack]), f"<{tag}>", len(slots) - 1))
             if not m[3].endswith("/"):
                 stack.append((name, tag, boilerplate))
         slot = open_slot()
@@ -157,12 +161,16 @@ def parsed(source: str) -> tuple[list[tuple], list[Slot]]:
     return tokens, slots
 
 
-def classes(pages: list[list[tuple]]) -> dict[tuple, list[tuple]]:
-    """Occurrence vector (as pairs of page and count) to the tokens (path, token) that share it."""
-    vectors: dict[tuple, list] = defaultdict(list)
-    for i, tokens in enumerate(pages):
-        for token, n in Counter((path, word) for path, word, _ in tokens).items():
-            vectors[token].append((i, n))
+def classes(pages: list[list[tuple]], least: int = 1) -> dict[tuple, list[tuple]]:
+    """Occurrence vector (as pairs of page and count) to the tokens (path, token) that share it; of tokens on ``least`` pages or more."""
+    counts = [Counter([t[:2] for t in tokens]) for tokens in pages]
+    support: Counter = Counter()
+    for c in counts:
+        support.update(c.keys())
+    vectors: dict[tuple, list] = {token: [] for token, n in support.items() if n >= least}
+    for i, c in enumerate(counts):
+        for token in vectors.keys() & c.keys():
+            vectors[token].append((i, c[token]))
     found: dict[tuple, list[tuple]] = defaultdict(list)
     for token, vector in vectors.items():
         found[tuple(vector)].append(token)
@@ -204,12 +212,12 @@ def template(pages: list[list[tuple]]) -> tuple[set, list[set]]:
     """The template's tokens, and the valid classes that are nested within one slot throughout."""
     most = len(pages) / 2
     once, nested = set(), []
-    for vector, members in classes(pages).items():
-        if len(vector) <= most:
+    for vector, members in classes(pages, int(most) + 1).items():
+        if len(vector) <= most or any(n != vector[0][1] for _, n in vector):  # unequal numbers never come in one order
             continue
         support = [i for i, _ in vector]
         own = set(members)
-        if all(n == 1 for _, n in vector):
+        if vector[0][1] == 1:
             once |= in_order(own, pages, support)
         elif ordered(own, pages, support):
             nested.append(own)
@@ -229,49 +237,81 @@ def template(pages: list[list[tuple]]) -> tuple[set, list[set]]:
     return once, kept
 
 
-def pairs(block: str) -> list[str]:
+def pairs(block: str) -> list[tuple[str, str]]:
     """A block's pairs of neighbouring words, its ends included."""
     words = ["", *block.split(), ""]
-    return [f"{a} {b}" for a, b in zip(words, words[1:])]
-
-
-def repeated(pages: list[list[tuple]]) -> set:
-    """The pairs (path, words) that occur equally often, and in one order, on most of the pages, LEAST_PAGES at least."""
-    found = set()
-    for vector, members in classes(pages).items():
-        if len(vector) < LEAST_PAGES or 2 * len(vector) <= len(pages) or any(n != vector[0][1] for _, n in vector):
+    return list(zip(words, words[1:]))
+
+
+def repeated(pages: list[list[Slot]]) -> dict[str, set]:
+    """By path the pairs of words that occur equally often, and in one order, on most of the pages, LEAST_PAGES at least."""
+    least = max(LEAST_PAGES, len(pages) // 2 + 1)
+    read = [[(s.key, pairs(b)) for s in slots for b in s.blocks] for slots in pages]
+    support: dict[str, Counter] = defaultdict(Counter)
+    for blocks in read:
+        by_path: dict[str, set] = defaultdict(set)
+        for path, words in blocks:
+            by_path[path].update(words)
+        for path, words in by_path.items():
+            support[path].update(words)
+    often = {path: {w for w, n in c.items() if n >= least} for path, c in support.items()}
+    found: dict[str, set] = defaultdict(set)
+    tokens = [[(path, w, 0) for path, words in blocks if often[path] for w in words if w in often[path]] for blocks in read]
+    for vector, members in classes(tokens, least).items():
+        if any(n != vector[0][1] for _, n in vector):
             continue
-        support, own = [i for i, _ in vector], set(members)
-        if vector[0][1] == 1:
-            found |= in_order(own, pages, support)
-        elif ordered(own, pages, support):
-            found |= own
+        on, own = [i for i, _ in vector], set(members)
+        for path, w in in_order(own, tokens, on) if vector[0][1] == 1 else own if ordered(own, tokens, on) else ():
+            found[path].add(w)
     return found
 
 
 def fixed_words(read: list[tuple[list[tuple], list[Slot]]]) -> list[list[list[int]]]:
     """Per page, slot and block how many of the block's words are the template's: tokens of it, or in pairs of words that repeat."""
-    distinct = {tuple((p, w) for p, w, _ in tokens): (tokens, slots) for tokens, slots in read if tokens}
+    distinct = {tuple([t[1] for t in tokens]): (tokens, slots) for tokens, slots in read if tokens}  # tags make up the paths
     if len(distinct) < LEAST_PAGES:  # copies of one page say nothing about what varies
         return [[[0] * len(s.blocks) for s in slots] for _, slots in read]
     once, nested = template([tokens for tokens, _ in distinct.values()])
-    single = once.union(*nested)
-    double = repeated([[(s.path, pair, i) for i, s in enumerate(slots) for b in s.blocks for pair in pairs(b)] for _, slots in distinct.values()])
-
-    def count(path: tuple, block: str) -> int:
-        known = [(path, pair) in double for pair in pairs(block)]
-        return sum(before or after or (path, word) in single for word, before, after in zip(block.split(), known, known[1:]))
-
-    return [[[count(s.path, b) for b in s.blocks] for s in slots] for _, slots in read]
+    single: dict[str, set] = defaultdict(set)
+    for path, word in once.union(*nested):
+        single[path].add(word)
+    double = repeated([slots for _, slots in distinct.values()])
+
+    def count(slot: Slot, block: str) -> int:
+        # in an article a single word that occurs once a page is no evidence without its neighbours
+        alone = single.get(slot.key, ()) if slot.role != "article" else ()
+        both = double.get(slot.key, ())
+        if not alone and not both:
+            return 0
+        known = [pair in both for pair in pairs(block)]
+        return sum(before or after or word in alone for word, before, after in zip(block.split(), known, known[1:]))
+
+    return [[[count(s, b) for b in s.blocks] for s in slots] for _, slots in read]
+
+
+def labelled(slots: list[Slot], fixed: list[list[int]]) -> set[int]:
+    """The slots within elements that begin with a short block of the template that names boilerplate, such as a heading above readers' comments."""
+    found, depth = set(), None
+    for i, (slot, counts) in enumerate(zip(slots, fixed)):
+        if depth is not None and len(slot.path) < depth:
+            depth = None
+        if depth is None and slot.blocks and slot.path and slot.path[-1].split(".")[0] not in ("html", "body", *CONTENT):
+            words = slot.blocks[0].split()
+            if len(words) <= LABEL_WORDS and 2 * counts[0] > len(words) and not ARTICLE_NAMES.isdisjoint(WORD.findall(slot.blocks[0].lower())):
+                depth = len(slot.path)
+        if depth is not None:
+            found.add(i)
+    return found
 
 
 def main_text(slots: list[Slot], fixed: list[list[int]]) -> str:
-    kept = [(s, f) for s, f in zip(slots, fixed) if s.role != "boilerplate" and s.blocks]
-    role = next((r for r in CONTENT if any(s.role == r for s, _ in kept)), None)
-    judged = [(b, n, len(b.split())) for s, f in kept if role in (None, s.role) for b, n in zip(s.blocks, f)]
-    chosen = [b for b, n, words in judged if 2 * n <= words]
+    role = next((r for r in CONTENT if any(s.role == r and s.blocks for s in slots)), None)
+    below = labelled(slots, fixed)
+    kept = [(s, f, i in below) for i, (s, f) in enumerate(zip(slots, fixed)) if s.role != "boilerplate" and s.blocks]
+    judged = [(b, n, len(b.split()), label) for s, f, label in kept if role in (None, s.role) for b, n in zip(s.blocks, f)]
+    chosen = [b for b, n, words, label in judged if 2 * n <= words and not label]
     # all of it is the template's, or the page's main element is all but a copy of others: what is left is not the text
-    if not chosen or role == "article" or role and sum(n for _, n, _ in judged) >= NEAR_COPY * sum(words for *_, words in judged):
+    if not chosen or role and sum(n for _, n, *_ in judged) >= NEAR_COPY * sum(words for _, _, words, _ in judged):
         chosen = [b for b, *_ in judged]
     blocks = (" ".join(html.unescape(b).split()) for b in chosen)
     return "\n\n".join(b for b in blocks if b)

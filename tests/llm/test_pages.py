@@ -197,6 +197,27 @@ def test_sibling_containers_are_judged_apart():
     assert got == [f"{t}\n\n{m}" for t, m in zip(texts, more)]
 
 
+def test_template_text_goes_from_articles():
+    """Boxes, notices and sharing lines without a listed name, and comments below a heading of the template; the same words in a page's own text stay."""
+    rng = random.Random(5)
+
+    def prose(n):
+        return " ".join(rng.choice(WORDS) for _ in range(n))
+
+    sources, want = [], []
+    for i in range(24):
+        title, first, second = prose(5), prose(rng.randint(10, 40)) + (" Subscribe to our letter" if i % 3 == 0 else ""), prose(rng.randint(10, 40))
+        comments = "".join(f"<div><p>{prose(8)}</p></div>" for _ in range(rng.randint(1, 4)))
+        sources.append(f"<body><nav>menu</nav><article><h1>{title}</h1><p>{first}</p><div>Subscribe to our letter for news every week</div><p>{second}</p><p>Send this page to friends</p><div><h3>Comments</h3>{comments}</div></article></body>")
+        want.append("\n\n".join((title, first, second)))
+    assert html_extract.extract(sources) == want
+
+
+def test_near_copies_of_articles_keep_their_text():
+    text = " ".join(WORDS[:30])
+    assert html_extract.extract([f"<article><p>{text}</p><p>number {i}</p></article>" for i in range(10)]) == [f"{text}\n\nnumber {i}" for i in range(10)]
+
+
 def test_template_classes():
     pages = [html_extract.parsed(f"<body><div class=top>Site name</div><div><p>{w}</p></div></body>")[0] for w in ("a b", "c d", "e f g")]
     once, _ = html_extract.template(pages)
