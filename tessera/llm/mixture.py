@@ -32,9 +32,10 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks_for, checkpoint, n_words
+from tessera.llm.common import SPACE_CHARS, WORD, blocks_for, checkpoint, n_words
 
 WEIGHTS = (3, 1, 2)
+SPACE = r"\x20\x09-\x0D"
 
 
 def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -187,3 +188,29 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", **options) -> DataFra
     copies = mix(df, id_col=id_col, **options).select(F.col(id_col).alias("__id"), F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("__copies")).where("__copies > 0").groupBy("__id").agg(F.max("__copies").alias("__copies"))
     joined = df.join(copies, df[id_col].eqNullSafe(copies["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return joined.select(*(df[c] for c in df.columns))
+
+
+def mixed_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """What the mix's slots take, with the documents' own columns: a row for each stretch of a document that an epoch takes without a gap, whose text is that stretch.
+
+    Words and the white space between them are the document's; a document that is taken
+    whole keeps its text as it is. The words of a source add up to its target.
+    """
+    mixed = Mixture(df, id_col=id_col, text_col=text_col, **options)
+    key = ["rank", "bucket", "place"]
+    in_epoch = Window.partitionBy(*key, "epoch").orderBy("word_from")
+    gap = F.col("word_from") != F.lag(F.col("word_from") + F.col("n_words"), 1, -1).over(in_epoch)
+    runs = mixed.segments.select(*key, "epoch", "word_from", "n_words", gap.cast("int").alias("gap"))
+    runs = runs.withColumn("run", F.sum("gap").over(in_epoch)).groupBy(*key, "epoch", "run").agg(F.min("word_from").alias("word_from"), F.sum("n_words").alias("n_words"))
+    runs = runs.groupBy(*key).agg(F.collect_list(F.struct("epoch", "word_from", "n_words")).alias("__runs"))
+    # rows of equal id and size are told apart by their order: which of them stands where changes nothing of the sums
+    nth = F.row_number().over(Window.partitionBy("id", "size").orderBy("source", "bucket", "place"))
+    taken = mixed.documents.withColumn("__nth", nth).join(runs, key).select(F.col("id").alias("__id"), F.col("size").alias("__size"), "__nth", "__runs", F.col("source").alias("__source"))
+    size = n_words(F.col(text_col).cast("string"))
+    source = F.col(options.get("source_col", "source"))
+    numbered = df.withColumn("__n", size).withColumn("__k", F.row_number().over(Window.partitionBy(id_col, "__n").orderBy(source, text_col)))
+    joined = numbered.join(taken, numbered[id_col].eqNullSafe(taken["__id"]) & (F.col("__n") == F.col("__size")) & (F.col("__k") == F.col("__nth")))
+    words = F.array(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(f"{WORD}[{SPACE}]*"), F.lit(0)))
+    # the words are bound to a variable, so that a long document is split once
+    cut = F.flatten(F.transform(words, lambda w: F.transform("__runs", lambda r: F.when(r["n_words"] == F.col("__n"), F.col(text_col).cast("string")).otherwise(F.rtrim(F.array_join(F.slice(w, (r["word_from"] + 1).cast("int"), r["n_words"].cast("int")), ""), F.lit(SPACE_CHARS))))))
+    return joined.withColumn("__piece", F.explode(cut)).select(*(F.col("__piece").alias(c) if c == text_col else numbered[c] for c in df.columns))

@@ -316,6 +316,25 @@ def test_mixed_documents(docs):
     assert got == +Counter({r["doc_id"]: r["count"] * taken[r["doc_id"]] for r in copies})
 
 
+def test_mixed_pieces_meet_targets(spark, docs, empty):
+    """With a hot source of long documents, whose targets are far below their sizes, words kept are the targets; pieces are stretches of their documents."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(999)}{rng.choice(['', chr(10)])}" for _ in range(rng.randint(1500, 4000))), "en", "a_hot", 0) for i in range(40)]
+    rows += [(100 + i, " ".join(f"v{rng.randrange(999)}" for _ in range(rng.randint(20, 300))), "en", f"s{i % 20:02}", 0) for i in range(100)]
+    for df in (spark.createDataFrame(rows, SCHEMA), docs):
+        mixed = {r["source"]: r["target"] for r in mixture.mix(df).collect()}
+        found = mixture.mixed_pieces(df)
+        assert found.columns == df.columns
+        kept, texts = Counter(), defaultdict(list)
+        for r in df.collect():
+            texts[r["doc_id"]].append(r["text"] or "")
+        for r in found.collect():
+            kept[r["source"]] += len(WORD.findall(r["text"]))
+            assert any(r["text"] in t for t in texts[r["doc_id"]])
+        assert all(abs(kept[s] - t) <= 0.51 for s, t in mixed.items())
+    assert mixture.mixed_pieces(empty).count() == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(2000)]
