@@ -215,12 +215,14 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, all_links: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
     members has a row for each row of df: id, n (size of its set), class_id (least id
     with the same set; null for an empty one or a null id) and component_id. links(a, b)
-    are verified pairs of classes whose components are those of all pairs.
+    are verified pairs of classes whose components are those of all pairs; with
+    ``all_links`` they are all similar pairs of classes, a < b, whose number (and the
+    work) grows with the square of a group of different near copies.
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = written(outline(texts), "outline")
@@ -232,6 +234,14 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     class_of = members.where("class_id <> id").select("id", "class_id").distinct()
     sketches = members.where("class_id = id").select("id", "n", "sketch")
 
+    if all_links:
+        # no pair is left out for what others connect: each that meets often enough and that the sketches allow is verified
+        met = written(_shared_tokens(postings(texts, heavy, percent)), "postings")
+        whole = _by_short_sketch(sketches).withColumn("root", F.col("id"))
+        pairs = checkpoint(_plausible(_met_enough(met.join(whole, "id"), percent, F.lit(True)), sketches, percent))
+        links = checkpoint(verified(pairs, texts, percent))
+        return _named(members, components(links)), links
+
     # stars: each document with the least of its shingle's group, each group's least with the shingle's
     rows = postings(texts, heavy, percent)
     own = Window.partitionBy("token", "salt")
@@ -257,27 +267,53 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links)
 
     # what lies between components: all pairs of a shingle's documents, a class once
-    short = [F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch", F.lit(k + SHORT))).alias(f"s{k}") for k in range(SHORT)]
-    classes = sketches.select("id", *short).dropDuplicates(["id"]).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    classes = _by_short_sketch(sketches).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     names = ("id", "n", "matches", "root", *(f"s{k}" for k in range(SHORT)))
     mapped = written(met.select("id", "n", "matches", "token").join(classes, "id").select("token", *names), "mapped")
     open_tokens = mapped.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     still = mapped.join(open_tokens, "token", "left_semi")
-    left, right = (still.select(*(F.col(c).alias(f"{c}_{side}") for c in names), "token") for side in "ab")
-    n, m = F.col("n_a"), F.col("n_b")
-    enough = asked(n, F.col("matches_a"), m, F.col("matches_b"), percent)
-    apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SHORT)), F.lit(0))
-    likely = similar_size(n, m, percent) & overlap_allows(n, m, apart, percent)
-    met_again = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & likely)
-    counted = met_again.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(enough).alias("asked")).where("met >= asked").select("a", "b")
+    counted = _met_enough(still, percent, F.col("root_a") != F.col("root_b"))
     rest = _plausible(counted.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sketches, percent)
     rest = checkpoint(rest)
     if not rest.isEmpty():
         links = links.unionByName(checkpoint(verified(rest, texts, percent)))
         roots = components(links)
+    return _named(members, roots), links
+
+
+def link_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Per class of equal sets that links with another: class_id, n_rows (of the class) and n_links, the number of other classes whose sets are similar; exact."""
+    members, links = similarity_join(df, id_col, text_col, percent, all_links=True)
+    ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count(F.lit(1)).alias("n_rows")).join(ends, "class_id")
+
+
+def _shared_tokens(rows: DataFrame) -> DataFrame:
+    """The postings of shingles that more than one document has in its prefix."""
+    several = rows.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("token")
+    return rows.select("id", "n", "matches", "token").distinct().join(several, "token")
+
+
+def _by_short_sketch(sketches: DataFrame) -> DataFrame:
+    short = [F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch", F.lit(k + SHORT))).alias(f"s{k}") for k in range(SHORT)]
+    return sketches.select("id", *short).dropDuplicates(["id"])
+
+
+def _met_enough(rows: DataFrame, percent: int, which: Column) -> DataFrame:
+    """Pairs (a, b) of a shingle's documents that share as many prefix shingles as is asked for."""
+    names = ("id", "n", "matches", "root", *(f"s{k}" for k in range(SHORT)))
+    left, right = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in names), "token") for side in "ab")
+    n, m = F.col("n_a"), F.col("n_b")
+    enough = asked(n, F.col("matches_a"), m, F.col("matches_b"), percent)
+    apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SHORT)), F.lit(0))
+    likely = similar_size(n, m, percent) & overlap_allows(n, m, apart, percent)
+    met_again = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & which & likely)
+    return met_again.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(enough).alias("asked")).where("met >= asked").select("a", "b")
+
+
+def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
     named = members.join(roots.withColumnRenamed("id", "class_id"), "class_id", "left")
-    named = named.select("id", "n", "class_id", F.coalesce("root", "class_id", "id").alias("component_id"))
-    return named, links
+    return named.select("id", "n", "class_id", F.coalesce("root", "class_id", "id").alias("component_id"))
 
 
 def _by_class(pairs: DataFrame, class_of: DataFrame) -> DataFrame:

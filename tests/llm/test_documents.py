@@ -104,6 +104,24 @@ def test_ngram_join_with_frequencies(spark, docs, rows, monkeypatch, salt_rows,
     check_components(members, rows)
 
 
+def test_ngram_join_lists_all_links(docs, rows, empty):
+    """All similar pairs of different sets, within groups of near copies too, and their number by class."""
+    own = {i: frozenset(shingles(t)) for i, t, *_ in rows if i is not None}
+    least = {}
+    for i in sorted(own):
+        least.setdefault(own[i], i)
+    classes = sorted(i for s, i in least.items() if s)
+    want = {(a, b) for a in classes for b in classes if a < b and 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b])}
+    members, links = ngram_join.similarity_join(docs, all_links=True)
+    check_components(members, rows)
+    assert Counter(map(tuple, links.collect())) == Counter(want)
+    ends = Counter(i for pair in want for i in pair)
+    same = Counter(least[own[i]] for i, *_ in rows if i is not None)
+    assert {tuple(r) for r in ngram_join.link_counts(docs).collect()} == {(i, same[i], n) for i, n in ends.items()}
+    assert len(want) > ngram_join.similarity_join(docs)[1].count()
+    assert ngram_join.link_counts(empty).count() == 0
+
+
 def test_prefix_theorem():
     """Similar sets share as many prefix tokens as the smaller of their own demands."""
     import numpy as np
