@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: The word rule ``[^\x20\x09-\x0D]+`` in Java's, RE2's and Python's syntax alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,12 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder."""
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, batches of BATCH_BYTES go to Python workers: whole texts make large batches of few rows, which both sides of the pipe hold."""
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_SETTING)
+        else:
+            spark.conf.set(BATCH_SETTING, before)
+
+
+def checkpoint(df: DataFrame, most_parts: int | None = None) -> DataFrame:
+    """Cut the lineage through a reliable checkpoint in the shared folder, of so many files at most."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return (df.coalesce(most_parts) if most_parts else df).checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -1,7 +1,7 @@
 """Connected components of links, by alternating large-star and small-star steps.
 
 Links stay distributed: a step is a partial aggregate of each node's smallest
-neighbour and an equi-join, and its result is checkpointed. The steps halve the
+neighbour and an equi-join, and its result is checkpointed in partitions that follow the links' number. The steps halve the
 depth of every tree, so that the number of rounds grows with its logarithm.
 """
 
@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint
+from tessera.llm.common import blocks_for, checkpoint
+
+#: Links that a partition holds, about: few links make few files.
+EDGE_ROWS = 50_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,10 +36,11 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """links(a, b) to (id, root): every node of a link with the least node that it reaches."""
-    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    few = blocks_for(links.count(), EDGE_ROWS)
+    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), few)
     state = _state(edges)
     for _ in range(max_rounds):
-        edges = checkpoint(_small(_large(edges)))
+        edges = checkpoint(_small(_large(edges)), few)
         found = _state(edges)
         if found == state:
             roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import checkpoint, scratch
+from tessera.llm.common import blocks_for, checkpoint, scratch, small_batches
 from tessera.llm.components import components
 from tessera.llm.shingles import sets, shared
 
@@ -65,14 +65,17 @@ SALT_ROWS = 20_000
 STAR_SHARE = 0.4
 BITMAP_BITS = 1 << 22
 SKETCH_BITS = 512
-#: A shorter sketch, of this many integers, goes with the shingles: the two halves of the longer one by exclusive or.
-SHORT = SKETCH_BITS // 128
+#: Rounds of chance partners, each by several random orders, go on, up to ROUNDS, while this share of the tries are links; the exact rest follows in any case.
+ROUNDS, ORDERS, LEAST_YIELD = 4, 4, 0.1
+#: Pairs are kept in partitions of about this many documents' own, so that few files are written.
+PAIR_ROWS = 20_000
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """A table in the shared folder, which cuts the lineage in less space than a checkpoint."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -233,12 +236,13 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = written(members, "members")
     class_of = members.where("class_id <> id").select("id", "class_id").distinct()
     sketches = members.where("class_id = id").select("id", "n", "sketch")
+    few = blocks_for(sketches.count(), PAIR_ROWS)
 
     if all_links:
         # no pair is left out for what others connect: each that meets often enough and that the sketches allow is verified
         met = written(_shared_tokens(postings(texts, heavy, percent)), "postings")
-        whole = _by_short_sketch(sketches).withColumn("root", F.col("id"))
-        pairs = checkpoint(_plausible(_met_enough(met.join(whole, "id"), percent, F.lit(True)), sketches, percent))
+        whole = sketches.dropDuplicates(["id"]).select("id", "sketch", F.col("id").alias("root"))
+        pairs = checkpoint(_met_enough(met.join(whole, "id"), percent, F.lit(True)))
         links = checkpoint(verified(pairs, texts, percent))
         return _named(members, components(links)), links
 
@@ -255,26 +259,32 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a star's count leaves out shingles whose least document is another one, and so decides what is worth a try only
     share = F.col("met") / asked(F.col("n"), F.col("matches"), F.col("rep.n"), F.col("rep.matches"), percent)
     stars = _by_class(stars.select(F.col("rep.id").alias("a"), F.col("id").alias("b"), share.alias("share")).where(F.col("share") >= STAR_SHARE), class_of)
-    stars = checkpoint(stars.groupBy("a", "b").agg(F.max("share").alias("share")))
+    stars = checkpoint(stars.groupBy("a", "b").agg(F.max("share").alias("share")), few)
     # first the best star of each document, then the stars that still lie between components
-    best = checkpoint(stars.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a")).select("a", "b"))
-    links = checkpoint(verified(checkpoint(_plausible(best, sketches, percent)), texts, percent))
+    best = checkpoint(stars.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a")).select("a", "b"), few)
+    links = checkpoint(verified(checkpoint(_plausible(best, sketches, percent), few), texts, percent), few)
     roots = components(links)
     others = stars.join(best, ["a", "b"], "left_anti").select("a", "b")
-    others = checkpoint(_plausible(_apart(others, roots).select("a", "b"), sketches, percent))
-    more = checkpoint(verified(others, texts, percent))
+    others = checkpoint(_plausible(_apart(others, roots).select("a", "b"), sketches, percent), few)
+    more = checkpoint(verified(others, texts, percent), few)
     links = links.unionByName(more)
     roots = components(links)
 
-    # what lies between components: all pairs of a shingle's documents, a class once
-    classes = _by_short_sketch(sketches).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    names = ("id", "n", "matches", "root", *(f"s{k}" for k in range(SHORT)))
-    mapped = written(met.select("id", "n", "matches", "token").join(classes, "id").select("token", *names), "mapped")
-    open_tokens = mapped.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    still = mapped.join(open_tokens, "token", "left_semi")
-    counted = _met_enough(still, percent, F.col("root_a") != F.col("root_b"))
-    rest = _plausible(counted.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sketches, percent)
-    rest = checkpoint(rest)
+    # what lies between components: rounds of chance partners, then all pairs that are left
+    between = written(_between(met.select("id", "n", "matches", "token"), sketches, roots), "between")
+    for number in range(ROUNDS):
+        tries = checkpoint(_partners(between, number, percent), few)
+        found = checkpoint(verified(tries.select("a", "b"), texts, percent), few)
+        n_found = found.count()
+        links = links.unionByName(found)
+        if not n_found:
+            break
+        roots = checkpoint(_merged(roots, tries.join(found, ["a", "b"], "left_semi")), few)
+        if n_found < LEAST_YIELD * tries.count():  # the roots in between stay those of before, which forms a few pairs more
+            break
+        between = written(_between(between.select("id", "n", "matches", "token"), sketches, roots), "between")
+    counted = _met_enough(between, percent, F.col("root_a") != F.col("root_b"))
+    rest = checkpoint(counted.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionByName(checkpoint(verified(rest, texts, percent)))
         roots = components(links)
@@ -294,19 +304,55 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
     return rows.select("id", "n", "matches", "token").distinct().join(several, "token")
 
 
-def _by_short_sketch(sketches: DataFrame) -> DataFrame:
-    short = [F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch", F.lit(k + SHORT))).alias(f"s{k}") for k in range(SHORT)]
-    return sketches.select("id", *short).dropDuplicates(["id"])
+def _between(rows: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of the postings (id, n, matches, token) those of classes and of shingles whose documents lie in more than one component, with sketch, root, and into how many parts a round deals the shingle's documents."""
+    rooted = rows.join(sketches.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "id")
+    tokens = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high")
+    kept = rooted.join(tokens.select("token", (F.floor(F.col("rows") / SALT_ROWS) + 1).alias("parts")), "token")
+    return kept.join(sketches.select("id", "sketch").dropDuplicates(["id"]), "id").select("id", "n", "matches", "token", "root", "parts", "sketch")
+
+
+def _apart_bits(one: Column, two: Column) -> Column:
+    """In how many bits two sketches differ."""
+    return sum((F.bit_count(F.get(one, F.lit(k)).bitwiseXOR(F.get(two, F.lit(k)))) for k in range(SKETCH_BITS // 64)), F.lit(0))
+
+
+def _partners(rows: DataFrame, number: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with their roots: for each document and order one at most, with the closest by the sketches of those that stand before it in a random order of a shingle's documents, in another component."""
+    part = F.pmod(F.xxhash64(F.lit(number), "id"), F.col("parts"))
+    dealt = rows.select("id", "n", "sketch", "root", "token", part.alias("part"))
+    known = F.struct("id", "n", "sketch", "root")
+    own = Window.partitionBy("token", "part")
+    for order in range(ORDERS):
+        dealt = dealt.withColumn(f"other{order}", F.lag(known).over(own.orderBy(F.xxhash64(F.lit(number * ORDERS + order), "id"), "id")))
+
+    def best(order: int) -> Column:
+        other = F.col(f"other{order}")
+        apart = _apart_bits(F.col("sketch"), other["sketch"])
+        likely = (other["root"] != F.col("root")) & similar_size(F.col("n"), other["n"], percent) & overlap_allows(F.col("n"), other["n"], apart, percent)
+        return F.max(F.when(likely, F.struct((-apart / (F.col("n") + other["n"])).alias("close"), other["id"].alias("with"), "root", other["root"].alias("other_root"))))
+
+    found = dealt.groupBy("id").agg(*(best(order).alias(f"best{order}") for order in range(ORDERS)))
+    near = found.select("id", F.explode(F.array(*(f"best{order}" for order in range(ORDERS)))).alias("best")).where("best IS NOT NULL")
+    ends = near.select(F.least("id", "best.with").alias("a"), F.greatest("id", "best.with").alias("b"), F.least("best.root", "best.other_root").alias("low"), F.greatest("best.root", "best.other_root").alias("high"))
+    return ends.distinct()
+
+
+def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Components (id, root) after links between them: found(low, high) are the roots that each link joins."""
+    joined = components(found.select(F.col("low").alias("a"), F.col("high").alias("b"))).withColumnsRenamed({"id": "r", "root": "top"})
+    moved = roots.join(joined, roots["root"] == joined["r"], "left").select("id", F.coalesce("top", "root").alias("root"))
+    # components of one document have no row yet
+    return moved.unionByName(joined.join(roots, joined["r"] == roots["id"], "left_anti").select(F.col("r").alias("id"), F.col("top").alias("root")))
 
 
 def _met_enough(rows: DataFrame, percent: int, which: Column) -> DataFrame:
-    """Pairs (a, b) of a shingle's documents that share as many prefix shingles as is asked for."""
-    names = ("id", "n", "matches", "root", *(f"s{k}" for k in range(SHORT)))
+    """Pairs (a, b) of a shingle's documents that share as many prefix shingles as is asked for and whose sketches allow the overlap."""
+    names = ("id", "n", "matches", "root", "sketch")
     left, right = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in names), "token") for side in "ab")
     n, m = F.col("n_a"), F.col("n_b")
     enough = asked(n, F.col("matches_a"), m, F.col("matches_b"), percent)
-    apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SHORT)), F.lit(0))
-    likely = similar_size(n, m, percent) & overlap_allows(n, m, apart, percent)
+    likely = similar_size(n, m, percent) & overlap_allows(n, m, _apart_bits(F.col("sketch_a"), F.col("sketch_b")), percent)
     met_again = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & which & likely)
     return met_again.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(enough).alias("asked")).where("met >= asked").select("a", "b")
 
