@@ -146,6 +146,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with their own columns."""
-    groups = exact_groups(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept"))
-    return df.join(groups, df[id_col].eqNullSafe(groups["__kept"]), "left_semi")
+    """The rows that stay, with their own columns; of rows with one id each is judged by its own text."""
+    groups = exact_groups(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept"), F.col("text_sha256").alias("__digest"))
+    digest = F.sha2(F.encode(F.coalesce(df[text_col].cast("string"), F.lit("")), "UTF-8"), 256)
+    return df.join(groups, df[id_col].eqNullSafe(groups["__kept"]) & (digest == groups["__digest"]), "left_semi")

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WORD, checkpoint
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
+LIMIT, DELTA, MAX_STRATA = 0.04, 0.05, 10_000
 SYMBOLS = "[#*$%&|<>]"
 #: Rule: (numerator, denominator, cutoffs in percent from lenient to strict).
 RULES = {
@@ -144,15 +145,25 @@ def calibrated(labelled: DataFrame, limit: float, delta: float) -> DataFrame:
     rows = wide.select("stratum", "n", "strata", F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(at).alias("at"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k"), F.col(f"b{i}").alias("bad")) for i, (r, at, c) in enumerate(tests)))))
     passed = binomial_tail(F.col("k"), F.col("n"), limit / len(RULES)) <= delta / (F.col("strata") * len(RULES))
     # within a stratum and rule: tests before the first failure, of these the most bad documents, then the most lenient
-    lists = rows.withColumn("passed", passed).groupBy("stratum", "rule").agg(F.min(F.when(~F.col("passed"), F.col("at"))).alias("failed"), F.sort_array(F.collect_list(F.struct("at", "cutoff", "bad"))).alias("all"))
+    lists = rows.withColumn("passed", passed).groupBy("stratum", "n", "rule").agg(F.min(F.when(~F.col("passed"), F.col("at"))).alias("failed"), F.sort_array(F.collect_list(F.struct("at", "cutoff", "bad"))).alias("all"))
     certified = F.filter("all", lambda x: (x["at"] < F.coalesce(F.col("failed"), F.lit(1 << 30))) & (x["bad"] > 0))
-    chosen = lists.select("stratum", "rule", F.array_max(F.transform(certified, lambda x: F.struct(x["bad"], -x["at"], x["cutoff"].alias("cutoff"))))["cutoff"].alias("cutoff"))
-    return chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+    chosen = lists.select("stratum", "n", "rule", F.array_max(F.transform(certified, lambda x: F.struct(x["bad"], -x["at"], x["cutoff"].alias("cutoff"))))["cutoff"].alias("cutoff"))
+    return chosen.groupBy("stratum").agg(F.max("n").alias("n_good"), *(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
 
 
-def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", limit: float = 0.04, delta: float = 0.05, max_strata: int = 10_000) -> DataFrame:
-    """Per row: the id column, the columns of COUNTS, base_failed, the stratum's cutoffs and kept."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
+def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", limit: float = LIMIT, delta: float = DELTA, max_strata: int = MAX_STRATA) -> DataFrame:
+    """Per row: the id column, the columns of COUNTS, base_failed, the stratum's labelled good documents that pass the base rules and its cutoffs, and kept."""
+    found = _verdicts(df, labels, id_col, text_col, stratum_col, limit, delta, max_strata)
+    return found.select(F.col("id").alias(id_col), *COUNTS, "base_failed", "n_good", *(f"cut_{r}" for r in RULES), "kept")
+
+
+def _row_key(text: Column, stratum: Column) -> Column:
+    """What tells rows of one id apart: a verdict depends on the text and the stratum alone."""
+    return F.xxhash64(text.cast("string"), stratum)
+
+
+def _verdicts(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, limit: float, delta: float, max_strata: int) -> DataFrame:
+    rows = df.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"), _row_key(F.col(text_col), F.col(stratum_col)).alias("row_key"))
     rows = checkpoint(measured(rows).drop("text").withColumn("base_failed", base_failed()))
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg((F.max("quality") > 0).alias("good"))
     cutoffs = checkpoint(calibrated(rows.where(~F.col("base_failed")).join(good, "id"), limit, delta)).withColumnRenamed("stratum", "s")
@@ -162,10 +173,10 @@ def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(rejects(r, F.col(f"cut_{r}")), F.lit(False))
-    return found.select(F.col("id").alias(id_col), *COUNTS, "base_failed", *(f"cut_{r}" for r in RULES), (~(F.col("base_failed") | rejected)).alias("kept"))
+    return found.withColumn("kept", ~(F.col("base_failed") | rejected))
 
 
-def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows that the rules keep, with their own columns."""
-    kept = judged(df, labels, id_col, **options).where("kept").select(F.col(id_col).alias("__kept"))
-    return df.join(kept, df[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", limit: float = LIMIT, delta: float = DELTA, max_strata: int = MAX_STRATA) -> DataFrame:
+    """The rows that the rules keep, with their own columns; of rows with one id each is judged by its own text."""
+    kept = _verdicts(df, labels, id_col, text_col, stratum_col, limit, delta, max_strata).where("kept").select(F.col("id").alias("__kept"), F.col("row_key").alias("__key"))
+    return df.join(kept, df[id_col].eqNullSafe(kept["__kept"]) & (_row_key(df[text_col], df[stratum_col]) == kept["__key"]), "left_semi")
