@@ -31,7 +31,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_rules import judged
 
     found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_good", "cut_symbols", "cut_dup_lines", "cut_repeats", "cut_capitals", "kept")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +101,17 @@ WITH base AS (
 ), rejected AS (
   SELECT DISTINCT x.doc_id FROM shares x JOIN chosen c ON x.rule = c.rule AND x.lang IS NOT DISTINCT FROM c.lang WHERE 100 * num > cutoff * den
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
-FROM judged
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_good,
+       cut_symbols, cut_dup_lines, cut_repeats, cut_capitals, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM judged j
+LEFT JOIN (
+  SELECT lang, count(*) FILTER (good) AS n_good FROM judged JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang
+) s ON j.lang IS NOT DISTINCT FROM s.lang
+LEFT JOIN (
+  SELECT lang, max(cutoff) FILTER (rule = 'symbols') AS cut_symbols, max(cutoff) FILTER (rule = 'dup_lines') AS cut_dup_lines,
+         max(cutoff) FILTER (rule = 'repeats') AS cut_repeats, max(cutoff) FILTER (rule = 'capitals') AS cut_capitals
+  FROM chosen GROUP BY lang
+) c ON j.lang IS NOT DISTINCT FROM c.lang
 """
 
 ORACLES = {

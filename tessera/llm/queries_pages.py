@@ -13,7 +13,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.url_reputation import judged
 
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return judged(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+    return judged(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_rate_bound", 6).alias("bad_rate_bound"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ WITH seen AS (
 ), h2 AS (
   SELECT host, (bad + prior * parent) / (n + prior) AS mean, n + prior AS weight FROM h0, h1
 ), ruled AS (
-  SELECT s.*, mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) AS bound,
+  SELECT s.*, mean, mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) AS bound,
          CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
               WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
               WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
@@ -92,7 +92,8 @@ WITH seen AS (
 )
 SELECT page_id, host, path, rule,
        CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
-            ELSE CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END END AS verdict
+            ELSE CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END END AS verdict,
+       round(mean, 6) AS bad_rate, round(bound, 6) AS bad_rate_bound
 FROM ruled
 """,
     "op7_warc": """
