@@ -20,15 +20,12 @@ operations and every choice is a hash of indexes, so that reruns agree.
 
 Defined results: a null text has size 0; null sources are one source, the last in
 order; documents without words, and sources without words, take 0; rows with the
-same doc_id are rows of their own; an empty table gives no rows. The table of
-sources goes to the driver and into the plan: more than ``max_sources`` sources
-raise an error.
+same doc_id are rows of their own; an empty table gives no rows. The table of sources is
+broadcast up to ``broadcast_sources`` rows, and joined like any other beyond that.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +33,8 @@ from tessera.llm.common import SPACE_CHARS, WORD, blocks_for, checkpoint, n_word
 
 WEIGHTS = (3, 1, 2)
 SPACE = r"\x20\x09-\x0D"
+#: Slots that a task plans, more where that would make over MOST_PARTS tasks; cells that the range of draws is cut into, more where there are more sources.
+PLAN_SLOTS, MOST_PARTS, LEAST_CELLS = 16_384, 100_000, 4096
 
 
 def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -61,25 +60,25 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return ranked.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("weight"))).select("source", "source_size", "rank", "target")
 
 
-def permuted(index: Column, n: Column, key: Column, rounds: int = 4, walks: int = 64) -> Column:
-    """A pseudorandom permutation of 0..n-1: a Feistel network over the least even number of bits that holds n, walked until within range."""
-    half = F.greatest(F.ceil(F.length(F.bin(F.greatest(n - 1, F.lit(1)))) / 2), F.lit(1)).cast("int")
-    width = F.call_function("shiftleft", F.lit(1).cast("long"), half)
+def permuted(index: Column, n: Column, key: Column, rounds: int = 3, walks: int = 6) -> Column:
+    """A pseudorandom permutation of 0..n-1: a Feistel network over pairs below a and b, the least square or so that holds n, walked until within range."""
+    a = F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("long")
+    b = F.greatest(F.ceil(n / a), F.lit(1)).cast("long")
 
     def network(x: Column) -> Column:
         def swap(state: Column, round_: Column) -> Column:
-            mixed = F.pmod(F.xxhash64(state["r"], round_, key), width)
-            return F.struct(state["r"].alias("l"), state["l"].bitwiseXOR(mixed).alias("r"))
+            left = F.pmod(state["l"] + F.pmod(F.xxhash64(state["r"], round_, key), a), a)
+            return F.struct(left.alias("l"), F.pmod(state["r"] + F.pmod(F.xxhash64(left, round_, key, F.lit(1)), b), b).alias("r"))
 
-        begin = F.struct(F.call_function("shiftright", x, half).alias("l"), F.pmod(x, width).alias("r"))
+        begin = F.struct(F.floor(x / b).alias("l"), F.pmod(x, b).alias("r"))
         end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, swap)
-        return end["l"] * width + end["r"]
+        return end["l"] * b + end["r"]
+
+    def walk(x: Column, steps: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, lambda x, _: F.when(x < n, x).otherwise(network(x)))
 
-    first = network(index)
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), first, lambda x, _: F.when(x < n, x).otherwise(network(x)))
-    # not reached: a walk stays outside with a chance of 3/4 at most a step, so that 64 steps fail once in 10^8
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(walks * 16)), found, lambda x, _: F.when(x < n, x).otherwise(network(x)))
-    return F.when(found < n, found).otherwise(last)
+    # the pairs beyond n are fewer than a, and at most a third: a long walk is needed once in some thousand times and stays outside once in 10^30
+    return F.transform(F.array(walk(network(index), walks)), lambda x: F.when(x < n, x).otherwise(walk(x, 64)))[0]
 
 
 def positions(df: DataFrame, id_col: str, text_col: str, source_col: str, bucket_rows: int) -> DataFrame:
@@ -107,37 +106,39 @@ def with_slots(sources: DataFrame, block_words: int) -> DataFrame:
     return sources.select("source", "source_size", "target", "rank", words.alias("words"), full.alias("full"), per_epoch.alias("blocks"), (epochs * per_epoch + F.ceil(rest / block_words)).alias("slots"))
 
 
-def slot_plan(sources: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
-    """shard, slot, rank (of the source), epoch, block, words (from the block's start)."""
+def slot_plan(sources: DataFrame, block_words: int, shard_slots: int, seed: int, small: bool = True) -> DataFrame:
+    """shard, slot, rank (of the source), epoch, block, words (from the block's start). small: the table of sources may be broadcast."""
     spark = sources.sparkSession
+    held = F.broadcast if small else (lambda df: df)
     known = sources.select("rank", F.col("source_size").alias("size"), "words", "blocks", "full", "slots")
-    parts = [r["slots"] for r in known.select("rank", "slots").orderBy("rank").collect()]  # max_sources rows at most
-    slots = sum(parts)
+    slots = known.agg(F.sum("slots")).first()[0]
     if not slots:
         return spark.sql("SELECT 0L shard, 0L slot, 0L rank, 0L epoch, 0L block, 0L words WHERE false")
-    shares = [n / slots for n in accumulate(parts)]
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col("slot")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    # the first source whose cumulative share is above the draw
-    cumulative = F.array(*map(F.lit, shares))
-    drawn = spark.range(slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / shard_slots).alias("shard")).withColumn("unit", unit)
-    drawn = drawn.select("slot", "shard", F.size(F.filter(cumulative, lambda c: c <= F.col("unit"))).cast("long").alias("rank"))
-    drawn = drawn.withColumn("rank", F.least("rank", F.lit(len(parts) - 1).cast("long")))
+    # a draw is one of all slots; a source's slots are a range of draws, cut into cells for an equi-join
+    parts = blocks_for(slots, max(PLAN_SLOTS, slots // MOST_PARTS))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    width = blocks_for(slots, max(LEAST_CELLS, known.count()))
+    ranges = known.where("slots > 0").select("rank", "slots", F.coalesce(F.sum("slots").over(earlier), F.lit(0)).alias("low")).withColumn("high", F.col("low") + F.col("slots"))
+    cells = ranges.select("rank", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("cell"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(slots))
+    drawn = spark.range(0, slots, 1, parts).select(F.col("id").alias("slot"), F.floor(F.col("id") / shard_slots).alias("shard"), draw.alias("draw")).withColumn("cell", F.floor(F.col("draw") / width))
+    drawn = drawn.join(held(cells), "cell").where((F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high"))).select("slot", "shard", "rank")
     counts = drawn.groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     numbered = drawn.withColumn("inside", F.row_number().over(Window.partitionBy("shard", "rank").orderBy("slot")) - 1)
     numbered = numbered.join(counts.select("rank", "shard", "ahead"), ["rank", "shard"]).withColumn("r", F.col("ahead") + F.col("inside"))
-    # what a source drew beyond its slots goes, in order, to those that drew too few; one row a source, max_sources at most
+    # what a source drew beyond its slots goes, in order, to those that drew too few; one row a source
     totals = known.join(counts.groupBy("rank").agg(F.sum("n").alias("n")), "rank", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumns({"over": F.greatest(F.col("n") - F.col("slots"), F.lit(0)), "under": F.greatest(F.col("slots") - F.col("n"), F.lit(0))})
     totals = totals.withColumns({"over_ahead": F.coalesce(F.sum("over").over(earlier), F.lit(0)), "under_ahead": F.coalesce(F.sum("under").over(earlier), F.lit(0))})
-    numbered = numbered.join(F.broadcast(totals.select("rank", "slots", "over_ahead")), "rank")
+    numbered = numbered.join(held(totals.select("rank", "slots", "over_ahead")), "rank")
     own = numbered.where(F.col("r") < F.col("slots")).select("slot", "shard", "rank", "r")
     beyond = numbered.where(F.col("r") >= F.col("slots")).select("slot", "shard", (F.col("over_ahead") + F.col("r") - F.col("slots")).alias("e"))
-    takers = totals.where("under > 0").select("rank", "n", "under", "under_ahead")
-    handed = beyond.join(F.broadcast(takers), (F.col("e") >= F.col("under_ahead")) & (F.col("e") < F.col("under_ahead") + F.col("under"))).select("slot", "shard", "rank", (F.col("n") + F.col("e") - F.col("under_ahead")).alias("r"))
-    placed = own.unionByName(handed).join(F.broadcast(known), "rank")
+    takers = totals.where("under > 0").select("rank", "n", "under_ahead", F.explode(F.sequence(F.col("under_ahead"), F.col("under_ahead") + F.col("under") - 1)).alias("e"))
+    handed = beyond.join(takers, "e").select("slot", "shard", "rank", (F.col("n") + F.col("e") - F.col("under_ahead")).alias("r"))
+    # rows are a few numbers that each cost a walk: adaptive execution, which goes by bytes, would leave them to few tasks
+    placed = own.unionByName(handed).repartition(parts, "slot").join(held(known), "rank")
     epoch, index = F.floor(F.col("r") / F.col("blocks")), F.col("r") % F.col("blocks")
     block = F.when(index < F.col("full"), permuted(index, F.col("full"), F.xxhash64(F.lit(seed), F.col("rank"), epoch))).otherwise(index)
     done = epoch * F.col("size") + index * F.lit(block_words)
@@ -148,16 +149,15 @@ def slot_plan(sources: DataFrame, block_words: int, shard_slots: int, seed: int)
 class Mixture:
     """A mix of one table: ``documents`` (a row each, with its size and its source's size and target) and ``segments`` (what each slot reads)."""
 
-    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 512, shard_slots: int = 4096, bucket_rows: int = 4096, seed: int = 7, max_sources: int = 10_000):
+    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 512, shard_slots: int = 4096, bucket_rows: int = 4096, seed: int = 7, broadcast_sources: int = 10_000):
         placed = checkpoint(positions(df, id_col, text_col, source_col, bucket_rows))
         sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
         sources = checkpoint(with_slots(with_targets(sizes, weights, share, most), block_words))
-        if sources.count() > max_sources:
-            raise ValueError(f"more than {max_sources} sources")
+        small = sources.count() <= broadcast_sources
         self.id_col = id_col
         known = sources.select(F.col("source").alias("s"), "source_size", "rank", "target")
-        self.documents = placed.join(F.broadcast(known), placed["source"].eqNullSafe(known["s"])).drop("s")
-        self.slots = slot_plan(sources, block_words, shard_slots, seed)
+        self.documents = placed.join(F.broadcast(known) if small else known, placed["source"].eqNullSafe(known["s"])).drop("s")
+        self.slots = slot_plan(sources, block_words, shard_slots, seed, small)
         ends = F.floor((F.col("start") + F.col("size") - 1) / block_words)
         spread = self.documents.where("size > 0").select("rank", "id", "bucket", "place", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block_words), ends)).alias("block"))
         low = F.greatest(F.col("start"), F.col("block") * block_words)
