@@ -2,7 +2,9 @@
 
 Records are range-sorted by page id in one shuffle, which also brings each page the
 decision whether it repeats another one: a row without payload that sorts before
-the page. A task writes its range to files of ``roll_bytes`` compressed bytes (each
+the page. The ranges come from exact sums of bytes over buckets of equal width
+in page ids, not from samples, so that they are the same in every run; ids
+that crowd in one bucket stay in one task, which sorts with spilling. A task writes its range to files of ``roll_bytes`` compressed bytes (each
 record a gzip member with a fixed time stamp), under a name of its own attempt, and
 renames a file when it is complete; its row of the manifest is its result. The
 manifest is written by Spark's committer when all tasks have ended, and the reader
@@ -14,7 +16,8 @@ Payloads of ``least_bytes`` or more that are equal (SHA-256 and SHA-1 alike) are
 stored once, with the largest page id; the others become revisit records. A hot
 payload is one row of a partial aggregate and of a join that can be split.
 
-The reader streams record by record and verifies lengths and digests.
+The reader streams record by record and verifies lengths and digests; its tasks get
+the manifest's files by their number and bytes.
 
 Files go through Arrow's file systems, to the folder given, which must be one that
 all executors share (the query takes spark.checkpoint.dir).
@@ -36,12 +39,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint
+from tessera.llm.common import blocks_for, checkpoint, small_batches
 
 LEAST_BYTES, ROLL_BYTES = 1000, 16_000_000
+#: Buckets of page ids, the least and the most, and for a part; payload bytes that a task writes, more for large inputs; compressed bytes that a task reads where there are many files.
+LEAST_BUCKETS, MOST_BUCKETS, PART_BUCKETS = 4096, 65_536, 16
+PART_BYTES, MOST_PART_BYTES, PARTS, READ_BYTES = 8_000_000, 256_000_000, 4096, 64_000_000
+#: What a record has besides its payload, about.
+HEAD_BYTES = 600
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, records long, bytes long, sha256 string, first_page long, last_page long"
@@ -107,13 +115,33 @@ def _local(folder: str) -> str:
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
-def repeats(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """pages(page_id, payload) to (page_id, payload key, refers_to) of those that repeat another page's payload."""
-    small = checkpoint(pages.where(F.octet_length("payload") >= least_bytes).select("page_id", F.sha2("payload", 256).alias("key"), F.sha1("payload").alias("sha1")))
+def outline(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """pages(page_id, payload) to page_id, bytes, and the digests of payloads that may be stored once."""
+    large = F.octet_length("payload") >= least_bytes
+    return checkpoint(pages.select("page_id", F.octet_length("payload").alias("bytes"), F.when(large, F.sha2("payload", 256)).alias("key"), F.when(large, F.sha1("payload")).alias("sha1")))
+
+
+def repeats(outlined: DataFrame) -> DataFrame:
+    """(page_id, payload key, refers_to) of the pages that repeat another page's payload."""
+    small = outlined.where("key IS NOT NULL").select("page_id", "key", "sha1")
     kept = small.groupBy("key", "sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
     return small.join(kept, ["key", "sha1"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "key", "refers_to")
 
 
+def ranges(outlined: DataFrame) -> tuple[DataFrame, Column, int]:
+    """A table of buckets (bucket, part), the bucket of a page_id, and the number of parts: ranges of ids of about equal bytes."""
+    low, high, total = outlined.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("bytes") + HEAD_BYTES)).first()
+    low, high, total = low or 0, high or 0, total or 0
+    part_bytes = min(max(PART_BYTES, total // PARTS), MOST_PART_BYTES)
+    n_parts = total // part_bytes + 1
+    width = (high - low) // min(max(LEAST_BUCKETS, PART_BUCKETS * n_parts), MOST_BUCKETS) + 1
+    bucket = F.coalesce(F.expr(f"(cast(page_id AS decimal(38,0)) - {low}BD) div {width}BD"), F.lit(0)).cast("long")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # MOST_BUCKETS rows at most
+    sums = outlined.groupBy(bucket.alias("bucket")).agg(F.sum(F.col("bytes") + HEAD_BYTES).alias("bytes"))
+    parts = sums.select("bucket", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / part_bytes).cast("int").alias("part"))
+    return parts, bucket, n_parts
+
+
 def write(df: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Archive the rows of df below folder; the manifest."""
     spark = df.sparkSession
@@ -121,8 +149,12 @@ def write(df: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_bytes:
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     none = F.lit(None)
     stored = pages.select("page_id", F.lit(1).alias("kind"), "url", "payload", none.cast("string").alias("key"), none.cast("long").alias("refers_to"))
-    decided = repeats(pages, least_bytes).select("page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("binary").alias("payload"), "key", "refers_to").distinct()
-    ordered = stored.unionByName(decided).repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url", "payload")
+    outlined = outline(pages, least_bytes)
+    decided = repeats(outlined).select("page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("binary").alias("payload"), "key", "refers_to").distinct()
+    parts, bucket, n_parts = ranges(outlined)
+    dealt = stored.unionByName(decided).withColumn("bucket", bucket).join(F.broadcast(parts), "bucket")
+    columns = ("page_id", "kind", "url", "payload", "key", "refers_to")
+    ordered = dealt.select(*columns, "part").repartitionById(n_parts, "part").sortWithinPartitions("page_id", "kind", "url", "payload").select(*columns)
     file_system, top = pa.fs.FileSystem.from_uri(folder)
     file_system.create_dir(f"{top}/data")
 
@@ -147,7 +179,8 @@ def write(df: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_bytes:
         out.close()
         yield pa.RecordBatch.from_pylist(out.done, pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("first_page", pa.int64()), ("last_page", pa.int64())]))
 
-    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    with small_batches(spark):
+        ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -212,4 +245,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return manifest.repartition("file").mapInArrow(run, RECORDS)
+    files, size = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    # the rows are names: adaptive execution, which goes by their bytes, would leave all files to one task
+    tasks = max(blocks_for(size or 0, READ_BYTES), min(files, 4 * spark.sparkContext.defaultParallelism), 1)
+    return manifest.repartition(tasks, "file").mapInArrow(run, RECORDS)
