@@ -19,16 +19,18 @@ Linking a group of n near copies needs no n^2 pairs. Exact copies (equal sets) a
 one class. Then, per prefix shingle, every document is paired with the least one
 that has it (a star), and the stars' likely pairs are verified and joined to
 components. What is left are the shingles whose documents lie in more than one
-component: all pairs of documents from different components are formed and counted
-there, and verified if they share enough. A pair that is never formed is one whose
+component. There each document tries, in rounds, the closest by their sketches of a
+few chance partners from other components, which joins nearly all that links with
+many; a round has some pairs a document, whatever the group's size. Then all pairs of
+documents that still are in different components are formed and counted, and
+verified if they share enough. A pair that is never formed is one whose
 ends are in one component already, so that the components are exact.
 
 Enough is more than the smaller l: beyond their prefixes, two sets can share no more
 than the longer of their rests, so that of the overlap that the threshold asks for,
 what exceeds that rest must be shared in the prefixes. And sketches, the parities of a
 set's shingles by hash, bound the overlap from above, as each bit in which two sketches
-differ is a shingle that one of the sets has alone: 256 bits where pairs are formed,
-512 before they are verified. Frequent shingles are salted in the stars, so that no
+differ is a shingle that one of the sets has alone. Frequent shingles are salted in the stars, so that no
 task holds more than a bounded part of a posting list.
 
 Texts are moved for verification only, and only those that a fixed-size bitmap of
@@ -36,7 +38,8 @@ the candidates lets through.
 
 Defined results: null and empty texts have an empty set and link with nothing, and
 so do rows with a null doc_id; repeated rows are one document for the links and a
-row each in the result; other columns are ignored; an empty table gives no rows.
+row each in the result; rows with one doc_id and different texts are documents of
+their own, as are rows whose ids are no integers, and are told apart by a 64-bit hash; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -66,7 +69,9 @@ STAR_SHARE = 0.4
 BITMAP_BITS = 1 << 22
 SKETCH_BITS = 512
 #: Rounds of chance partners, each by several random orders, go on, up to ROUNDS, while this share of the tries are links; the exact rest follows in any case.
-ROUNDS, ORDERS, LEAST_YIELD = 4, 4, 0.1
+ROUNDS, ORDERS, LEAST_YIELD = 4, 2, 0.1
+#: Documents of a shingle that a round's task orders together, about: it bounds the memory of a frequent shingle.
+DEALT_ROWS = 1_000
 #: Pairs are kept in partitions of about this many documents' own, so that few files are written.
 PAIR_ROWS = 20_000
 
@@ -227,8 +232,43 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``all_links`` they are all similar pairs of classes, a < b, whose number (and the
     work) grows with the square of a group of different near copies.
     """
+    members, links, _ = _judged_rows(df, id_col, text_col, percent, all_links)
+    return members.select("id", "n", "class_id", "component_id"), links
+
+
+def _row(id_: Column, text: Column) -> Column:
+    """What stands for a row where ids do not: a hash of id and text; null for a null id."""
+    return F.when(id_.isNotNull(), F.xxhash64(id_, text.cast("string")))
+
+
+def _judged_rows(df: DataFrame, id_col: str, text_col: str, percent: int, all_links: bool = False) -> tuple[DataFrame, DataFrame, bool]:
+    """similarity_join's result, whose members also have ``row`` and ``stays`` (is the one that stays of its component), and whether rows are hashes.
+
+    Links join ids; where these are no integers, or stand for several sets, rows by _row instead.
+    """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = written(outline(texts), "outline")
+    if isinstance(texts.schema["id"].dataType, (T.LongType, T.IntegerType)):
+        seen = written(outline(texts), "outline")
+        several = seen.where("id IS NOT NULL").groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+        if several.isEmpty():
+            members, links = _joined(texts, seen, percent, all_links)
+            return members.select("*", F.col("id").alias("row"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("stays")), links, False
+    hashed = texts.select("id", "text", _row(F.col("id"), F.col("text")).alias("row"))
+    texts = hashed.select(F.col("row").alias("id"), "text")
+    members, links = _joined(texts, written(outline(texts), "outline"), percent, all_links)
+    known = hashed.where("row IS NOT NULL").groupBy("row").agg(F.min("id").alias("own"))
+    named = members.select(F.col("id").alias("row"), "n", F.col("class_id").alias("class_row"), F.col("component_id").alias("root")).join(known, "row", "left")
+    first = named.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("own", "row")).alias("first"))
+    same = named.where("class_row IS NOT NULL").groupBy("class_row").agg(F.min("own").alias("class_id"))
+    named = named.join(first, "root", "left").join(same, "class_row", "left")
+    named = named.select(F.col("own").alias("id"), "n", "class_id", F.col("first.own").alias("component_id"), "row", F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("stays"))
+    for side in "ab":
+        links = links.join(known.select(F.col("row").alias(side), F.col("own").alias(f"own_{side}")), side)
+    return named, links.select(F.least("own_a", "own_b").alias("a"), F.greatest("own_a", "own_b").alias("b")), True
+
+
+def _joined(texts: DataFrame, seen: DataFrame, percent: int, all_links: bool) -> tuple[DataFrame, DataFrame]:
+    """similarity_join of texts(id, text), whose ids are integers that stand for one set each, and their outline."""
     documents = seen.where("bucket IS NULL").select("id", "n", "key", "sketch")
     heavy = {r["bucket"]: r["n"] for r in seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(HEAVY).collect()}
     classes = documents.where("id IS NOT NULL AND n > 0").groupBy("key", "n").agg(F.min("id").alias("class_id"))
@@ -308,7 +348,7 @@ def _between(rows: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFram
     """Of the postings (id, n, matches, token) those of classes and of shingles whose documents lie in more than one component, with sketch, root, and into how many parts a round deals the shingle's documents."""
     rooted = rows.join(sketches.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "id")
     tokens = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high")
-    kept = rooted.join(tokens.select("token", (F.floor(F.col("rows") / SALT_ROWS) + 1).alias("parts")), "token")
+    kept = rooted.join(tokens.select("token", (F.floor(F.col("rows") / DEALT_ROWS) + 1).alias("parts")), "token")
     return kept.join(sketches.select("id", "sketch").dropDuplicates(["id"]), "id").select("id", "n", "matches", "token", "root", "parts", "sketch")
 
 
@@ -387,6 +427,9 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows with the least id of each component, and those that link with nothing, with their own columns."""
-    members, _ = similarity_join(df, id_col, text_col, percent)
-    dropped = members.where("id <> component_id").select(F.col("id").alias("__dropped"))
-    return df.join(dropped, df[id_col] == dropped["__dropped"], "left_anti")
+    members, _, hashed = _judged_rows(df, id_col, text_col, percent)
+    dropped = members.where("NOT stays").select(F.col("id").alias("__dropped"), F.col("row").alias("__row")).distinct()
+    same = df[id_col] == dropped["__dropped"]
+    if hashed:
+        same = same & (_row(df[id_col], df[text_col]) == dropped["__row"])
+    return df.join(dropped, same, "left_anti")

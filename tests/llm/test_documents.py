@@ -399,3 +399,82 @@ def test_toxicity_gradient():
     assert ((scores > 0.5) == labels).mean() > 0.95
     same = toxicity.Network.unpacked(net.packed())
     assert np.allclose(scores, same.scores(np.concatenate(texts), np.array([len(t) for t in texts])))
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    """keep_exact, keep_one and keep_good look at each row's own text."""
+    rng = random.Random(3)
+    x, y = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(30)) for c in "xy")
+    near = x.rsplit(" ", 1)[0] + " other"
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(1, x, "en"), (1, y, "en"), (5, y, "en")], schema)
+    assert Counter(map(tuple, exact_dedup.keep_exact(docs).select("doc_id", "text").collect())) == Counter([(1, x), (5, y)])
+    docs = spark.createDataFrame([(5, x, "en"), (5, y, "en"), (1, y, "en"), (7, near, "en")], schema)
+    assert Counter(map(tuple, ngram_join.keep_one(docs).select("doc_id", "text").collect())) == Counter([(5, x), (1, y)])
+    found = {(r["id"], r["n"], r["component_id"]) for r in ngram_join.similarity_join(docs)[0].collect()}
+    assert found == {(5, 26, 5), (5, 26, 1), (1, 26, 1), (7, 26, 5)}
+    docs = spark.createDataFrame([(1, x, "en"), (1, "too short", "en"), (1, x, None)], schema)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert Counter(map(tuple, quality_rules.keep_good(docs, labels).collect())) == Counter([(1, x, "en"), (1, x, None)])
+
+
+def test_ngram_join_with_names_for_ids(spark, rows):
+    named = spark.createDataFrame([(None if i is None else f"d{i:04}", t) for i, t, *_ in rows], "doc_id string, text string")
+    members, links = ngram_join.similarity_join(named)
+    want = brute_components({i: shingles(t) for i, t, *_ in rows if i is not None})
+    assert Counter((r["id"], r["n"], r["component_id"]) for r in members.collect()) == Counter((None if i is None else f"d{i:04}", len(shingles(t)), None if i is None else f"d{want[i]:04}") for i, t, *_ in rows)
+    assert links.count() > 0
+
+
+def near_copies(n, seed=1):
+    """Texts that differ from one base in so many words that most pairs are just below 75 %."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for k in range(6):
+            words[rng.randrange(200)] = f"c{i}x{k}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_ngram_join_forms_few_pairs_of_near_copies(spark, monkeypatch):
+    """Twice as many near copies just below the threshold do not make four times the pairs, and no link is lost."""
+    formed = []
+    real = ngram_join._met_enough
+
+    def counted(*args):
+        found = ngram_join.checkpoint(real(*args))
+        formed.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_met_enough", counted)
+    for n in (300, 600):
+        texts = near_copies(n)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["id"]: r["component_id"] for r in ngram_join.similarity_join(df)[0].collect()}
+        assert got == brute_components({i: shingles(t) for i, t in enumerate(texts)})
+    assert formed[1] <= 2.5 * formed[0] + 600
+
+
+def test_mixture_of_many_sources(spark):
+    """20,000 sources: targets are met to the word, by broadcast joins and by others alike."""
+    rows = [(i, " ".join(["w"] * (1 + i % 37)), f"s{i:05}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixture.mix(df).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"))
+    assert found.where("abs(taken - target) > 0.51").count() == 0 and found.count() == 20_000
+    few = df.where("doc_id < 40")
+    one, two = (Counter(map(tuple, mixture.mix(few, block_words=8, broadcast_sources=n).collect())) for n in (10_000, 1))
+    assert one == two
+
+
+def test_mixture_plans_slots_in_many_tasks(spark, docs):
+    parts = mixture.Mixture(docs, block_words=1).slots
+    assert parts.count() > 5_000
+    mixed = mixture.PLAN_SLOTS
+    try:
+        mixture.PLAN_SLOTS = 500
+        assert mixture.Mixture(docs, block_words=1).slots.rdd.getNumPartitions() >= 10
+    finally:
+        mixture.PLAN_SLOTS = mixed
