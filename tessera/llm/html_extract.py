@@ -26,11 +26,13 @@ blocks too small for a template are cut into slots by their own structural eleme
 A host's pages are spread over blocks by a hash of the page, so that a hot host is
 many blocks; html is shuffled once, and a task holds one block.
 
-Text: character references are decoded, white space within a block element, line
-breaks too, becomes one space, blocks are joined in page order by two line feeds.
+Text: character references are decoded, white space (Unicode's, so no-break spaces
+and line breaks too) within a block element becomes one space, blocks are joined in
+page order by two line feeds. Names in class, id and role mean boilerplate as wholes.
 
 Defined results: null html is empty and gives an empty text; unclosed elements end
-with the element above them; a document that is cut short counts up to its end; a
+with the element above them; a document that is cut short counts up to its end, and
+a tag that nothing closes is text; a page takes time in proportion to its length; a
 null url has the empty host; repeated pages are extracted alike, row by row; other
 columns are ignored; an empty table gives no rows.
 """
@@ -42,17 +44,25 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import checkpoint
 from tessera.llm.url_reputation import host_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg|math|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
+OPEN = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What follows a tag's name; no part of it is tried twice.
+REST = re.compile(r"""(?:"[^"]*+"|'[^']*+'|[^>"'])*+>""")
+#: Elements whose content is no text of the page.
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in "script style textarea title template iframe select".split()}
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
+NAME = re.compile(r"[^\s]+")
 #: Elements that open a path.
 STRUCTURE = frozenset("html body head main article section header footer nav aside div form table tbody thead tfoot tr td th ul ol dl figure fieldset details dialog menu button label".split())
 #: Elements that end a block of text.
@@ -63,6 +73,8 @@ BOILERPLATE = frozenset("head nav header footer aside form button label menu dia
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside related recommended cookie cookies consent gdpr notice banner popup modal overlay newsletter subscribe signup login social share sharing comment comments disqus replies widget pagination pager search skip toolbar".split()
 )
+#: Words that say nothing beside one of these ("share-box" is boilerplate, "share-price" is not).
+PLAIN = frozenset("area bar block bottom box button buttons container content form group icon icons inner left link links list main module outer page panel right section site slot small text title top unit wrap wrapper".split())
 #: Of these the ones that still mean boilerplate on an article element, and the ones that do not within one.
 ARTICLE_NAMES = frozenset("ad ads advert adverts advertisement sponsored related recommended comment comments disqus replies".split())
 ARTICLE_HEADS = frozenset("header masthead banner".split())
@@ -75,11 +87,10 @@ CONTENT = ("article", "main")
 
 
 class Slot:
-    """A stretch of a page below one path: its blocks of text."""
+    """A stretch of a page below one path: its blocks of text. ``key`` numbers the path, ``depth`` is its length and ``last`` its last tag."""
 
-    def __init__(self, path: tuple[str, ...], role: str):
-        self.path, self.role, self.blocks, self.part = path, role, [], []
-        self.key = "/".join(path)  # a string keeps its hash
+    def __init__(self, key: int, depth: int, last: str, role: str):
+        self.key, self.depth, self.last, self.role, self.blocks, self.part = key, depth, last, role, [], []
 
     def end_block(self) -> None:
         text = "".join(self.part)
@@ -88,9 +99,61 @@ class Slot:
         self.part = []
 
 
+class Open(NamedTuple):
+    """An open element: its tag, the path's number, and what it and those above it say."""
+
+    name: str
+    tag: str
+    key: int
+    boilerplate: bool
+    article: bool
+    main: bool
+
+    @property
+    def role(self) -> str:
+        return "boilerplate" if self.boilerplate else "article" if self.article else "main" if self.main else ""
+
+
+TOP = Open("", "", 0, False, False, False)
+
+
+def markup(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Begin, end, name, whether it closes, and attributes of each tag; without a name for comments, declarations and elements whose content is no text.
+
+    One pass: after the first tag that its quotes leave open, tags end at the next
+    ``>``, and where none follows the rest is text.
+    """
+    at, quotes = 0, True
+    while (begin := source.find("<", at)) >= 0:
+        at = begin + 1
+        if source.startswith("<!--", begin):
+            end = source.find("-->", begin + 2)
+            at = end + 3 if end >= 0 else len(source)
+            yield begin, at, "", False, ""
+        elif source.startswith(("<!", "<?"), begin):
+            at = source.find(">", begin) + 1
+            if not at:
+                return
+            yield begin, at, "", False, ""
+        elif m := OPEN.match(source, begin):
+            rest = REST.match(source, m.end()) if quotes else None
+            quotes = rest is not None
+            at = rest.end() if rest else source.find(">", m.end()) + 1
+            if not at:
+                return
+            name, closing = m[1].lower(), source[begin + 1] == "/"
+            if name in RAW and not closing:
+                close = RAW[name].search(source, at)
+                at = close.end() if close else len(source)
+                yield begin, at, "", False, ""
+            else:
+                yield begin, at, name, closing, source[m.end() : at - 1]
+
+
 def named(name: str, attributes: str, in_article: bool) -> tuple[str, bool]:
     """A tag's token, with the words of its class, id and role, and whether these or its name mean boilerplate."""
-    words = sorted({w for m in NAMED.finditer(attributes) for w in WORD.findall((m[2] or m[3] or m[4] or "").lower())}) if attributes.strip() else []
+    values = [(m[2] or m[3] or m[4] or "").lower() for m in NAMED.finditer(attributes)] if attributes.strip() else []
+    words = sorted({w for v in values for w in WORD.findall(v)})
     if name in ("html", "body", "main"):
         names: frozenset = frozenset()
     elif name == "article":
@@ -100,60 +163,66 @@ def named(name: str, attributes: str, in_article: bool) -> tuple[str, bool]:
     if in_article:
         names = names - ARTICLE_HEADS
     own = name in BOILERPLATE and not (in_article and name in ARTICLE_HEADS)
-    return f"{name}.{'.'.join(words)}" if words else name, own or not names.isdisjoint(words)
+    # a name counts as a whole: all its words are boilerplate's or say nothing, one at least the former
+    parts = [set(WORD.findall(n)) for v in values for n in NAME.findall(v)]
+    meant = any(not names.isdisjoint(p) and p <= names | PLAIN for p in parts)
+    return f"{name}.{'.'.join(words)}" if words else name, own or meant
 
 
-def parsed(source: str) -> tuple[list[tuple], list[Slot]]:
-    """A page's tokens (path and tag, or path and word; with the slot that they stand in) and its slots."""
-    stack: list[tuple[str, str, bool]] = []
-    slot = Slot((), "")
+def parsed(source: str, paths: dict[tuple[int, str], int] | None = None) -> tuple[list[tuple], list[Slot]]:
+    """A page's tokens (path and tag, or path and word) and its slots. Paths are numbered in ``paths``, by the path above and the tag."""
+    paths = {} if paths is None else paths
+    stack, open_names = [TOP], Counter()
+    slot = Slot(0, 0, "", "")
     slots, tokens = [slot], []
 
     def open_slot() -> Slot:
-        path = tuple(t for _, t, _ in stack)
-        role = "boilerplate" if any(b for *_, b in stack) else next((c for c in CONTENT if any(n == c for n, *_ in stack)), "")
-        slots.append(Slot(path, role))
+        top = stack[-1]
+        slots.append(Slot(top.key, len(stack) - 1, top.tag, top.role))
         return slots[-1]
 
     def text(piece: str) -> None:
         slot.part.append(" " if piece.isspace() else piece)
 
     def end_block() -> None:
+        if not slot.part:
+            return
         n = len(slot.blocks)
         slot.end_block()
-        at = len(slots) - 1
-        tokens.extend([(slot.key, w, at) for b in slot.blocks[n:] for w in b.split()])
+        if len(slot.blocks) > n:
+            tokens.extend(zip(repeat(slot.key), slot.blocks[n].split()))
 
     at, skipped = 0, False
-    for m in TOKEN.finditer(source):
+    for begin, end, name, closing, attributes in markup(source):
         if not skipped:
-            text(source[at : m.start()])
-        at = m.end()
-        name = m[2]
+            text(source[at:begin])
+        at = end
         if not name:
             continue
-        name = name.lower()
         if name == "br" and not skipped:
             slot.part.append(" ")
-        closing = source[m.start() + 1] == "/"
         if name in BLOCKS:
             end_block()
             skipped = False
         if name not in STRUCTURE:  # a paragraph or list item that is named as boilerplate goes up to the next block
-            if name in BLOCKS and not closing and m[3].strip():
-                skipped = named(name, m[3], slot.role == "article")[1]
+            if name in BLOCKS and not closing and attributes.strip():
+                skipped = named(name, attributes, slot.role == "article")[1]
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is None:
+            if not open_names[name]:
                 continue
-            tokens.append(("/".join([t for _, t, _ in stack[:depth]]), f"</{stack[depth][1]}>", len(slots) - 1))
-            del stack[depth:]
+            while (last := stack.pop()).name != name:
+                open_names[last.name] -= 1
+            open_names[name] -= 1
+            tokens.append((stack[-1].key, f"</{last.tag}>"))
         else:
-            tag, boilerplate = named(name, m[3], any(n == "article" for n, *_ in stack))
-            tokens.append(("/".join([t for _, t, _ in stack]), f"<{tag}>", len(slots) - 1))
-            if not m[3].endswith("/"):
-                stack.append((name, tag, boilerplate))
+            top = stack[-1]
+            tag, boilerplate = named(name, attributes, top.article)
+            tokens.append((top.key, f"<{tag}>"))
+            if not attributes.endswith("/"):
+                key = paths.setdefault((top.key, tag), len(paths) + 1)
+                stack.append(Open(name, tag, key, top.boilerplate or boilerplate, top.article or name == "article", top.main or name == "main"))
+                open_names[name] += 1
         slot = open_slot()
     if not skipped:
         text(source[at:])
@@ -163,7 +232,7 @@ def parsed(source: str) -> tuple[list[tuple], list[Slot]]:
 
 def classes(pages: list[list[tuple]], least: int = 1) -> dict[tuple, list[tuple]]:
     """Occurrence vector (as pairs of page and count) to the tokens (path, token) that share it; of tokens on ``least`` pages or more."""
-    counts = [Counter([t[:2] for t in tokens]) for tokens in pages]
+    counts = [Counter(tokens) for tokens in pages]
     support: Counter = Counter()
     for c in counts:
         support.update(c.keys())
@@ -181,7 +250,7 @@ def ordered(members: set, pages: list[list[tuple]], support: list[int]) -> bool:
     """Whether the members come in the same order on all pages that have them."""
     first = None
     for i in support:
-        order = [(path, word) for path, word, _ in pages[i] if (path, word) in members]
+        order = [t for t in pages[i] if t in members]
         first = order if first is None else first
         if order != first:
             return False
@@ -192,7 +261,7 @@ def in_order(members: set, pages: list[list[tuple]], support: list[int]) -> set:
     """Of members that occur once a page those that come in one order everywhere: page by page the longest run in the first one's order stays."""
     place, members = None, set(members)
     for i in support:
-        order = [(path, word) for path, word, _ in pages[i] if (path, word) in members]
+        order = [t for t in pages[i] if t in members]
         if place is None:
             place = {t: n for n, t in enumerate(order)}
             continue
@@ -226,10 +295,10 @@ def template(pages: list[list[tuple]]) -> tuple[set, list[set]]:
         within = True
         for tokens in pages:
             last, places = None, set()
-            for path, word, _ in tokens:
-                if (path, word) in once:
-                    last = (path, word)
-                elif (path, word) in own:
+            for token in tokens:
+                if token in once:
+                    last = token
+                elif token in own:
                     places.add(last)
             within &= len(places) <= 1
         if within:
@@ -243,20 +312,20 @@ def pairs(block: str) -> list[tuple[str, str]]:
     return list(zip(words, words[1:]))
 
 
-def repeated(pages: list[list[Slot]]) -> dict[str, set]:
+def repeated(pages: list[list[Slot]]) -> dict[int, set]:
     """By path the pairs of words that occur equally often, and in one order, on most of the pages, LEAST_PAGES at least."""
     least = max(LEAST_PAGES, len(pages) // 2 + 1)
     read = [[(s.key, pairs(b)) for s in slots for b in s.blocks] for slots in pages]
-    support: dict[str, Counter] = defaultdict(Counter)
+    support: dict[int, Counter] = defaultdict(Counter)
     for blocks in read:
-        by_path: dict[str, set] = defaultdict(set)
+        by_path: dict[int, set] = defaultdict(set)
         for path, words in blocks:
             by_path[path].update(words)
         for path, words in by_path.items():
             support[path].update(words)
     often = {path: {w for w, n in c.items() if n >= least} for path, c in support.items()}
-    found: dict[str, set] = defaultdict(set)
-    tokens = [[(path, w, 0) for path, words in blocks if often[path] for w in words if w in often[path]] for blocks in read]
+    found: dict[int, set] = defaultdict(set)
+    tokens = [[(path, w) for path, words in blocks if often[path] for w in words if w in often[path]] for blocks in read]
     for vector, members in classes(tokens, least).items():
         if any(n != vector[0][1] for _, n in vector):
             continue
@@ -272,7 +341,7 @@ def fixed_words(read: list[tuple[list[tuple], list[Slot]]]) -> list[list[list[in
     if len(distinct) < LEAST_PAGES:  # copies of one page say nothing about what varies
         return [[[0] * len(s.blocks) for s in slots] for _, slots in read]
     once, nested = template([tokens for tokens, _ in distinct.values()])
-    single: dict[str, set] = defaultdict(set)
+    single: dict[int, set] = defaultdict(set)
     for path, word in once.union(*nested):
         single[path].add(word)
     double = repeated([slots for _, slots in distinct.values()])
@@ -293,12 +362,12 @@ def labelled(slots: list[Slot], fixed: list[list[int]]) -> set[int]:
     """The slots within elements that begin with a short block of the template that names boilerplate, such as a heading above readers' comments."""
     found, depth = set(), None
     for i, (slot, counts) in enumerate(zip(slots, fixed)):
-        if depth is not None and len(slot.path) < depth:
+        if depth is not None and slot.depth < depth:
             depth = None
-        if depth is None and slot.blocks and slot.path and slot.path[-1].split(".")[0] not in ("html", "body", *CONTENT):
+        if depth is None and slot.blocks and slot.depth and slot.last.split(".")[0] not in ("html", "body", *CONTENT):
             words = slot.blocks[0].split()
             if len(words) <= LABEL_WORDS and 2 * counts[0] > len(words) and not ARTICLE_NAMES.isdisjoint(WORD.findall(slot.blocks[0].lower())):
-                depth = len(slot.path)
+                depth = slot.depth
         if depth is not None:
             found.add(i)
     return found
@@ -319,7 +388,8 @@ def main_text(slots: list[Slot], fixed: list[list[int]]) -> str:
 
 def extract(sources: list[str]) -> list[str]:
     """The main texts of pages of one host."""
-    read = [parsed(s) for s in sources]
+    paths: dict[tuple[int, str], int] = {}
+    read = [parsed(s, paths) for s in sources]
     return [main_text(slots, fixed) for (_, slots), fixed in zip(read, fixed_words(read))]
 
 
@@ -339,6 +409,6 @@ def extracted(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
         texts = extract([h for *_, h in rows])
         yield pa.RecordBatch.from_arrays([pa.array([i for i, *_ in rows], id_type), pa.array([u for _, u, _ in rows], pa.string()), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(df.schema[id_col].dataType)
     found = spread.groupBy("host", "block").applyInArrow(lambda t: pa.Table.from_batches(list(run(t.to_batches()))), f"id {kind}, url string, text string")
     return found.select(F.col("id").alias(id_col), "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -279,3 +279,136 @@ def test_worse(spark):
 def test_preferences_empty(spark):
     none = spark.createDataFrame([], TURNS)
     assert preferences.preference_pairs(none, preferences.worse(none)).count() == 0
+
+
+def test_template_equals_brute_force():
+    """The deduced classes against plain loops over all pairs of tokens and pages, on small page sets."""
+    rng = random.Random(11)
+    for _ in range(30):
+        menu = [rng.choice(WORDS) for _ in range(rng.randint(2, 6))]
+        sources = []
+        for _ in range(rng.randint(4, 7)):
+            items = "".join(f"<li>{rng.choice(WORDS)} more</li>" for _ in range(rng.choice([2, 2, 3])))
+            notice = "<div>one notice</div>" if rng.random() < 0.7 else ""
+            sources.append(f"<body><div>{' '.join(menu)}</div>{notice}<section><p>{' '.join(rng.choice(WORDS) for _ in range(8))}</p></section><ul>{items}</ul></body>")
+        paths = {}
+        pages = [html_extract.parsed(s, paths)[0] for s in sources]
+        once, nested = html_extract.template(pages)
+        vectors = {}
+        for token in {t for p in pages for t in p}:
+            vectors.setdefault(tuple(p.count(token) for p in pages), set()).add(token)
+        may, must, lists = set(), set(), []
+        for vector, members in vectors.items():
+            on = [p for p, n in zip(pages, vector) if n]
+            if 2 * len(on) <= len(pages) or len({n for n in vector if n}) > 1:
+                continue
+            same = len({tuple(t for t in p if t in members) for p in on}) == 1
+            if max(vector) == 1:
+                may |= members
+                must |= members if same else set()
+            elif same:
+                lists.append(members)
+        assert must <= once <= may
+
+        def places(p, members):
+            last, found = None, set()
+            for t in p:
+                last = t if t in once else last
+                if t in members:
+                    found.add(last)
+            return found
+
+        assert sorted(map(sorted, nested)) == sorted(sorted(m) for m in lists if all(len(places(p, m)) <= 1 for p in pages))
+
+
+def test_long_broken_markup_takes_linear_time():
+    """A megabyte of tags, quotes, comments or elements that nothing closes, for less than a second each (more on a busy machine)."""
+    import time
+
+    for piece in ("<a ", '<div class="', "<div>", "<!--", "<p>x</div>", "<script ", "<script>", "<![x", "</p", '<p title="a>b" ', "<a b='"):
+        began = time.time()
+        html_extract.extract([piece * (1_000_000 // len(piece))])
+        assert time.time() - began < 3, piece
+
+
+def test_no_text_of_articles_is_lost():
+    """Formulas, graphics and blocks whose names only contain a listed word stay; those named by it go."""
+    cases = {
+        "x <math><mi>y</mi></math> z": "x y z",
+        "a <svg><text>b</text></svg> c": "a b c",
+        "one<div class='share-price'>12 euros</div>": "one\n\n12 euros",
+        "one<div class='related-work'>two</div>": "one\n\ntwo",
+        "one<ul class='menu-items'><li>soup</li></ul>": "one\n\nsoup",
+        "one<div class='share-box'>send</div>two": "one\n\ntwo",
+        "one<div class='big newsletter'>send</div>two": "one\n\ntwo",
+        "one<div id='cookie-notice'>send</div>two": "one\n\ntwo",
+        "a<!-->b": "ab",
+        "a &amp; b < c <b>d": "a & b < c d",
+        "un<a href='x' closed tag": "un<a href='x' closed tag",
+    }
+    for source, want in cases.items():
+        assert html_extract.extract([f"<article><p>{source}"]) == [want], source
+
+
+def test_extraction_takes_names_for_ids(spark):
+    rows = [("p1", "http://a/", "<article>text</article>"), (None, None, None)]
+    found = html_extract.extracted(spark.createDataFrame(rows, "page_id string, url string, html string"))
+    assert {(r["page_id"], r["text"]) for r in found.collect()} == {("p1", "text"), (None, "")}
+
+
+def test_archive_is_read_by_many_tasks(spark, tmp_path):
+    """Files are dealt to tasks by their number, and ids that crowd or spread, or span all longs, keep ranges in order."""
+    rng = random.Random(6)
+    ids = [*range(200), *(10**15 + i for i in range(50)), -(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(i, "u", "".join(rng.choice("abc ") for _ in range(900))) for i in ids], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/r"
+    manifest = warc.write(df, folder, roll_bytes=2000).collect()
+    assert len(manifest) > 20
+    found = warc.read(spark, folder)
+    assert found.rdd.getNumPartitions() > 4
+    assert sorted(r["page_id"] for r in found.collect()) == sorted(ids)
+    spans = sorted((m["first_page"], m["last_page"]) for m in manifest)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_reputation_decides_as_the_sql_does(spark, tmp_path):
+    """A fixture where reputation blocks some hosts and not others, in the query and its SQL; without reputation the result differs."""
+    import duckdb
+
+    from tessera.llm import queries_pages
+
+    rng = random.Random(4)
+    pages, labels = [], []
+    for i in range(600):
+        host = f"{rng.choice(['www', 'blog'])}.{rng.choice(['bad', 'worse', 'good', 'fine', 'mixed'])}.{rng.choice(['com', 'info'])}"
+        pages.append((i, f"https://{host}/x/{i}", ""))
+        bad = 0.95 if "bad" in host or "worse" in host else 0.5 if "mixed" in host else 0.05
+        if i % 2:
+            labels.append((i, int(rng.random() > bad), 0))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries_pages.op6_url_filters(spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(queries_pages.ORACLES["op6_url_filters"])
+    names = [c[0] for c in want.description]
+    rows = Counter(map(tuple, got.select(*names).collect()))
+    assert rows == Counter(want.fetchall())
+    verdicts = Counter(r["verdict"] for r in got.collect())
+    assert verdicts["block"] > 100 and verdicts["allow"] > 100
+
+
+def test_registered_domains_by_suffix_ports_and_addresses(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "x.example.com:8080", "10.0.0.1", "localhost", ""]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    found = rows.select("host", *(c.alias(n) for n, c in url_reputation.levels(F.col("host"), ("co.uk",)).items())).collect()
+    assert {r["host"]: (r["suffix"], r["domain"]) for r in found} == {"a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "x.example.com:8080": ("com", "example.com"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "localhost": ("localhost", "localhost"), "": ("", "")}
+
+
+def test_preferences_with_repeated_turns(spark):
+    turns = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "yes")]
+    other = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "no")]
+    found = preferences.preference_pairs(spark.createDataFrame(turns, TURNS), spark.createDataFrame(other, TURNS)).first()
+    assert found["n_common"] == 2 and found["prompt"] == "<|user|>\nhi<|end|>\n" * 2
+    assert found["chosen"].endswith("yes<|end|>\n") and found["rejected"].endswith("no<|end|>\n")
