@@ -11,7 +11,8 @@ few bad pages do not block a host and hosts without labels follow their domain.
 
 A host is what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end,
 A-Z lower-cased; its suffix is the last label and its registered domain the last
-two (``long_suffixes`` names suffixes of two labels, whose domains have three).
+two (``long_suffixes`` names suffixes of two labels, whose domains have three), ports
+left out; an address is its own domain and suffix.
 
 A rule ``host/path`` fits its host and all subdomains if the path starts with the
 rule's path, slash included; of several the longest wins, and a rule's verdict
@@ -58,7 +59,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def levels(host: Column, long_suffixes: tuple[str, ...] = ()) -> dict[str, Column]:
-    labels = F.split(host, r"\.", -1)
+    named = F.regexp_replace(host, r":[0-9]*$", "")
+    labels = F.when(named.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\["), F.array(named)).otherwise(F.split(named, r"\.", -1))
     size = F.size(labels)
     two = F.concat_ws(".", F.slice(labels, F.greatest(size - 1, F.lit(1)), 2))
     long = two.isin(*long_suffixes) if long_suffixes else F.lit(False)
@@ -83,9 +85,9 @@ def reputations(outcomes: DataFrame, long_suffixes: tuple[str, ...] = ()) -> Dat
     hosts = outcomes.groupBy("host").agg(F.sum(known).alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
     hosts = checkpoint(hosts.withColumns(levels(F.col("host"), long_suffixes)))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).select(((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("parent"))
-    suffixes = _shrunk(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(whole)))
+    suffixes = checkpoint(_shrunk(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(whole))))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = _shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("parent")), "suffix"))
+    domains = checkpoint(_shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("parent")), "suffix")))
     return _shrunk(hosts.join(domains.select("domain", F.col("mean").alias("parent")), "domain")).select("host", "n", "bad", "mean", "weight")
 
 
