@@ -114,7 +114,36 @@ LEFT JOIN (
 ) c ON j.lang IS NOT DISTINCT FROM c.lang
 """
 
+#: Classes of equal sets, all pairs of classes that share a shingle, and what each reaches by links.
+NGRAM_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
+  FROM words
+), classes AS (
+  SELECT s, len(s) AS n, min(doc_id) AS class_id FROM sets WHERE len(s) > 0 GROUP BY s
+), shingles AS (
+  SELECT class_id, n, unnest(s) AS t FROM classes
+), links AS (
+  SELECT a.class_id AS a, b.class_id AS b FROM shingles a JOIN shingles b ON a.t = b.t AND a.class_id < b.class_id
+  GROUP BY a.class_id, a.n, b.class_id, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT class_id AS id, class_id AS root FROM classes
+  UNION
+  SELECT e.b, r.root FROM reached r JOIN edges e ON e.a = r.id
+), roots AS (
+  SELECT id, min(root) AS root FROM reached GROUP BY id
+)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(r.root, d.doc_id) AS component_id, c.class_id
+FROM sets d LEFT JOIN classes c ON d.s = c.s LEFT JOIN roots r ON r.id = c.class_id
+"""
+
 ORACLES = {
+    "op1_ngram_join": NGRAM_SQL,
     "op4_quality_rules": QUALITY_SQL,
     "op3_exact_dedup": """
 SELECT doc_id,

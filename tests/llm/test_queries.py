@@ -58,3 +58,30 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert Counter((r["doc_id"], r["n_tokens"]) for r in got.select("doc_id", F.col("n_tokens")).collect()) == want
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "ngram_join", "mixture", "sentencepiece"]
+
+
+ODD = [(1, None, "en", "a", None), (2, "", None, None, 0), (3, "x " * 30_000, "de", "a", 1), (None, "no id but words enough to pass the base rules of the first stage", "en", "b", 2)]
+ODD += [(i, f"text number {i} has some words of its own and then a few that all of them share {i * i}", "en", None if i % 3 else "hot", i) for i in range(10, 40)]
+ODD += [ODD[-1], (40, "text number 40 has some words of its own and then a few", "fr", "b", 3), (40, "quite another text of the same number with enough words to be kept here", "fr", "b", 3)]
+
+
+@pytest.mark.parametrize("rows", [[], ODD])
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path, rows):
+    """Nulls, empty and long texts, repeated rows, a repeated id and columns named like the operators' own pass all stages, which keep the columns of documents."""
+    from pyspark.sql import functions as F
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).withColumns({n: F.lit("x") for n in ("id", "kept", "row", "digest", "size", "taken", "bucket", "n_words", "token", "__key", "component_id")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, *_ in rows[:5]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, now, str(tmp_path))
+        assert found.columns == docs.columns
+        found.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+    assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == now.count()
+    if rows:
+        kept = spark.read.parquet(f"{tmp_path}/ngram_join")
+        assert kept.where("doc_id = 40").count() == 2 and kept.where("doc_id = 39").count() == 2
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
