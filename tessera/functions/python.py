@@ -56,9 +56,27 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT w.word, w.place, count(*) AS parts FROM part, LATERAL name_words(p_name) w GROUP BY w.word, w.place")
 
 
-QUERIES = {"scalar_udf": scalar_udf, "grouped_map": grouped_map, "grouped_aggregate_udf": grouped_aggregate, "arrow_batches": arrow_batches, "table_function": table_function}
+def pandas_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"p_partkey": rows.p_partkey, "words": rows.p_name.str.count(" ") + 1})
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name").mapInPandas(shares, "p_partkey long, words long")
+
+
+def arrow_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.arrow_udf("double")
+    def net(price: pa.Array, discount: pa.Array) -> pa.Array:
+        return pc.round(pc.multiply(price, pc.subtract(1.0, discount)), 2)
+
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(net("l_extendedprice", "l_discount")), 0).alias("net"))
+
+
+QUERIES = {"pandas_batches": pandas_batches, "arrow_function": arrow_function, "scalar_udf": scalar_udf, "grouped_map": grouped_map, "grouped_aggregate_udf": grouped_aggregate, "arrow_batches": arrow_batches, "table_function": table_function}
 
 ORACLES = {
+    "pandas_batches": "SELECT p_partkey, len(string_split(p_name, ' ')) AS words FROM part",
+    "arrow_function": "SELECT l_returnflag, round(sum(round_even(l_extendedprice * (1 - l_discount), 2)), 0) AS net FROM lineitem GROUP BY 1",
     "scalar_udf": "SELECT l_linestatus, round(sum(round_even(l_extendedprice * (1 + l_tax), 4)), 1) AS charge FROM lineitem GROUP BY 1",
     "grouped_map": "SELECT user_id, count(*) AS events, floor(epoch(max(ts)) - epoch(min(ts)))::BIGINT AS seconds FROM events GROUP BY 1",
     "grouped_aggregate_udf": "SELECT event_type, round(max(value) - min(value), 6) AS spread FROM events GROUP BY 1",

@@ -42,8 +42,12 @@ def extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation")
-    return nation.groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_set("n_name")), ",").alias("names"), F.listagg("n_name", F.lit("|")).isNotNull().alias("any_name"))
+    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    return spark.sql("""
+        SELECT n_regionkey, array_join(sort_array(collect_set(n_name)), ',') AS names, listagg(n_name, '|') WITHIN GROUP (ORDER BY n_name DESC) AS listed,
+               array_join(sort_array(collect_list(length(n_name))), ',') AS lengths, mode(length(n_name), true) AS usual_length,
+               array_contains(collect_set(n_name), any_value(n_name)) AS any_is_one
+        FROM nation GROUP BY n_regionkey""")
 
 
 def having(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +70,19 @@ def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("parts", *((F.abs(F.col(c) - F.col("parts")) <= 0.05 * F.col("parts")).alias(n) for c, n in (("a", "approx_close"), ("b", "sketch_close"))))
 
 
+def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether quantiles, distinct counts and frequencies from mergeable sketches are within their bounds."""
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    return spark.sql("""
+        WITH s AS (SELECT count(DISTINCT l_suppkey) AS suppliers, theta_sketch_estimate(theta_sketch_agg(l_suppkey)) AS theta,
+                          percentile(l_extendedprice, array(0.45, 0.55)) AS exact, kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5D) AS kll,
+                          percentile_approx(l_extendedprice, 0.5, 1000) AS approx, length(count_min_sketch(l_partkey, 0.01D, 0.95D, 7)) > 0 AS has_counts
+                   FROM lineitem)
+        SELECT suppliers, abs(theta - suppliers) <= 0.1 * suppliers AS theta_close, kll BETWEEN exact[0] AND exact[1] AS kll_close, approx BETWEEN exact[0] AND exact[1] AS approx_close, has_counts FROM s""")
+
+
 QUERIES = {
+    "sketches": sketches,
     "distinct_counts": distinct_counts,
     "rollup": rollup,
     "cube": cube,
@@ -82,13 +98,14 @@ QUERIES = {
 
 _LEVELS = "SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS level, round(sum(l_quantity), 2) AS quantity, count(*) AS rows FROM lineitem GROUP BY "
 ORACLES = {
+    "sketches": "SELECT count(DISTINCT l_suppkey) AS suppliers, true AS theta_close, true AS kll_close, true AS approx_close, true AS has_counts FROM lineitem",
     "distinct_counts": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT (l_partkey, l_suppkey)) AS pairs FROM lineitem GROUP BY 1",
     "rollup": _LEVELS + "ROLLUP (l_returnflag, l_linestatus)",
     "cube": _LEVELS + "CUBE (l_returnflag, l_linestatus)",
     "grouping_sets": _LEVELS + "GROUPING SETS ((l_returnflag), (l_linestatus), ())",
     "statistics": "SELECT event_type, round(stddev_samp(value), 6) AS deviation, round(var_pop(value), 6) AS variance, round(corr(value, user_id), 6) AS correlation, round(covar_samp(value, user_id), 6) AS covariance, round(regr_slope(value, user_id), 9) AS slope, round(median(value), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round((avg(value ** 3) - 3 * avg(value) * avg(value ** 2) + 2 * avg(value) ** 3) / var_pop(value) ** 1.5, 6) AS skewness_pop FROM events GROUP BY 1",
     "extremes": "SELECT user_id, arg_max(event_id, ts) AS last_event, arg_min(event_id, ts) AS first_event, bool_or(event_type = 'error') AS any_error, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY 1",
-    "collections": "SELECT n_regionkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS names, true AS any_name FROM nation GROUP BY 1",
+    "collections": "SELECT n_regionkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS names, string_agg(n_name, '|' ORDER BY n_name DESC) AS listed, string_agg(length(n_name)::VARCHAR, ',' ORDER BY length(n_name)) AS lengths, (SELECT min(l) FROM (SELECT length(n_name) AS l, count(*) AS k, max(count(*)) OVER () AS most FROM nation i WHERE i.n_regionkey = o.n_regionkey GROUP BY 1) WHERE k = most)::INTEGER AS usual_length, true AS any_is_one FROM nation o GROUP BY 1",
     "having": "SELECT l_orderkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 200",
     "pivot": "SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS purchases FROM events GROUP BY 1",
     "unpivot": "SELECT s_suppkey, 'nation' AS name, s_nationkey::DOUBLE AS value FROM supplier UNION ALL SELECT s_suppkey, 'balance', s_acctbal FROM supplier",

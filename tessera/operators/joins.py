@@ -4,27 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.sources.tables import table
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], hot_rows: int = 1_000_000, spans: int = 64) -> DataFrame:
     """Each left row with the values of the latest right row of the same key at or before it.
 
     One union and one window per key instead of a join of all pairs: right rows sort
     before left rows of the same time, and ``last`` carries the values forward. The
     values travel as one struct, so that a null value in the latest row stays null.
+    A key with more than hot_rows rows is cut into spans of time, each a window of its
+    own, which begins with the last right row of the spans before it.
     """
     packed = F.struct(*(F.col(v) for v in values))
     none = F.lit(None).cast(right.select(packed.alias("v")).schema["v"].dataType)
     rest = [c for c in left.columns if c not in (*by, on)]
     a = left.select(*by, on, F.lit(1).alias("__side"), F.struct(*rest).alias("__left"), none.alias("__right"))
     b = right.select(*by, on, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), packed.alias("__right"))
-    order = Window.partitionBy(*by).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = a.unionByName(b).withColumn("__last", F.last("__right", ignorenulls=True).over(order)).where("__side = 1")
+    rows = a.unionByName(b).withColumn("__span", F.lit(0))
+    hot = left.select(*by, on).unionByName(right.select(*by, on)).groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(on).alias("__low"), F.max(on).alias("__high")).where(F.col("__n") > hot_rows)
+    if isinstance(left.schema[on].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)) and not hot.isEmpty():
+        rows = _with_spans(rows, hot, by, on, spans)
+    order = Window.partitionBy(*by, "__span").orderBy(F.asc_nulls_first(on), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn("__last", F.last("__right", ignorenulls=True).over(order)).where("__side = 1")
     return filled.select(*by, on, *(F.col(f"__left.{c}") for c in rest), *(F.col(f"__last.{v}").alias(f"asof_{v}") for v in values))
 
 
+def _with_spans(rows: DataFrame, hot: DataFrame, by: list[str], on: str, spans: int) -> DataFrame:
+    """The union's rows with the span of hot keys, and a row before each span with what the right rows before it leave."""
+
+    def number(c: Column) -> Column:
+        kind = rows.schema[on].dataType
+        return c.cast("double") if isinstance(kind, T.NumericType) else c.cast("timestamp").cast("double")
+
+    known = hot.select(*(F.col(c).alias(f"__{c}") for c in by), number(F.col("__low")).alias("__low"), number(F.col("__high")).alias("__high"))
+    same = F.lit(True)
+    for c in by:
+        same = same & rows[c].eqNullSafe(known[f"__{c}"])
+    place = F.floor((number(F.col(on)) - F.col("__low")) / (F.col("__high") - F.col("__low")) * spans)
+    span = F.when(F.col("__high") > F.col("__low"), F.least(F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)), F.lit(spans - 1))).otherwise(F.lit(0)).cast("int")
+    dealt = rows.drop("__span").join(known, same, "left").withColumn("__span", F.coalesce(span, F.lit(0))).withColumn("__hot", F.col("__low").isNotNull())
+    dealt = dealt.select(*rows.columns, "__hot")
+    ends = dealt.where("__hot AND __side = 0").groupBy(*by, "__span").agg(F.max_by("__right", on).alias("__right"))
+    until = F.lead("__span", 1, spans - 1).over(Window.partitionBy(*by).orderBy("__span"))
+    carried = ends.withColumn("__until", until).where(F.col("__until") > F.col("__span")).withColumn("__span", F.explode(F.sequence(F.col("__span") + 1, F.col("__until"))))
+    first = carried.select(*by, F.lit(None).cast(rows.schema[on].dataType).alias(on), F.lit(-1).alias("__side"), F.lit(None).cast(rows.schema["__left"].dataType).alias("__left"), "__right", "__span")
+    return dealt.drop("__hot").unionByName(first)
+
+
 def band_join(left: DataFrame, right: DataFrame, value: str, other: str, width: float) -> DataFrame:
     """Pairs whose values differ by at most width, by an equi-join on cells of that width.
 
@@ -36,31 +65,55 @@ def band_join(left: DataFrame, right: DataFrame, value: str, other: str, width:
     return cells.join(other_cells, "__cell").where(F.abs(F.col(value) - F.col(other)) <= width).drop("__cell")
 
 
-def containment_join(documents: DataFrame, passages: DataFrame, text: str, passage: str, words: int = 8) -> DataFrame:
+def containment_join(documents: DataFrame, passages: DataFrame, text: str, passage: str, words: int = 8, listed: int = 10_000) -> DataFrame:
     """Pairs of a document and a passage whose whole text is in it.
 
     A passage may begin and end inside of words of the document, but all words between
     are whole: an equi-join on the hash of the passage's second and following words
-    makes the candidates, which contains() checks. Passages with less than words + 2
-    words meet the documents on single words instead (their second one), and those of
-    one or two words, which give nothing to join on, in a nested loop.
+    makes the candidates, which contains() checks; of shorter passages there are as many
+    words between as they have (4, 2 or 1). Passages of one or two words have none: up
+    to ``listed`` of them go to each document as one list, more of them meet the
+    documents on their first four characters.
     """
 
     def tokens(c: str) -> Column:
         return F.split(F.col(c), r"\s+")
 
     def windows(k: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(tokens(text)) - k + 1, F.lit(1)))
-        return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(tokens(text), i, k), " "))))
+        def of(words: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, k), " ")))
+
+        # the words are bound to a variable, so that a document is split once
+        return F.array_distinct(F.flatten(F.transform(F.array(tokens(text)), of)))
 
     def met(part: DataFrame, k: int) -> DataFrame:
         right = part.withColumn("__window", F.xxhash64(F.array_join(F.slice(tokens(passage), 2, k), " ")))
         return documents.withColumn("__window", F.explode(windows(k))).join(right, "__window").drop("__window")
 
     size = F.size(tokens(passage))
-    long, short = met(passages.where(size >= words + 2), words), met(passages.where((size >= 3) & (size < words + 2)), 1)
-    tiny = documents.crossJoin(passages.where(size < 3))
-    return long.unionByName(short).unionByName(tiny).where(F.contains(F.col(text), F.col(passage)))
+    between = {k: F.when(size >= k + 2, F.lit(k)) for k in sorted({words, *(k for k in (4, 2, 1) if k < words)}, reverse=True)}
+    sized = passages.withColumn("__k", F.coalesce(*between.values(), F.when(size > 0, F.lit(0))))
+    present = {r["__k"]: r["count"] for r in sized.groupBy("__k").count().collect()}  # six rows at most
+    found = [met(sized.where(F.col("__k") == k).drop("__k"), k) for k in between if k in present]
+    tiny = sized.where("__k = 0").drop("__k")
+    columns = F.struct(*(F.col(c) for c in passages.columns))
+    if present.get(0, 0) <= listed:
+        every = tiny.agg(F.collect_list(columns).alias("__list"))  # one row
+        held = documents.crossJoin(F.broadcast(every)).withColumn("__one", F.explode(F.filter("__list", lambda p: F.contains(F.col(text), p[passage]))))
+        found.append(held.select(*documents.columns, "__one.*"))
+    else:
+        chars = F.least(F.length(passage), F.lit(4))
+        heads = tiny.withColumn("__head", F.substring(F.col(passage), F.lit(1), chars))
+
+        def heads_of(k: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(F.col(text), i, F.lit(k)))
+
+        grams = [heads_of(k) for k in range(5)]
+        found.append(documents.where(F.col(text).isNotNull()).withColumn("__head", F.explode(F.array_distinct(F.flatten(F.array(*grams))))).join(heads, "__head").drop("__head"))
+    every_pair = found[0]
+    for more in found[1:]:
+        every_pair = every_pair.unionByName(more)
+    return every_pair.where(F.contains(F.col(text), F.col(passage)))
 
 
 def regional_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,12 +179,33 @@ def asof_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlated scalar subquery, written as what it is decorrelated to."""
-    items = table(spark, sf_dir, "lineitem")
-    limits = items.groupBy(F.col("l_partkey").alias("p")).agg((0.2 * F.avg("l_quantity")).alias("limit"))
-    brands = table(spark, sf_dir, "part").where("p_size < 10")
-    low = items.join(limits, F.col("l_partkey") == F.col("p")).where("l_quantity < limit").join(brands, F.col("l_partkey") == F.col("p_partkey"))
-    return low.groupBy("p_brand").agg(F.round(F.sum("l_extendedprice") / 7.0, 2).alias("yearly"))
+    """A correlated scalar subquery, which Catalyst turns into an aggregate and a join."""
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return spark.sql("SELECT p_brand, round(sum(l_extendedprice) / 7.0, 2) AS yearly FROM lineitem l JOIN part ON l_partkey = p_partkey WHERE p_size < 10 AND l_quantity < (SELECT 0.2 * avg(l_quantity) FROM lineitem i WHERE i.l_partkey = l.l_partkey) GROUP BY p_brand")
+
+
+def broadcast_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations, a table of fixed size, go to every task."""
+    nation = F.broadcast(table(spark, sf_dir, "nation"))
+    return table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+def shuffled_hash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides by the hash of the key, the smaller one hashed in each task: no sorts."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").hint("shuffle_hash")
+    return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    kept = F.col("p_size").isin(1, 5, 9, 20) & (F.col("p_name").like("%a%e%") | F.col("p_type").ilike("%STEEL%")) & ~F.col("p_brand").like("%3") & F.col("p_retailprice").between(900, 2000)
+    return part.where(kept & part["p_name"].isNotNull()).select("p_partkey", "p_name", "p_size")
+
+
+def pipe_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    return spark.sql("FROM lineitem |> WHERE l_quantity > 10 |> EXTEND l_quantity * l_discount AS off |> AGGREGATE count(*) AS lines, round(sum(off), 2) AS off GROUP BY l_returnflag |> WHERE lines > 0")
 
 
 def lateral_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,9 +239,17 @@ QUERIES = {
     "lateral_join": lateral_join,
     "cross_join": cross_join,
     "containment_join": containment_query,
+    "broadcast_join": broadcast_join,
+    "shuffled_hash_join": shuffled_hash_join,
+    "filters": filters,
+    "pipe_syntax": pipe_syntax,
 }
 
 ORACLES = {
+    "broadcast_join": "SELECT n_name, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    "shuffled_hash_join": "SELECT o_orderstatus, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+    "filters": "SELECT p_partkey, p_name, p_size FROM part WHERE p_size IN (1, 5, 9, 20) AND (p_name LIKE '%a%e%' OR p_type ILIKE '%STEEL%') AND p_brand NOT LIKE '%3' AND p_retailprice BETWEEN 900 AND 2000",
+    "pipe_syntax": "SELECT l_returnflag, count(*) AS lines, round(sum(l_quantity * l_discount), 2) AS off FROM lineitem WHERE l_quantity > 10 GROUP BY 1",
     "regional_revenue": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
     "left_outer_join": "SELECT c_mktsegment, count(o_orderkey) AS large_orders, count(*) AS rows FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey GROUP BY ALL",
     "right_outer_join": "SELECT o_orderpriority, count(l_orderkey) AS matched, count(*) AS rows FROM (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) RIGHT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",

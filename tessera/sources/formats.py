@@ -7,13 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import table
+from tessera.sources.tables import shared_dir, table
 
 
 def folder(spark: SparkSession, label: str) -> str:
     """A new path below the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def _round_trip(df: DataFrame, kind: str, **options) -> DataFrame:
@@ -27,7 +26,7 @@ def csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round_trip(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), "json").select("o_orderkey", "o_totalprice", "o_orderdate")
+    return _round_trip(table(spark, sf_dir, "orders"), "json").select("o_orderkey", "o_totalprice", "o_orderdate")
 
 
 def orc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,11 +55,39 @@ def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("o_orderpriority").agg(F.sum("l_quantity").alias("quantity"))
 
 
-QUERIES = {"csv_round_trip": csv, "json_round_trip": json, "orc_round_trip": orc, "text_round_trip": text, "partition_pruning": partitioned, "bucketed_join": bucketed_join}
+def xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(table(spark, sf_dir, "nation"), "xml", rowTag="nation")
+
+
+def upsert(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """target with the rows of changes in place of, or beside, its own by key: one anti join and a union, so that untouched rows are not compared."""
+    return target.join(changes.select(key), key, "left_anti").select(*target.columns).unionByName(changes)
+
+
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    settled = customer.where("c_acctbal < 0").withColumn("c_acctbal", F.lit(0.0))
+    new = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1_000_000_000).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"))
+    return upsert(customer, settled.unionByName(new), "c_custkey")
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of lineitem: whether its size is within five standard deviations, and whether each of its rows is of the table."""
+    items = table(spark, sf_dir, "lineitem")
+    sample = items.sample(0.2, seed=7)
+    size = items.agg(F.count(F.lit(1)).alias("n")).crossJoin(sample.agg(F.count(F.lit(1)).alias("k")))  # a row each
+    strange = sample.join(items, items.columns, "left_anti").agg(F.count(F.lit(1)).alias("strange"))
+    return size.crossJoin(strange).select("n", (F.abs(F.col("k") - 0.2 * F.col("n")) <= 5 * F.sqrt(0.16 * F.col("n"))).alias("size_close"), "strange")
+
+
+QUERIES = {"xml_round_trip": xml, "upsert": upserted, "sample": sampled, "csv_round_trip": csv, "json_round_trip": json, "orc_round_trip": orc, "text_round_trip": text, "partition_pruning": partitioned, "bucketed_join": bucketed_join}
 
 ORACLES = {
+    "xml_round_trip": "SELECT * FROM nation",
+    "upsert": "SELECT c_custkey, c_name, greatest(c_acctbal, 0) AS c_acctbal FROM customer UNION ALL SELECT s_suppkey + 1000000000, s_name, s_acctbal FROM supplier",
+    "sample": "SELECT count(*) AS n, true AS size_close, 0 AS strange FROM lineitem",
     "csv_round_trip": "SELECT * FROM supplier",
-    "json_round_trip": "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus = 'P'",
+    "json_round_trip": "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders",
     "orc_round_trip": "SELECT * FROM nation",
     "text_round_trip": "SELECT r_regionkey, r_name FROM region",
     "partition_pruning": "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'",

@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.sources.tables import shared_dir, table
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,23 +33,25 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All that the stream gives: appended rows, or the last state of a complete or updated result, by its batches."""
-    spark = stream.sparkSession
+    """All that the stream gives: appended rows, or the last state of a complete or updated result, by its batches.
+
+    A batch has a folder of its own that it overwrites, so that one that runs again
+    after a failure does not count twice.
+    """
+    spark, schema = stream.sparkSession, stream.schema
     folder = _folder(spark)
-    out = f"{folder}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("__batch", F.lit(number)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{number:010d}")
 
-    # so that a stream without rows has a result too
-    spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema), F.lit(0).alias("__batch")).write.parquet(out)
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    found = spark.read.parquet(out)
-    if mode == "complete":
-        last = found.agg(F.max("__batch")).first()[0]
-        found = found.where(F.col("__batch") == last)
-    return found.drop("__batch")
+    batches = [p["batchId"] for p in query.recentProgress] if mode == "complete" else []
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/out/none")  # so that a stream without rows has a result too
+    files = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    if batches:
+        files = spark.read.schema(schema).parquet(f"{folder}/out/{max(batches):010d}")
+    return files
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,12 +101,33 @@ class Totals(StatefulProcessor):
 
 
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = events_stream(spark, sf_dir).groupBy("user_id").transformWithStateInPandas(Totals(), "user_id long, events long, value double", "update", "none")
-    latest = drained(stream, "update").groupBy("user_id").agg(F.max_by("value", "events").alias("value"), F.max("events").alias("events"))
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = events_stream(spark, sf_dir).groupBy("user_id").transformWithStateInPandas(Totals(), "user_id long, events long, value double", "update", "none")
+        found = drained(stream, "update")
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    latest = found.groupBy("user_id").agg(F.max_by("value", "events").alias("value"), F.max("events").alias("events"))
     return latest.select("user_id", "events", F.round("value", 4).alias("value"))
 
 
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of a stream whose last file has rows of long ago: the watermark has passed their hours, which stay as they were.
+
+    A batch judges lateness by the watermark with which the batch before it ended, hence three files.
+    """
+    events = table(spark, sf_dir, "events").select("ts", "event_type")
+    late = F.expr("ts < TIMESTAMP_NTZ '2024-01-05 00:00:00' AND event_type = 'error'")
+    first, second = (F.expr(f"ts < TIMESTAMP_NTZ '2024-01-{day} 00:00:00'") & ~late for day in (20, 25))
+    path = f"{_folder(spark)}/in"
+    for part in (events.where(first), events.where(second & ~first), events.where(~second)):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("events"))
+    return drained(counts, "append").select(F.col("w.start").cast("timestamp_ntz").alias("start"), "events")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_tumbling": stream_tumbling,
     "stream_sliding": stream_sliding,
@@ -109,9 +135,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_distinct": stream_distinct,
     "stream_interval_join": stream_interval_join,
     "stream_state": stream_state,
+    "stream_late": stream_late,
 }
 
 ORACLES = {
+    "stream_late": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS events FROM events WHERE NOT (ts < TIMESTAMP '2024-01-05' AND event_type = 'error') GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
     "stream_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events FROM events GROUP BY ALL",
     "stream_sliding": "SELECT start, count(*) AS events FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY 1",
     "stream_session": "SELECT user_id, min(ts) AS start, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s",

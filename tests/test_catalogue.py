@@ -89,3 +89,55 @@ def test_entry(spark):
 def test_tables_are_read_whole(spark, sf_dir, con):
     for name in ("lineitem", "documents", "events"):
         assert table(spark, sf_dir, name).agg(F.count(F.lit(1))).first()[0] == con.execute(f"SELECT count(*) FROM {name}").fetchone()[0]
+
+
+def test_broadcast_and_shuffled_hash_joins(spark, sf_dir):
+    assert "BroadcastHashJoin" in plan(catalogue.QUERIES["broadcast_join"](spark, sf_dir))
+    assert "ShuffledHashJoin" in plan(catalogue.QUERIES["shuffled_hash_join"](spark, sf_dir))
+
+
+def test_asof_join_of_hot_keys(spark):
+    """A key cut into spans of time gives what one window gives, where spans are without rows of either side too."""
+    import random
+
+    rng = random.Random(3)
+    for kind, make in (("timestamp", lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)), ("long", int)):
+        times = [rng.randrange(500) * (1 if rng.random() < 0.5 else 20) for _ in range(300)]
+        left = spark.createDataFrame([(i % 3, make(t), i) for i, t in enumerate(times)], f"k int, t {kind}, x int")
+        right = spark.createDataFrame([(i % 2, make(7 * i * i % 9000), i, None if i % 4 else i) for i in range(90)], f"k int, t {kind}, v int, w int")
+        one, two = (Counter(map(tuple, joins.asof_join(left, right, ["k"], "t", ["v", "w"], hot_rows=n, spans=16).collect())) for n in (10**9, 20))
+        assert one == two and len(one) == 300
+
+
+def test_many_tiny_passages(spark):
+    """Passages of one or two words, as a list and by their first characters alike; no nested loop over pairs."""
+    docs = spark.createDataFrame([(1, "abc def"), (2, "xx"), (3, ""), (4, None), (5, "c dx")], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "c d"), (2, "x"), (3, ""), (4, "bc"), (5, "abc def"), (6, "f g"), (7, "c d")], "item_id int, passage string")
+    want = {(1, 1), (1, 7), (5, 1), (5, 7), (2, 2), (5, 2), (1, 3), (2, 3), (3, 3), (5, 3), (1, 4), (1, 5)}
+    for listed in (100, 2):
+        found = joins.containment_join(docs, items, "text", "passage", listed=listed).select("doc_id", "item_id").distinct()
+        assert {tuple(r) for r in found.collect()} == want
+
+
+def test_batches_that_run_again_do_not_double(spark, sf_dir):
+    from tessera.streaming import streams
+
+    counts = streams.events_stream(spark, sf_dir).select("event_id")
+    assert streams.drained(counts, "append").count() == table(spark, sf_dir, "events").count()
+    before = spark.conf.get(streams.STATE_STORE)
+    streams.stream_state(spark, sf_dir)
+    assert spark.conf.get(streams.STATE_STORE) == before
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tessera.sources import tables
+
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+
+    assert tables.shared_dir(session("local[4]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            tables.shared_dir(session(master))
