@@ -39,19 +39,18 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     after a failure does not count twice.
     """
     spark, schema = stream.sparkSession, stream.schema
-    folder = _folder(spark)
+    folder, done = _folder(spark), []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/{number:010d}")
+        done.append(number)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    batches = [p["batchId"] for p in query.recentProgress] if mode == "complete" else []
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/out/none")  # so that a stream without rows has a result too
-    files = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
-    if batches:
-        files = spark.read.schema(schema).parquet(f"{folder}/out/{max(batches):010d}")
-    return files
+    if mode == "complete" and done:
+        return spark.read.schema(schema).parquet(f"{folder}/out/{max(done):010d}")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
