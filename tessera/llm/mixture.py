@@ -183,10 +183,15 @@ def mix(df: DataFrame, **options) -> DataFrame:
     return Mixture(df, **options).taken()
 
 
-def mixed_documents(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix with their own columns: each as often as the words taken from it make up its size, rounded (0, 1 or 2 times)."""
-    copies = mix(df, id_col=id_col, **options).select(F.col(id_col).alias("__id"), F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("__copies")).where("__copies > 0").groupBy("__id").agg(F.max("__copies").alias("__copies"))
-    joined = df.join(copies, df[id_col].eqNullSafe(copies["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents of the mix with their own columns: each as often as the words taken from it make up its size, rounded (0, 1 or 2 times).
+
+    Rows of one id are told apart by their sizes; those of one id and size all stay as often as the one that the mix takes most of.
+    """
+    mixed = mix(df, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("__copies"))
+    copies = mixed.where("__copies > 0").groupBy("__id", "__size").agg(F.max("__copies").alias("__copies"))
+    same = df[id_col].eqNullSafe(copies["__id"]) & (n_words(df[text_col].cast("string")) == copies["__size"])
+    joined = df.join(copies, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return joined.select(*(df[c] for c in df.columns))
 
 

@@ -334,6 +334,18 @@ def test_mixed_documents(docs):
     assert got == +Counter({r["doc_id"]: r["count"] * taken[r["doc_id"]] for r in copies})
 
 
+def test_mixed_documents_of_one_id(spark):
+    """Rows of one id stay as often as their own words are taken: the source that is taken twice does not lend its copies to the one that is taken less."""
+    rows = [(i, " ".join([f"a{i}"] * 30), "a") for i in range(40)] + [(i, " ".join([f"b{i}"] * 31), "b") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"block_words": 8}
+    want = Counter()
+    for r in mixture.mix(docs, **options).collect():
+        want[r["doc_id"], r["source"]] += int(r["taken"] / r["size"] + 0.5)
+    assert len({want[i, s] for i in range(4) for s in "ab"}) > 1
+    assert Counter((r["doc_id"], r["source"]) for r in mixture.mixed_documents(docs, **options).collect()) == +want
+
+
 def test_mixed_pieces_meet_targets(spark, docs, empty):
     """With a hot source of long documents, whose targets are far below their sizes, words kept are the targets; pieces are stretches of their documents."""
     rng = random.Random(2)
