@@ -1,4 +1,4 @@
-"""Readers and writers: CSV, JSON, ORC, text, partitioned Parquet and bucketed tables, each as a round trip."""
+"""Readers and writers: CSV, JSON, ORC, text, XML, partitioned Parquet and bucketed tables, each as a round trip; tables of databases by JDBC."""
 
 from __future__ import annotations
 
@@ -59,6 +59,20 @@ def xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(table(spark, sf_dir, "nation"), "xml", rowTag="nation")
 
 
+def jdbc_table(spark: SparkSession, url: str, name: str, key: str, parts: int, **options) -> DataFrame:
+    """A database's table, read by so many connections at once, each a range of the whole-number key between its least and its greatest value.
+
+    Rows with a null key are in the first range. Filters and columns go to the database.
+    """
+    quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    ends = spark.read.format("jdbc").options(url=url, query=f"SELECT min({quoted}) AS low, max({quoted}) AS high FROM {name}", **options)
+    low, high = ends.load().first()
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if low is None or low == high:
+        return reader.load()
+    return reader.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts).load()
+
+
 def upsert(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """target with the rows of changes in place of, or beside, its own by key: one anti join and a union, so that untouched rows are not compared."""
     return target.join(changes.select(key), key, "left_anti").select(*target.columns).unionByName(changes)

@@ -141,3 +141,19 @@ def test_a_cluster_needs_a_shared_folder():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError):
             tables.shared_dir(session(master))
+
+
+def test_jdbc_table(spark, sf_dir):
+    """A table of a database in this process's memory: read in ranges, filters pushed down, null keys and empty tables included."""
+    from tessera.sources.formats import jdbc_table
+
+    url, driver = "jdbc:derby:memory:tessera;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").unionByName(spark.createDataFrame([(None, 1.0)], "o_orderkey long, o_totalprice double"))
+    for name, df in (("orders", orders), ("none_yet", orders.limit(0)), ("single", orders.where("o_orderkey = 7"))):
+        df.write.format("jdbc").options(url=url, dbtable=name, driver=driver).save()
+        found = jdbc_table(spark, url, name, "o_orderkey", 4, driver=driver)
+        assert Counter(map(tuple, found.collect())) == Counter(map(tuple, df.collect()))
+        assert found.rdd.getNumPartitions() == (4 if name == "orders" else 1)
+    cheap = jdbc_table(spark, url, "orders", "o_orderkey", 4, driver=driver).where("o_totalprice < 5000")
+    assert "PushedFilters: [*IsNotNull(o_totalprice), *LessThan(o_totalprice" in plan(cheap)
+    assert cheap.count() == orders.where("o_totalprice < 5000").count()
