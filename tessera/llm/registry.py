@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("queries_documents", "queries_pages")
+MODULES = ("queries_documents", "queries_pages", "queries_corpus")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
