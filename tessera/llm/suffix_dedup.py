@@ -324,13 +324,13 @@ def handed_keys(texts: DataFrame, buckets: int, length: int, gram: int) -> DataF
 
 
 def shared_keys(handed: DataFrame) -> DataFrame:
-    """id and keys: a document's keys that another one has too; and, without id, ``key`` and how many documents have it, where that is more than SALT_ROWS.
+    """id and key: a key of a document that another one has too; and, without id, a key and how many ``documents`` have it, where that is more than SALT_ROWS.
 
-    A document may come several times.
+    A row may come several times.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "keys", "key", "documents"]
+        names = ["id", "key", "documents"]
         held = []
         for batch in batches:
             lists = [batch.column(k) for k in (1, 2, 3)]
@@ -351,22 +351,17 @@ def shared_keys(handed: DataFrame) -> DataFrame:
             ids, keys = np.concatenate([ids[known], i[told]]), np.concatenate([keys[known], k[told]])
             heavy = total > SALT_ROWS
             if heavy.any():
-                n = int(heavy.sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(k[first][heavy]), pa.array(total[heavy])], names=names)
-        order = np.argsort(ids, kind="stable")
-        ids, keys = ids[order], keys[order]
-        if len(ids):
-            cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(ids)), pa.int32()), pa.array(keys))
-            for at in range(0, len(cut), 10_000):
-                n = min(10_000, len(cut) - at)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[cut[at : at + n]]), lists.slice(at, n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(heavy.sum()), pa.int64()), pa.array(k[first][heavy]), pa.array(total[heavy])], names=names)
+        order = np.argsort(ids, kind="stable")  # equal ids one after the other take less space
+        for at in range(0, len(ids), 100_000):
+            part = order[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(keys[part]), pa.nulls(len(part), pa.int64())], names=names)
 
-    return handed.mapInArrow(run, "id long, keys array<long>, key long, documents long")
+    return handed.mapInArrow(run, "id long, key long, documents long")
 
 
 def gathered_segments(texts: DataFrame, heavy: dict[int, int], length: int, gram: int) -> DataFrame:
-    """texts(id, hash, text, keys: lists of keys) to key, salt (-1: the key has one group), id, hash, at (first byte) and segment (bytes)."""
+    """texts(id, hash, text, keys) to key, salt (-1: the key has one group), id, hash, at (first byte) and segment (bytes)."""
     heavy_keys = np.array(sorted(heavy), np.int64)
     heavy_salts = np.array([heavy[k] // SALT_ROWS + 1 for k in sorted(heavy)], np.int64)
 
@@ -374,10 +369,8 @@ def gathered_segments(texts: DataFrame, heavy: dict[int, int], length: int, gram
         for batch in batches:
             ids, hashes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             lists = batch.column(3)
-            inner = lists.flatten()  # lists of keys, some for each text
-            each = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat = inner.flatten().to_numpy(zero_copy_only=False)
-            which = np.repeat(np.repeat(np.arange(len(ids)), each), inner.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            which = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
             order = np.lexsort((flat, which))
             flat, which = flat[order], which[order]
             for keys, owner, first, many, data, shift in segments(batch.column(2), length, gram):
@@ -513,7 +506,7 @@ def removed_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with small_batches(df.sparkSession):
         known = _written(shared_keys(handed_keys(named, buckets, length, gram).repartition(buckets, "bucket")), "suffix-keys")
         heavy = {r["key"]: r["documents"] for r in known.where("id IS NULL").groupBy("key").agg(F.sum("documents").alias("documents")).orderBy(F.desc("documents"), "key").limit(HEAVY).collect()}
-        lists = known.where("id IS NOT NULL").groupBy("id").agg(F.collect_list("keys").alias("keys"))
+        lists = known.where("id IS NOT NULL").groupBy("id").agg(F.collect_list("key").alias("keys"))
         reps = rows.where(~F.col("whole") & (F.col("n_bytes") >= length)).select("id", "hash").distinct()
         found = gathered_segments(named.join(reps.join(lists, "id"), ["id", "hash"]).select("id", "hash", "text", "keys"), heavy, length, gram)
         parts = blocks_for(total[0] // 2, GATHERED)
