@@ -57,14 +57,6 @@ def text_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.rlike(r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+").alias("has_mail"), F.regexp_count(text, F.lit("[0-9]+")).cast("long").alias("numbers"), F.contains(F.lower(text), F.lit("license")).alias("has_license"), F.size(F.filter(F.split(text, " "), lambda w: w != "")).cast("long").alias("words"))
 
 
-def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine similarity of one query vector with all others, the ten best."""
-    vectors = table(spark, sf_dir, "embeddings")
-    query = F.broadcast(vectors.where("vec_id = 0").select(F.col("embedding").alias("q")))  # a single row
-    cosine = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
-    return vectors.where("vec_id <> 0").crossJoin(query).select("vec_id", F.round(cosine, 5).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(10)
-
-
 def more_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("p_name")
     return table(spark, sf_dir, "part").select("p_partkey", F.instr(name, "e").cast("long").alias("at"), F.overlay(name, F.lit("##"), F.lit(2), F.lit(2)).alias("laid"), F.translate(name, "aeiou", "AEIOU").alias("vowels"), F.array_join(F.regexp_extract_all(name, F.lit("[aeiou][a-z]"), F.lit(0)), ",").alias("all_pairs"), F.bround(F.col("p_retailprice") / 100, 1).alias("even"))
@@ -104,7 +96,6 @@ QUERIES = {
     "map_functions": maps,
     "url_functions": url_parts,
     "text_patterns": text_patterns,
-    "nearest_vectors": nearest_vectors,
 }
 
 ORACLES = {
@@ -121,5 +112,4 @@ ORACLES = {
     "map_functions": "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 7 + 1 > 3 THEN 'key' END, CASE WHEN p_size + 1 > 3 THEN 'size' END) AS names, CASE WHEN p_size + 1 > 3 THEN p_size + 1 ELSE -1 END AS size FROM part",
     "url_functions": "SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS url_host, regexp_extract(url, '^([a-z]+):', 1) AS scheme FROM pages",
     "text_patterns": r"SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+') AS has_mail, len(regexp_extract_all(text, '[0-9]+')) AS numbers, contains(lower(text), 'license') AS has_license, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS words FROM documents",
-    "nearest_vectors": "SELECT vec_id, cosine FROM (SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS cosine FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id = 0) q WHERE a.vec_id <> 0) ORDER BY cosine DESC, vec_id LIMIT 10",
 }

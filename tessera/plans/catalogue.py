@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import python, scalar
-from tessera.operators import aggregates, joins, ranks, windows
+from tessera.operators import aggregates, joins, nearest, ranks, windows
 from tessera.sources import formats
 from tessera.sources.tables import table
 from tessera.streaming import streams
@@ -31,7 +31,7 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MODULES = (joins, aggregates, ranks, windows, scalar, python, formats, streams)
+MODULES = (joins, nearest, aggregates, ranks, windows, scalar, python, formats, streams)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pricing_summary": pricing_summary}
 
