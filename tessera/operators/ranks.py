@@ -109,6 +109,23 @@ def ranks(df: DataFrame, order: Order, functions: Sequence[str] = FUNCTIONS, til
     return joined.select(*df.columns, *columns)
 
 
+def prefix_sums(df: DataFrame, order: Order, names: Sequence[str], parts: int | None = None) -> DataFrame:
+    """df with the whole numbers in the columns of names replaced by their sums over the rows up to and with each; nulls add nothing, and rows that tie come in any order."""
+    ranged = _ranged(df, order, parts).withColumn("__part", F.spark_partition_id())
+    own = Window.partitionBy("__part").orderBy(*_columns(order), "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    number = {name: F.coalesce(F.col(name).cast("long"), F.lit(0)) for name in names}
+    sums = {name: F.sum(value).over(own) for name, value in number.items()}
+    local = written(ranged.withColumns({**sums, **{f"__own_{name}": value for name, value in number.items()}}).drop("__tie"), "sums")
+    totals = local.groupBy("__part").agg(*(F.sum(f"__own_{name}").alias(name) for name in names)).collect()  # a row a part
+    rows, at = [], [0] * len(names)
+    for r in sorted(totals, key=lambda r: r["__part"]):
+        rows.append((r["__part"], *at))
+        at = [a + r[name] for a, name in zip(at, names)]
+    before = df.sparkSession.createDataFrame(rows, ", ".join(["__part int", *(f"__before_{name} long" for name in names)]))
+    joined = local.join(F.broadcast(before), "__part")
+    return joined.select(*((F.col(c) + F.col(f"__before_{c}")).alias(c) if c in names else F.col(c) for c in df.columns))
+
+
 def quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """by, probability, quantile: exact, between neighbours in proportion, over the values that are not null.
 
