@@ -49,7 +49,7 @@ SCAN_BYTES, SORT_BYTES = 1 << 18, 2_000_000
 #: Documents of a key that are gathered together, about; keys that are known to have more, at most.
 SALT_ROWS, HEAVY = 4_096, 65_536
 #: Keys that a task hands on at a time, and that a task compares, about.
-HANDED, COMPARED = 1_500_000, 2_000_000
+HANDED, COMPARED = 1_000_000, 1_000_000
 #: Bytes of segments that a task gathers, about.
 GATHERED = 16_000_000
 _ODD = 0x9E3779B97F4A7C15
