@@ -7,21 +7,23 @@ but the last return the columns of documents.
 1. quality_rules: documents that the base rules or the certified cutoffs reject go.
 2. exact_dedup: of equal texts the one with the largest doc_id stays.
 3. ngram_join: of documents that are linked by near copies the least doc_id stays.
-4. mixture: a document stays as often as the words that the mix takes from it make up
-   its size, rounded (0, 1 or 2 times).
+4. mixture: what the mix takes, to the word: a row for each stretch of a document that
+   an epoch takes without a gap, with the stretch as its text and its length as n_chars. A document that
+   is taken whole stays as it is, and one that is taken twice is there twice.
 5. sentencepiece: token counts and digests of what is left.
 
 Defined results: an empty table passes through all stages as an empty one; nulls,
-ties and repeated rows are treated as each stage's operator says.
+ties, very long texts and repeated rows are treated as each stage's operator says.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import scratch, table
 from tessera.llm.exact_dedup import keep_exact
-from tessera.llm.mixture import mixed_documents
+from tessera.llm.mixture import mixed_pieces
 from tessera.llm.ngram_join import keep_one
 from tessera.llm.quality_rules import keep_good
 from tessera.llm.queries_documents import tokenizer_path
@@ -41,7 +43,9 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed_documents(docs)
+    pieces = mixed_pieces(docs)
+    length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return pieces.select(*(length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
