@@ -22,9 +22,12 @@ components. What is left are the shingles whose documents lie in more than one
 component. There each document tries, in rounds, the closest by their sketches of a
 few chance partners from other components, which joins nearly all that links with
 many; a round has some pairs a document, whatever the group's size. Then all pairs of
-documents that still are in different components are formed and counted, and
-verified if they share enough. A pair that is never formed is one whose
-ends are in one component already, so that the components are exact.
+documents that still are in different components are counted, and
+verified if they share enough. Both happen between blocks of documents, where a document
+comes once to each block that it has shared shingles, or pairs, with: no row is made for a shingle of a pair,
+and no text or set moves with each pair. Pairs that are just not similar are all decided, as they must be.
+A pair that is never formed is one whose
+ends are in one component already, so that the components are exact. A very long text is a block by itself.
 
 Enough is more than the smaller l: beyond their prefixes, two sets can share no more
 than the longer of their rests, so that of the overlap that the threshold asks for,
@@ -56,6 +59,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import blocks_for, checkpoint, scratch, small_batches
 from tessera.llm.components import components
 from tessera.llm.shingles import sets, shared
+from tessera.operators.ranks import prefix_sums
 
 PERCENT = 75
 MOST_MATCHES = 4
@@ -74,6 +78,8 @@ ROUNDS, ORDERS, LEAST_YIELD = 4, 2, 0.1
 DEALT_ROWS = 1_000
 #: Pairs are kept in partitions of about this many documents' own, so that few files are written.
 PAIR_ROWS = 20_000
+#: Shingles and documents of a block, of which two meet in a task.
+BLOCK_SHINGLES, BLOCK_ROWS = 500_000, 512
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -282,8 +288,10 @@ def _joined(texts: DataFrame, seen: DataFrame, percent: int, all_links: bool) ->
         # no pair is left out for what others connect: each that meets often enough and that the sketches allow is verified
         met = written(_shared_tokens(postings(texts, heavy, percent)), "postings")
         whole = sketches.dropDuplicates(["id"]).select("id", "sketch", F.col("id").alias("root"))
-        pairs = checkpoint(_met_enough(met.join(whole, "id"), percent, F.lit(True)))
-        links = checkpoint(verified(pairs, texts, percent))
+        rows = written(met.join(whole, "id"), "whole")
+        blocks = written(_blocks(rows), "blocks")
+        pairs = checkpoint(_met_enough(rows, blocks, percent))
+        links = checkpoint(verified_in_blocks(pairs, texts, blocks, percent))
         return _named(members, components(links)), links
 
     # stars: each document with the least of its shingle's group, each group's least with the shingle's
@@ -323,10 +331,13 @@ def _joined(texts: DataFrame, seen: DataFrame, percent: int, all_links: bool) ->
         if n_found < LEAST_YIELD * tries.count():  # the roots in between stay those of before, which forms a few pairs more
             break
         between = written(_between(between.select("id", "n", "matches", "token"), sketches, roots), "between")
-    counted = _met_enough(between, percent, F.col("root_a") != F.col("root_b"))
+    if between.isEmpty():
+        return _named(members, roots), links
+    blocks = written(_blocks(between), "blocks")
+    counted = _met_enough(between, blocks, percent)
     rest = checkpoint(counted.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.unionByName(checkpoint(verified(rest, texts, percent)))
+        links = links.unionByName(checkpoint(verified_in_blocks(rest, texts, blocks, percent)))
         roots = components(links)
     return _named(members, roots), links
 
@@ -386,15 +397,144 @@ def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
     return moved.unionByName(joined.join(roots, joined["r"] == roots["id"], "left_anti").select(F.col("r").alias("id"), F.col("top").alias("root")))
 
 
-def _met_enough(rows: DataFrame, percent: int, which: Column) -> DataFrame:
-    """Pairs (a, b) of a shingle's documents that share as many prefix shingles as is asked for and whose sketches allow the overlap."""
-    names = ("id", "n", "matches", "root", "sketch")
-    left, right = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in names), "token") for side in "ab")
-    n, m = F.col("n_a"), F.col("n_b")
-    enough = asked(n, F.col("matches_a"), m, F.col("matches_b"), percent)
-    likely = similar_size(n, m, percent) & overlap_allows(n, m, _apart_bits(F.col("sketch_a"), F.col("sketch_b")), percent)
-    met_again = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & which & likely)
-    return met_again.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(enough).alias("asked")).where("met >= asked").select("a", "b")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """id and block: documents of a group, told by the least that shares a shingle, lie in neighbouring blocks of BLOCK_SHINGLES shingles and BLOCK_ROWS documents at most, but for longer documents alone."""
+    least = rows.groupBy("token").agg(F.min("id").alias("least"))
+    near = rows.join(least, "token").groupBy("id").agg(F.min("least").alias("group"), F.first("n").alias("n"))
+    weight = F.greatest("n", F.lit(BLOCK_SHINGLES // BLOCK_ROWS))
+    placed = prefix_sums(near.select("id", "group", weight.alias("sum"), weight.alias("own")), [("group", "asc"), ("id", "asc")], ["sum"])
+    return placed.select("id", F.floor((F.col("sum") - F.col("own")) / BLOCK_SHINGLES).alias("block"))
+
+
+def _met_enough(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), in different components, that share as many prefix shingles as is asked for and whose sketches allow the overlap.
+
+    Shingles are counted in blocks: a document comes once to each block that shares some
+    with it, with those alone, and a pair of blocks counts its pairs as products of incidence matrices.
+    """
+    placed = rows.select("id", "n", "matches", "token", "root", "sketch").dropDuplicates(["id", "token"]).join(blocks, "id")
+    there = placed.groupBy("token", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("short"), F.max("n").alias("long")).withColumnRenamed("block", "other")
+    likely = ((F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))) & (F.col("long") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("short") * percent)
+    met = placed.join(there, "token").where(likely)
+    known = [F.first(c).alias(c) for c in ("n", "matches", "root", "sketch")]
+    sent = met.groupBy("id", "block", "other").agg(*known, F.collect_list("token").alias("tokens"))
+    sent = sent.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "matches", "root", "sketch", "tokens")
+
+    def pairs(cell: pa.Table) -> pa.RecordBatch | None:
+        block, ids, n, matches, root = (cell.column(c).to_numpy() for c in ("block", "id", "n", "matches", "root"))
+        lists = cell.column("tokens").combine_chunks()
+        tokens = lists.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        _, number, count = np.unique(tokens, return_inverse=True, return_counts=True)
+        several = count[number] > 1
+        number, owner = np.unique(number[several], return_inverse=True)[1], owner[several]
+        shared_ = np.zeros((len(ids), len(ids)), np.float32)
+        order = np.argsort(number, kind="stable")
+        number, owner = number[order], owner[order]
+        for low in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+            begin, end = np.searchsorted(number, [low, low + 4096])
+            has = np.zeros((len(ids), 4096), np.float32)
+            has[owner[begin:end], number[begin:end] - low] = 1
+            shared_ += has @ has.T
+        one, two = np.nonzero(np.triu(shared_, 1))
+        crossing = block[one] != block[two] if cell.column("x")[0] != cell.column("y")[0] else np.ones(len(one), bool)
+        least, most = np.minimum(n[one], n[two]), np.maximum(n[one], n[two])
+        good = crossing & (root[one] != root[two]) & (least * 100 >= most * percent)
+        one, two = one[good], two[good]
+        sizes = n[one] + n[two]
+        overlap = -(-(sizes * percent) // (100 + percent))
+        rest = np.maximum(-(-(n[one] * percent) // 100) - matches[one], -(-(n[two] * percent) // 100) - matches[two])
+        good = shared_[one, two] >= np.maximum(np.minimum(matches[one], matches[two]), overlap - rest)
+        one, two, sizes = one[good], two[good], sizes[good]
+        bits = np.unpackbits(cell.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint8).reshape(len(ids), -1), axis=1)
+        good = np.zeros(len(one), bool)
+        for at in range(0, len(one), 8192):
+            part = slice(at, at + 8192)
+            apart = np.count_nonzero(bits[one[part]] != bits[two[part]], axis=1)
+            good[part] = (100 + percent) * ((sizes[part] - apart) // 2) >= percent * sizes[part]
+        a, b = ids[one[good]], ids[two[good]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)).cast(kind), pa.array(np.maximum(a, b)).cast(kind)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in by_cell(batches):
+            yield pairs(cell)
+
+    kind = pa.int64() if isinstance(rows.schema["id"].dataType, T.LongType) else pa.int32()
+    name = rows.schema["id"].dataType.simpleString()
+    return _dealt(sent, "x", "y").mapInArrow(run, f"a {name}, b {name}").distinct()
+
+
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each pair of blocks (x, y), of rows that are sorted by these."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in "xy")
+        cuts = [0, *(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:]):
+            if held and key != (x[begin], y[begin]):
+                yield pa.Table.from_batches(held)
+                held = []
+            key = (x[begin], y[begin])
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt(df: DataFrame, *names: str) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "x", "y").sortWithinPartitions(*names)
+
+
+def hashed_sets(texts: DataFrame) -> DataFrame:
+    """id and set: the shingle hashes of each text, sorted, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.tobytes() for own in sets(part.column(1))], pa.binary())], names=["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, set binary")
+
+
+def cells(pairs: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): the pairs of blocks (x, y) with the documents that their pairs name, each once, and the pairs."""
+    placed = pairs.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("block_a")), "a").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("block_b")), "b")
+    placed = placed.select(F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"), "a", "b")
+    return placed.select("x", "y", F.explode(F.array("a", "b")).alias("id")).distinct(), placed
+
+
+def verified_in_blocks(pairs: DataFrame, texts: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose texts are similar: a document's hashes move once to each pair of blocks that has pairs with it, however many."""
+    members, placed = cells(pairs, blocks)
+    members = written(members, "members-of-blocks")
+    ids = members.select("id").distinct()
+    known = hashed_sets(through_bitmap(texts, ids).join(ids, "id", "left_semi")).dropDuplicates(["id"])
+    none = F.lit(None).cast(texts.schema["id"].dataType)
+    rows = members.join(known, "id").select("x", "y", F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), "set").unionByName(placed.select("x", "y", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("set")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+        for batch in batches:
+            keep = []
+            x, y, kinds, one, two = (batch.column(k).to_pylist() for k in range(5))
+            for i, kind in enumerate(kinds):
+                if key != (x[i], y[i]):
+                    key, held = (x[i], y[i]), {}
+                if kind == 0:
+                    held[one[i]] = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64)
+                    keep.append(False)
+                else:
+                    first, second = held[one[i]], held[two[i]]
+                    common = shared(first, second)
+                    keep.append(common > 0 and 100 * common >= percent * (len(first) + len(second) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    name = texts.schema["id"].dataType.simpleString()
+    return _dealt(rows, "x", "y", "kind").mapInArrow(run, f"a {name}, b {name}").distinct()
 
 
 def _named(members: DataFrame, roots: DataFrame) -> DataFrame:

@@ -565,3 +565,21 @@ def test_scratch_is_released(spark):
     common.release(spark)
     with pytest.raises(Exception):
         spark.read.parquet(path)
+
+
+def test_ngram_join_moves_sets_by_blocks_not_by_pairs(spark, monkeypatch):
+    """Long texts of which all pairs are just below the threshold, and two that link: pairs grow with the square, sets that move with the number of blocks a set meets."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 20_000)
+    seen = {}
+    monkeypatch.setattr(ngram_join, "cells", lambda pairs, blocks, f=ngram_join.cells: seen.setdefault("cells", f(pairs, blocks)))
+    for n in (60, 120):
+        base = " ".join(f"b{k}" for k in range(400))
+        rows = [(i, base + " " + " ".join(f"own{i}x{k}" for k in range(72))) for i in range(n + 1)]
+        rows.append((n + 1, rows[-1][1] + " more"))
+        seen.clear()
+        members, _ = ngram_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string"))
+        roots = {r["id"]: r["component_id"] for r in members.collect()}
+        assert roots == {i: min(i, n) for i in range(n + 2)}
+        sent, pairs = seen["cells"][0].count(), seen["cells"][1].count()
+        assert pairs >= 0.9 * n * (n - 1) / 2
+        assert sent <= n * (n * 476 // 20_000 + 2)
