@@ -23,8 +23,8 @@ The template decides about blocks of text and never about single words in them:
 nothing of the text of a kept block is dropped. Copies of a page count once. Pages of
 blocks too small for a template are cut into slots by their own structural elements.
 
-A host's pages are spread over blocks by a hash of the page, so that a hot host is
-many blocks; html is shuffled once, and a task holds one block.
+A host's pages are spread over blocks by a hash of the page and of its place in the input, so that a hot host,
+or one page that is repeated, is many blocks; html is shuffled once, and a task holds one block.
 
 Text: character references are decoded, white space (Unicode's, so no-break spaces
 and line breaks too) within a block element becomes one space, blocks are joined in
@@ -32,7 +32,7 @@ page order by two line feeds. Names in class, id and role mean boilerplate as wh
 
 Defined results: null html is empty and gives an empty text; unclosed elements end
 with the element above them; a document that is cut short counts up to its end, and
-a tag that nothing closes is text; a page takes time in proportion to its length; a
+a tag that nothing closes is text; a page takes time, and memory for its tags, in proportion to its length; a
 null url has the empty host; repeated pages are extracted alike, row by row; other
 columns are ignored; an empty table gives no rows.
 """
@@ -45,6 +45,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
+from sys import intern
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -87,20 +88,16 @@ CONTENT = ("article", "main")
 
 
 class Slot:
-    """A stretch of a page below one path: its blocks of text. ``key`` numbers the path, ``depth`` is its length and ``last`` its last tag."""
+    """A stretch of a page below one path with text: its blocks. ``key`` tells the path, ``depth`` is its length, ``low`` the least length since the slot before, and ``last`` its last tag."""
 
-    def __init__(self, key: int, depth: int, last: str, role: str):
-        self.key, self.depth, self.last, self.role, self.blocks, self.part = key, depth, last, role, [], []
+    __slots__ = ("key", "depth", "low", "last", "role", "blocks")
 
-    def end_block(self) -> None:
-        text = "".join(self.part)
-        if text and not text.isspace():
-            self.blocks.append(text)
-        self.part = []
+    def __init__(self, key: int, depth: int, low: int, last: str, role: str):
+        self.key, self.depth, self.low, self.last, self.role, self.blocks = key, depth, low, last, role, []
 
 
 class Open(NamedTuple):
-    """An open element: its tag, the path's number, and what it and those above it say."""
+    """An open element: its tag, the path's key, and what it and those above it say."""
 
     name: str
     tag: str
@@ -169,44 +166,44 @@ def named(name: str, attributes: str, in_article: bool) -> tuple[str, bool]:
     return f"{name}.{'.'.join(words)}" if words else name, own or meant
 
 
-def parsed(source: str, paths: dict[tuple[int, str], int] | None = None) -> tuple[list[tuple], list[Slot]]:
-    """A page's tokens (path and tag, or path and word) and its slots. Paths are numbered in ``paths``, by the path above and the tag."""
-    paths = {} if paths is None else paths
+def parsed(source: str) -> tuple[list[tuple], list[Slot]]:
+    """A page's tokens (path and tag, or path and word) and its slots. A path's key is a hash of the path above and the tag, which holds within a process."""
     stack, open_names = [TOP], Counter()
-    slot = Slot(0, 0, "", "")
-    slots, tokens = [slot], []
-
-    def open_slot() -> Slot:
-        top = stack[-1]
-        slots.append(Slot(top.key, len(stack) - 1, top.tag, top.role))
-        return slots[-1]
-
-    def text(piece: str) -> None:
-        slot.part.append(" " if piece.isspace() else piece)
+    slot: Slot | None = None
+    slots, tokens, part, low = [], [], [], 0
+    known: dict[tuple, tuple] = {}  # what a tag without class and the like says is worked out once
 
     def end_block() -> None:
-        if not slot.part:
+        nonlocal slot, part, low
+        if not part:
             return
-        n = len(slot.blocks)
-        slot.end_block()
-        if len(slot.blocks) > n:
-            tokens.extend(zip(repeat(slot.key), slot.blocks[n].split()))
+        text, part = "".join(part), []
+        if not text or text.isspace():
+            return
+        if slot is None:
+            top = stack[-1]
+            slot = Slot(top.key, len(stack) - 1, low, top.tag, top.role)
+            slots.append(slot)
+            low = slot.depth
+        slot.blocks.append(text)
+        tokens.extend(zip(repeat(slot.key), text.split()))
 
     at, skipped = 0, False
     for begin, end, name, closing, attributes in markup(source):
-        if not skipped:
-            text(source[at:begin])
+        if not skipped and at < begin:
+            piece = source[at:begin]
+            part.append(" " if piece.isspace() else piece)
         at = end
         if not name:
             continue
         if name == "br" and not skipped:
-            slot.part.append(" ")
+            part.append(" ")
         if name in BLOCKS:
             end_block()
             skipped = False
         if name not in STRUCTURE:  # a paragraph or list item that is named as boilerplate goes up to the next block
             if name in BLOCKS and not closing and attributes.strip():
-                skipped = named(name, attributes, slot.role == "article")[1]
+                skipped = named(name, attributes, stack[-1].article and not stack[-1].boilerplate)[1]
             continue
         if closing:
             if not open_names[name]:
@@ -214,18 +211,24 @@ def parsed(source: str, paths: dict[tuple[int, str], int] | None = None) -> tupl
             while (last := stack.pop()).name != name:
                 open_names[last.name] -= 1
             open_names[name] -= 1
-            tokens.append((stack[-1].key, f"</{last.tag}>"))
+            tokens.append((stack[-1].key, intern(f"</{last.tag}>")))
+            low = min(low, len(stack) - 1)
         else:
             top = stack[-1]
-            tag, boilerplate = named(name, attributes, top.article)
-            tokens.append((top.key, f"<{tag}>"))
+            said = (name, attributes, top.article)
+            if said not in known:
+                if len(known) > 1000:
+                    known.clear()
+                known[said] = named(*said)
+            tag, boilerplate = known[said]
+            tokens.append((top.key, intern(f"<{tag}>")))
             if not attributes.endswith("/"):
-                key = paths.setdefault((top.key, tag), len(paths) + 1)
-                stack.append(Open(name, tag, key, top.boilerplate or boilerplate, top.article or name == "article", top.main or name == "main"))
+                stack.append(Open(name, intern(tag), hash((top.key, tag)), top.boilerplate or boilerplate, top.article or name == "article", top.main or name == "main"))
                 open_names[name] += 1
-        slot = open_slot()
-    if not skipped:
-        text(source[at:])
+        slot = None
+    if not skipped and at < len(source):
+        piece = source[at:]
+        part.append(" " if piece.isspace() else piece)
     end_block()
     return tokens, slots
 
@@ -362,7 +365,7 @@ def labelled(slots: list[Slot], fixed: list[list[int]]) -> set[int]:
     """The slots within elements that begin with a short block of the template that names boilerplate, such as a heading above readers' comments."""
     found, depth = set(), None
     for i, (slot, counts) in enumerate(zip(slots, fixed)):
-        if depth is not None and slot.depth < depth:
+        if depth is not None and slot.low < depth:
             depth = None
         if depth is None and slot.blocks and slot.depth and slot.last.split(".")[0] not in ("html", "body", *CONTENT):
             words = slot.blocks[0].split()
@@ -388,8 +391,7 @@ def main_text(slots: list[Slot], fixed: list[list[int]]) -> str:
 
 def extract(sources: list[str]) -> list[str]:
     """The main texts of pages of one host."""
-    paths: dict[tuple[int, str], int] = {}
-    read = [parsed(s, paths) for s in sources]
+    read = [parsed(s) for s in sources]
     return [main_text(slots, fixed) for (_, slots), fixed in zip(read, fixed_words(read))]
 
 
@@ -401,7 +403,7 @@ def extracted(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     if sizes.count() <= MOST_HOSTS:  # some 4 MB; beyond that a join that adaptive execution can split
         sizes = F.broadcast(sizes)
     spread = pages.withColumn("host", host).join(sizes, F.col("host") == F.col("h"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    spread = spread.select("id", "url", "html", "host", F.pmod(F.xxhash64("id", "url"), F.col("blocks")).alias("block"))
+    spread = spread.select("id", "url", "html", "host", F.pmod(F.xxhash64("id", "url", F.monotonically_increasing_id()), F.col("blocks")).alias("block"))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
