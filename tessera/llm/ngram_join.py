@@ -350,17 +350,17 @@ def link_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 
 def _shared_tokens(rows: DataFrame) -> DataFrame:
-    """The postings of shingles that more than one document has in its prefix."""
-    several = rows.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("token")
+    """The postings of shingles that more than one document has in its prefix, with the least of these."""
+    several = rows.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("token", F.col("low").alias("least"))
     return rows.select("id", "n", "matches", "token").distinct().join(several, "token")
 
 
 def _between(rows: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of the postings (id, n, matches, token) those of classes and of shingles whose documents lie in more than one component, with sketch, root, and into how many parts a round deals the shingle's documents."""
+    """Of the postings (id, n, matches, token) those of classes and of shingles whose documents lie in more than one component, with sketch, root, into how many parts a round deals the shingle's documents, and the least of them."""
     rooted = rows.join(sketches.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "id")
-    tokens = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high")
-    kept = rooted.join(tokens.select("token", (F.floor(F.col("rows") / DEALT_ROWS) + 1).alias("parts")), "token")
-    return kept.join(sketches.select("id", "sketch").dropDuplicates(["id"]), "id").select("id", "n", "matches", "token", "root", "parts", "sketch")
+    tokens = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"), F.min("id").alias("least")).where("low < high")
+    kept = rooted.join(tokens.select("token", (F.floor(F.col("rows") / DEALT_ROWS) + 1).alias("parts"), "least"), "token")
+    return kept.join(sketches.select("id", "sketch").dropDuplicates(["id"]), "id").select("id", "n", "matches", "token", "root", "parts", "sketch", "least")
 
 
 def _apart_bits(one: Column, two: Column) -> Column:
@@ -398,12 +398,11 @@ def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """id and block: documents of a group, told by the least that shares a shingle, lie in neighbouring blocks of BLOCK_SHINGLES shingles and BLOCK_ROWS documents at most, but for longer documents alone."""
-    least = rows.groupBy("token").agg(F.min("id").alias("least"))
-    near = rows.join(least, "token").groupBy("id").agg(F.min("least").alias("group"), F.first("n").alias("n"))
+    """id, n, matches, root, sketch and block: documents of a group, told by the least that shares a shingle, lie in neighbouring blocks of BLOCK_SHINGLES shingles and BLOCK_ROWS documents at most, but for longer documents alone."""
+    near = rows.groupBy("id").agg(F.min("least").alias("group"), *(F.first(c).alias(c) for c in ("n", "matches", "root", "sketch")))
     weight = F.greatest("n", F.lit(BLOCK_SHINGLES // BLOCK_ROWS))
-    placed = prefix_sums(near.select("id", "group", weight.alias("sum"), weight.alias("own")), [("group", "asc"), ("id", "asc")], ["sum"])
-    return placed.select("id", F.floor((F.col("sum") - F.col("own")) / BLOCK_SHINGLES).alias("block"))
+    placed = prefix_sums(near.withColumns({"sum": weight, "own": weight}), [("group", "asc"), ("id", "asc")], ["sum"])
+    return placed.select("id", "n", "matches", "root", "sketch", F.floor((F.col("sum") - F.col("own")) / BLOCK_SHINGLES).alias("block"))
 
 
 def _met_enough(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
@@ -412,12 +411,12 @@ def _met_enough(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     Shingles are counted in blocks: a document comes once to each block that shares some
     with it, with those alone, and a pair of blocks counts its pairs as products of incidence matrices.
     """
-    placed = rows.select("id", "n", "matches", "token", "root", "sketch").dropDuplicates(["id", "token"]).join(blocks, "id")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.select("id", "token", "root", "n").join(blocks.select("id", "block"), "id").repartition(parts, "token")
     there = placed.groupBy("token", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("short"), F.max("n").alias("long")).withColumnRenamed("block", "other")
     likely = ((F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))) & (F.col("long") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("short") * percent)
-    met = placed.join(there, "token").where(likely)
-    known = [F.first(c).alias(c) for c in ("n", "matches", "root", "sketch")]
-    sent = met.groupBy("id", "block", "other").agg(*known, F.collect_list("token").alias("tokens"))
+    met = placed.join(there, "token").where(likely).select("id", "other", "token")
+    sent = met.groupBy("id", "other").agg(F.collect_set("token").alias("tokens")).join(blocks, "id")
     sent = sent.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "matches", "root", "sketch", "tokens")
 
     def pairs(cell: pa.Table) -> pa.RecordBatch | None:
