@@ -2,9 +2,9 @@
 
 Records are range-sorted by page id in one shuffle, which also brings each page the
 decision whether it repeats another one: a row without payload that sorts before
-the page. The ranges come from exact sums of bytes over buckets of equal width
-in page ids, not from samples, so that they are the same in every run; ids
-that crowd in one bucket stay in one task, which sorts with spilling. A task writes its range to files of ``roll_bytes`` compressed bytes (each
+the page. The ranges come from exact running sums of bytes over all ids and payloads,
+not from samples, so that they are the same in every run and hold about equal
+bytes however ids crowd; rows of one id are told apart by their payloads' digests, and only repeated rows stay together. A task writes its range to files of ``roll_bytes`` compressed bytes (each
 record a gzip member with a fixed time stamp), under a name of its own attempt, and
 renames a file when it is complete; its row of the manifest is its result. The
 manifest is written by Spark's committer when all tasks have ended, and the reader
@@ -39,14 +39,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import blocks_for, checkpoint, small_batches
+from tessera.operators.ranks import prefix_sums
 
 LEAST_BYTES, ROLL_BYTES = 1000, 16_000_000
-#: Buckets of page ids, the least and the most, and for a part; payload bytes that a task writes, more for large inputs; compressed bytes that a task reads where there are many files.
-LEAST_BUCKETS, MOST_BUCKETS, PART_BUCKETS = 4096, 65_536, 16
+#: Payload bytes that a task writes, more for large inputs; compressed bytes that a task reads where there are many files.
 PART_BYTES, MOST_PART_BYTES, PARTS, READ_BYTES = 8_000_000, 256_000_000, 4096, 64_000_000
 #: What a record has besides its payload, about.
 HEAD_BYTES = 600
@@ -61,18 +61,19 @@ def _sha1(data: bytes) -> str:
 
 
 def record(page: int | None, copy: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
-    """One record, compressed as a gzip member."""
+    """One record, compressed as a gzip member. Its id holds the page, the payload's digest and how many records with both stand before."""
     head = ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=UTF-8", f"Content-Length: {len(payload)}", "", ""]
     block = "\r\n".join(head).encode() + (payload if refers_to is None else b"")
     name = "none" if page is None else str(page)
+    digest = hashlib.sha256(payload).hexdigest()
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{name}:{copy}>"),
+        ("WARC-Record-ID", f"<urn:page:{name}:{digest}:{copy}>"),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Payload-Digest", _sha1(payload)),
         ("WARC-Block-Digest", _sha1(block)),
-        *((("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}:0>")) if refers_to is not None else ()),
+        *((("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}:{digest}:0>")) if refers_to is not None else ()),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
@@ -116,9 +117,10 @@ def _local(folder: str) -> str:
 
 
 def outline(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """pages(page_id, payload) to page_id, bytes, and the digests of payloads that may be stored once."""
+    """pages(page_id, payload) to page_id, bytes, digest, and the digests of payloads that may be stored once."""
     large = F.octet_length("payload") >= least_bytes
-    return checkpoint(pages.select("page_id", F.octet_length("payload").alias("bytes"), F.when(large, F.sha2("payload", 256)).alias("key"), F.when(large, F.sha1("payload")).alias("sha1")))
+    digested = pages.select("page_id", F.octet_length("payload").alias("bytes"), F.sha2("payload", 256).alias("digest"), F.when(large, F.sha1("payload")).alias("sha1"))
+    return checkpoint(digested.withColumn("key", F.when(F.col("sha1").isNotNull(), F.col("digest"))))
 
 
 def repeats(outlined: DataFrame) -> DataFrame:
@@ -128,18 +130,30 @@ def repeats(outlined: DataFrame) -> DataFrame:
     return small.join(kept, ["key", "sha1"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "key", "refers_to")
 
 
-def ranges(outlined: DataFrame) -> tuple[DataFrame, Column, int]:
-    """A table of buckets (bucket, part), the bucket of a page_id, and the number of parts: ranges of ids of about equal bytes."""
-    low, high, total = outlined.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("bytes") + HEAD_BYTES)).first()
-    low, high, total = low or 0, high or 0, total or 0
+def ranges(outlined: DataFrame) -> tuple[DataFrame, int]:
+    """One row with ``firsts``, the least (page_id, digest) of each part in order, and the number of parts: ranges of about equal bytes."""
+    size = F.col("bytes") + HEAD_BYTES
+    each = outlined.groupBy("page_id", "digest").agg(F.sum(size).alias("own"))
+    total = each.agg(F.sum("own")).first()[0] or 0
     part_bytes = min(max(PART_BYTES, total // PARTS), MOST_PART_BYTES)
-    n_parts = total // part_bytes + 1
-    width = (high - low) // min(max(LEAST_BUCKETS, PART_BUCKETS * n_parts), MOST_BUCKETS) + 1
-    bucket = F.coalesce(F.expr(f"(cast(page_id AS decimal(38,0)) - {low}BD) div {width}BD"), F.lit(0)).cast("long")
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # MOST_BUCKETS rows at most
-    sums = outlined.groupBy(bucket.alias("bucket")).agg(F.sum(F.col("bytes") + HEAD_BYTES).alias("bytes"))
-    parts = sums.select("bucket", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / part_bytes).cast("int").alias("part"))
-    return parts, bucket, n_parts
+    placed = prefix_sums(each.withColumn("sum", F.col("own")), [("page_id", "asc"), ("digest", "asc")], ["sum"])
+    part = F.floor((F.col("sum") - F.col("own")) / part_bytes)
+    firsts = checkpoint(placed.groupBy(part.alias("part")).agg(F.min(F.struct("page_id", "digest")).alias("first")), 1)
+    return firsts.agg(F.sort_array(F.collect_list("first")).alias("firsts")), max(firsts.count(), 1)  # a row a part
+
+
+def part_of(page_id: Column, digest: Column, firsts: Column, n_parts: int) -> Column:
+    """The part of a row: how many firsts are at or before it, less one, by halving."""
+    own = F.struct(page_id.alias("page_id"), digest.alias("digest"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        after = F.get(firsts, middle) <= own
+        return F.struct(F.when(after & (s["low"] < s["high"]), middle + 1).otherwise(s["low"]).alias("low"), F.when(after | (s["low"] >= s["high"]), s["high"]).otherwise(middle).alias("high"))
+
+    begin = F.struct(F.lit(0).alias("low"), F.lit(n_parts).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(n_parts.bit_length() + 1)), begin, halve)
+    return F.greatest(found["low"] - 1, F.lit(0))
 
 
 def write(df: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -148,33 +162,32 @@ def write(df: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_bytes:
     folder = _local(folder.rstrip("/"))
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     none = F.lit(None)
-    stored = pages.select("page_id", F.lit(1).alias("kind"), "url", "payload", none.cast("string").alias("key"), none.cast("long").alias("refers_to"))
+    stored = pages.select("page_id", F.lit(1).alias("kind"), "url", "payload", F.sha2("payload", 256).alias("key"), none.cast("long").alias("refers_to"))
     outlined = outline(pages, least_bytes)
     decided = repeats(outlined).select("page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("binary").alias("payload"), "key", "refers_to").distinct()
-    parts, bucket, n_parts = ranges(outlined)
-    dealt = stored.unionByName(decided).withColumn("bucket", bucket).join(F.broadcast(parts), "bucket")
+    firsts, n_parts = ranges(outlined)
+    part = part_of(F.col("page_id"), F.col("key"), F.col("firsts"), n_parts)
+    dealt = stored.unionByName(decided).crossJoin(F.broadcast(firsts)).withColumn("part", part)  # one row
     columns = ("page_id", "kind", "url", "payload", "key", "refers_to")
-    ordered = dealt.select(*columns, "part").repartitionById(n_parts, "part").sortWithinPartitions("page_id", "kind", "url", "payload").select(*columns)
+    ordered = dealt.select(*columns, "part").repartitionById(n_parts, "part").sortWithinPartitions("page_id", "key", "kind", "url").select(*columns)
     file_system, top = pa.fs.FileSystem.from_uri(folder)
     file_system.create_dir(f"{top}/data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         out = Roller(f"{folder}/data", context.partitionId(), context.taskAttemptId(), roll_bytes)
-        now, copy, decisions = object(), 0, {}
+        now, copy, target = None, 0, None
         for batch in batches:
             columns = [batch.column(i) for i in range(6)]
             for i in range(batch.num_rows):
                 page, kind, url, payload, key, refers_to = (c[i] for c in columns)
-                page = page.as_py()
-                if page != now:
-                    now, copy, decisions = page, 0, {}
-                if kind.as_py() == 0:
-                    decisions[key.as_py()] = refers_to.as_py()
+                own = page.as_py(), key.as_py()
+                if own != now:
+                    now, copy, target = own, 0, None
+                if kind.as_py() == 0:  # stands before the rows that it decides
+                    target = refers_to.as_py()
                     continue
-                data = payload.as_py()
-                target = decisions.get(hashlib.sha256(data).hexdigest()) if decisions else None
-                out.write(page, record(page, copy, url.as_py(), data, target))
+                out.write(own[0], record(own[0], copy, url.as_py(), payload.as_py(), target))
                 copy += 1
         out.close()
         yield pa.RecordBatch.from_pylist(out.done, pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("first_page", pa.int64()), ("last_page", pa.int64())]))

@@ -424,3 +424,36 @@ def test_preferences_with_repeated_turns(spark):
     found = preferences.preference_pairs(spark.createDataFrame(turns, TURNS), spark.createDataFrame(other, TURNS)).first()
     assert found["n_common"] == 2 and found["prompt"] == "<|user|>\nhi<|end|>\n" * 2
     assert found["chosen"].endswith("yes<|end|>\n") and found["rejected"].endswith("no<|end|>\n")
+
+
+def test_warc_ranges_survive_one_odd_id(spark, tmp_path, monkeypatch):
+    """One id of 2^62 beside ids that crowd, null ids and one id with many payloads: no part has more than twice the mean, and every part is a range."""
+    monkeypatch.setattr(warc, "PART_BYTES", 100_000)
+    rows = [(i, f"http://a.b/{i}", f"{i:06d}" * 100) for i in range(1000)] + [(2**62, "u", "x" * 900)]
+    rows += [(None, "n", f"{i:05d}" * 100) for i in range(200)] + [(500, "u", f"{i:04d}" * 100) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    folder = str(tmp_path / "odd")
+    manifest = warc.write(df, folder, roll_bytes=10**9).collect()
+    records = [r["records"] for r in manifest]
+    assert sum(records) == len(rows) and len(records) >= 8 and max(records) <= 2 * sum(records) / len(records)
+    ends = sorted((-1 if r["first_page"] is None else r["first_page"], -1 if r["last_page"] is None else r["last_page"]) for r in manifest)
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+    assert Counter((r["page_id"], bytes(r["payload"]).decode()) for r in warc.read(spark, folder).collect()) == Counter((i, h) for i, _, h in rows)
+
+
+def test_warc_revisits_refer_to_the_record_with_their_payload(spark, tmp_path):
+    """An id with several payloads: a revisit's reference names the record that has its own."""
+    a, b = "a" * 2000, "b" * 2000
+    rows = [(1, "u", a), (5, "u", "0" * 2000), (5, "v", a), (5, "u", a), (5, "u", b), (3, "u", b)]
+    folder = str(tmp_path / "several")
+    names = [r["file"] for r in warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder).collect()]
+    ids, refers = {}, []
+    for name in names:
+        with open(f"{folder}/data/{name}", "rb") as stream:
+            for fields, block in warc.records_of(stream):
+                assert fields["WARC-Record-ID"] not in ids
+                ids[fields["WARC-Record-ID"]] = fields["WARC-Type"], fields["WARC-Payload-Digest"]
+                if "WARC-Refers-To" in fields:
+                    refers.append((fields["WARC-Refers-To"], fields["WARC-Payload-Digest"]))
+    assert len(ids) == 6 and len(refers) == 2
+    assert all(ids[name] == ("response", digest) for name, digest in refers)
