@@ -9,14 +9,17 @@ from pyspark.sql import types as T
 from tessera.sources.tables import table
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], hot_rows: int = 1_000_000, spans: int = 64) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], hot_rows: int | None = None, spans: int = 64) -> DataFrame:
     """Each left row with the values of the latest right row of the same key at or before it.
 
     One union and one window per key instead of a join of all pairs: right rows sort
     before left rows of the same time, and ``last`` carries the values forward. The
     values travel as one struct, so that a null value in the latest row stays null.
-    A key with more than hot_rows rows is cut into spans of time, each a window of its
-    own, which begins with the last right row of the spans before it.
+
+    With hot_rows, a key with more rows than that is cut at quantiles of its times into
+    spans of about equal numbers of rows, each a window of its own, which begins with the last
+    right row of the spans before it; rows of one time stay together. The plan stays lazy: keys are counted, from the
+    key and time columns alone, when it runs. Without, a key is one window, which sorts and spills in one task.
     """
     packed = F.struct(*(F.col(v) for v in values))
     none = F.lit(None).cast(right.select(packed.alias("v")).schema["v"].dataType)
@@ -24,34 +27,30 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values:
     a = left.select(*by, on, F.lit(1).alias("__side"), F.struct(*rest).alias("__left"), none.alias("__right"))
     b = right.select(*by, on, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), packed.alias("__right"))
     rows = a.unionByName(b).withColumn("__span", F.lit(0))
-    hot = left.select(*by, on).unionByName(right.select(*by, on)).groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(on).alias("__low"), F.max(on).alias("__high")).where(F.col("__n") > hot_rows)
-    if isinstance(left.schema[on].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)) and not hot.isEmpty():
-        rows = _with_spans(rows, hot, by, on, spans)
+    ordered = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)
+    if hot_rows is not None and isinstance(left.schema[on].dataType, ordered):
+        both = left.select(*by, on).unionByName(right.select(*by, on))
+        cuts = F.percentile_approx(on, F.array(*(F.lit(k / spans) for k in range(1, spans))), 100 * spans)
+        rows = _with_spans(rows, both.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), cuts.alias("__cuts")).where(F.col("__n") > hot_rows), by, on)
     order = Window.partitionBy(*by, "__span").orderBy(F.asc_nulls_first(on), "__side").rowsBetween(Window.unboundedPreceding, 0)
     filled = rows.withColumn("__last", F.last("__right", ignorenulls=True).over(order)).where("__side = 1")
     return filled.select(*by, on, *(F.col(f"__left.{c}") for c in rest), *(F.col(f"__last.{v}").alias(f"asof_{v}") for v in values))
 
 
-def _with_spans(rows: DataFrame, hot: DataFrame, by: list[str], on: str, spans: int) -> DataFrame:
-    """The union's rows with the span of hot keys, and a row before each span with what the right rows before it leave."""
-
-    def number(c: Column) -> Column:
-        kind = rows.schema[on].dataType
-        return c.cast("double") if isinstance(kind, T.NumericType) else c.cast("timestamp").cast("double")
-
-    known = hot.select(*(F.col(c).alias(f"__{c}") for c in by), number(F.col("__low")).alias("__low"), number(F.col("__high")).alias("__high"))
+def _with_spans(rows: DataFrame, hot: DataFrame, by: list[str], on: str) -> DataFrame:
+    """The union's rows with the span of hot keys (how many of the key's cuts are below the time), and a row before each span with what the right rows before it leave."""
+    known = hot.select(*(F.col(c).alias(f"__{c}") for c in by), "__cuts")
     same = F.lit(True)
     for c in by:
         same = same & rows[c].eqNullSafe(known[f"__{c}"])
-    place = F.floor((number(F.col(on)) - F.col("__low")) / (F.col("__high") - F.col("__low")) * spans)
-    span = F.when(F.col("__high") > F.col("__low"), F.least(F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)), F.lit(spans - 1))).otherwise(F.lit(0)).cast("int")
-    dealt = rows.drop("__span").join(known, same, "left").withColumn("__span", F.coalesce(span, F.lit(0))).withColumn("__hot", F.col("__low").isNotNull())
-    dealt = dealt.select(*rows.columns, "__hot")
-    ends = dealt.where("__hot AND __side = 0").groupBy(*by, "__span").agg(F.max_by("__right", on).alias("__right"))
-    until = F.lead("__span", 1, spans - 1).over(Window.partitionBy(*by).orderBy("__span"))
-    carried = ends.withColumn("__until", until).where(F.col("__until") > F.col("__span")).withColumn("__span", F.explode(F.sequence(F.col("__span") + 1, F.col("__until"))))
+    span = F.coalesce(F.size(F.filter("__cuts", lambda cut: cut < F.col(on))), F.lit(0))
+    dealt = rows.drop("__span").join(known, same, "left")
+    dealt = dealt.withColumn("__span", F.when(F.col("__cuts").isNull(), 0).otherwise(span)).withColumn("__most", F.size("__cuts")).select(*rows.columns, "__most")
+    ends = dealt.where("__most > 0 AND __side = 0").groupBy(*by, "__span").agg(F.max_by("__right", on).alias("__right"), F.first("__most").alias("__most"))
+    until = F.lead("__span").over(Window.partitionBy(*by).orderBy("__span"))
+    carried = ends.withColumn("__until", F.coalesce(until, F.col("__most"))).where(F.col("__until") > F.col("__span")).withColumn("__span", F.explode(F.sequence(F.col("__span") + 1, F.col("__until"))))
     first = carried.select(*by, F.lit(None).cast(rows.schema[on].dataType).alias(on), F.lit(-1).alias("__side"), F.lit(None).cast(rows.schema["__left"].dataType).alias("__left"), "__right", "__span")
-    return dealt.drop("__hot").unionByName(first)
+    return dealt.drop("__most").unionByName(first)
 
 
 def band_join(left: DataFrame, right: DataFrame, value: str, other: str, width: float) -> DataFrame:
@@ -70,8 +69,9 @@ def containment_join(documents: DataFrame, passages: DataFrame, text: str, passa
 
     A passage may begin and end inside of words of the document, but all words between
     are whole: an equi-join on the hash of the passage's second and following words
-    makes the candidates, which contains() checks; of shorter passages there are as many
-    words between as they have (4, 2 or 1). Passages of one or two words have none: up
+    makes the candidates; of shorter passages there are as many
+    words between as they have (4, 2 or 1). Hashes alone are exploded and meet, with the hash of the whole text for the
+    text; the distinct pairs of texts meet the documents and the passages once, for contains(). Passages of one or two words have no words between: up
     to ``listed`` of them go to each document as one list, more of them meet the
     documents on their first four characters.
     """
@@ -79,22 +79,26 @@ def containment_join(documents: DataFrame, passages: DataFrame, text: str, passa
     def tokens(c: str) -> Column:
         return F.split(F.col(c), r"\s+")
 
-    def windows(k: int) -> Column:
-        def of(words: Column) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, k), " ")))
+    def windows(ks: list[int]) -> Column:
+        def of(words: Column, k: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice(words, i, k), " ")))
 
         # the words are bound to a variable, so that a document is split once
-        return F.array_distinct(F.flatten(F.transform(F.array(tokens(text)), of)))
+        return F.array_distinct(F.flatten(F.flatten(F.transform(F.array(tokens(text)), lambda w: F.array(*(of(w, k) for k in ks))))))
 
-    def met(part: DataFrame, k: int) -> DataFrame:
-        right = part.withColumn("__window", F.xxhash64(F.array_join(F.slice(tokens(passage), 2, k), " ")))
-        return documents.withColumn("__window", F.explode(windows(k))).join(right, "__window").drop("__window")
+    def met(part: DataFrame, ks: list[int]) -> DataFrame:
+        known = part.withColumn("__passage", F.xxhash64(passage))
+        asked = known.select("__passage", F.xxhash64("__k", F.array_join(F.slice(tokens(passage), F.lit(2), F.col("__k")), " ")).alias("__window")).distinct()
+        named = documents.withColumn("__text", F.xxhash64(text))
+        found = named.select("__text", F.explode(windows(ks)).alias("__window")).join(asked, "__window").select("__text", "__passage").distinct()
+        return named.join(found, "__text").join(known.drop("__k"), "__passage").drop("__text", "__passage")
 
     size = F.size(tokens(passage))
     between = {k: F.when(size >= k + 2, F.lit(k)) for k in sorted({words, *(k for k in (4, 2, 1) if k < words)}, reverse=True)}
     sized = passages.withColumn("__k", F.coalesce(*between.values(), F.when(size > 0, F.lit(0))))
     present = {r["__k"]: r["count"] for r in sized.groupBy("__k").count().collect()}  # six rows at most
-    found = [met(sized.where(F.col("__k") == k).drop("__k"), k) for k in between if k in present]
+    ks = [k for k in between if k in present]
+    found = [met(sized.where("__k > 0"), ks)] if ks else []
     tiny = sized.where("__k = 0").drop("__k")
     columns = F.struct(*(F.col(c) for c in passages.columns))
     if present.get(0, 0) <= listed:
@@ -175,7 +179,7 @@ def asof_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     purchases = events.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
     views = events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"), "value")
-    return asof_join(purchases, views, ["user_id"], "ts", ["view_id", "value"]).select("event_id", "user_id", F.col("asof_view_id").alias("view_id"), F.col("asof_value").alias("view_value"))
+    return asof_join(purchases, views, ["user_id"], "ts", ["view_id", "value"], hot_rows=1_000_000).select("event_id", "user_id", F.col("asof_view_id").alias("view_id"), F.col("asof_value").alias("view_value"))
 
 
 def scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:

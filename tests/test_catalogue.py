@@ -105,10 +105,39 @@ def test_asof_join_of_hot_keys(spark):
         times = [rng.randrange(500) * (1 if rng.random() < 0.5 else 20) for _ in range(300)]
         left = spark.createDataFrame([(i % 3, make(t), i) for i, t in enumerate(times)], f"k int, t {kind}, x int")
         right = spark.createDataFrame([(i % 2, make(7 * i * i % 9000), i, None if i % 4 else i) for i in range(90)], f"k int, t {kind}, v int, w int")
-        one, two = (Counter(map(tuple, joins.asof_join(left, right, ["k"], "t", ["v", "w"], hot_rows=n, spans=16).collect())) for n in (10**9, 20))
+        one, two = (Counter(map(tuple, joins.asof_join(left, right, ["k"], "t", ["v", "w"], hot_rows=n, spans=16).collect())) for n in (None, 20))
         assert one == two and len(one) == 300
 
 
+def test_asof_join_of_a_burst_is_lazy_and_spread(spark):
+    """A key whose rows are in one second but for one stray time: spans go by numbers of rows, and no job runs before the result is asked for."""
+    rows = [(1, 1_000_000 + k, k) for k in range(2000)] + [(1, 10**15, -1), (2, 5, 7)]
+    left = spark.createDataFrame(rows, "k int, t long, x int")
+    right = spark.createDataFrame([(1, 1_000_000 + 7 * k, k) for k in range(280)] + [(1, -(10**15), -5)], "k int, t long, v int")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    found = joins.asof_join(left, right, ["k"], "t", ["v"], hot_rows=100, spans=16)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    plain = joins.asof_join(left, right, ["k"], "t", ["v"])
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, plain.collect()))
+    both = left.select("k", "t").unionByName(right.select("k", "t"))
+    cuts = both.groupBy("k").agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("t", F.array(*(F.lit(k / 16) for k in range(1, 16))), 1600).alias("__cuts")).where("__n > 100")
+    spread = joins._with_spans(both.select("k", "t", F.lit(1).alias("__side"), F.lit(1).alias("__left"), F.lit(None).cast("int").alias("__right"), F.lit(0).alias("__span")), cuts, ["k"], "t")
+    sizes = [r["count"] for r in spread.where("k = 1").groupBy("__span").count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_containment_explodes_hashes_alone(spark, sf_dir):
+    """What is exploded and joined by windows has no text in it."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    found = joins.containment_join(docs, items, "text", "passage")
+    carried = [line.rsplit("), [", 1)[1].split("]")[0] for line in plan(found).splitlines() if "Generate explode" in line and "xxhash64" in line]
+    assert carried and all(c.startswith("__text#") and "," not in c for c in carried)
+    repeated = docs.unionByName(docs)
+    pairs = joins.containment_join(repeated, items, "text", "passage").groupBy("doc_id", "item_id").count()
+    assert {r["count"] for r in pairs.collect()} <= {2}
+
+
 def test_many_tiny_passages(spark):
     """Passages of one or two words, as a list and by their first characters alike; no nested loop over pairs."""
     docs = spark.createDataFrame([(1, "abc def"), (2, "xx"), (3, ""), (4, None), (5, "c dx")], "doc_id int, text string")
