@@ -80,6 +80,8 @@ DEALT_ROWS = 1_000
 PAIR_ROWS = 20_000
 #: Shingles and documents of a block, of which two meet in a task.
 BLOCK_SHINGLES, BLOCK_ROWS = 500_000, 512
+#: Documents of a shingle up to which pairs are formed for it.
+FEW_ROWS = 16
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -334,7 +336,7 @@ def _joined(texts: DataFrame, seen: DataFrame, percent: int, all_links: bool) ->
     if between.isEmpty():
         return _named(members, roots), links
     blocks = written(_blocks(between), "blocks")
-    counted = _met_enough(between, blocks, percent)
+    counted = _met_enough(between.where("dense"), blocks, percent).unionByName(_plausible(_met_rarely(between, percent), sketches, percent))
     rest = checkpoint(counted.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionByName(checkpoint(verified_in_blocks(rest, texts, blocks, percent)))
@@ -356,11 +358,13 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
 
 
 def _between(rows: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of the postings (id, n, matches, token) those of classes and of shingles whose documents lie in more than one component, with sketch, root, into how many parts a round deals the shingle's documents, and the least of them."""
+    """Of the postings (id, n, matches, token) those of classes and of shingles whose documents lie in more than one component, with sketch, root, into how many parts a round deals the shingle's documents, how many these are, the least of them, and whether the document has a shingle with more than FEW_ROWS."""
     rooted = rows.join(sketches.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "id")
     tokens = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"), F.min("id").alias("least")).where("low < high")
-    kept = rooted.join(tokens.select("token", (F.floor(F.col("rows") / DEALT_ROWS) + 1).alias("parts"), "least"), "token")
-    return kept.join(sketches.select("id", "sketch").dropDuplicates(["id"]), "id").select("id", "n", "matches", "token", "root", "parts", "sketch", "least")
+    kept = rooted.join(tokens.select("token", (F.floor(F.col("rows") / DEALT_ROWS) + 1).alias("parts"), "least", "rows"), "token")
+    named = kept.join(sketches.select("id", "sketch").dropDuplicates(["id"]), "id")
+    dense = F.max(F.col("rows") > FEW_ROWS).over(Window.partitionBy("id"))
+    return named.withColumn("dense", dense).select("id", "n", "matches", "token", "root", "parts", "sketch", "least", "rows", "dense")
 
 
 def _apart_bits(one: Column, two: Column) -> Column:
@@ -408,7 +412,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 def _met_enough(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), in different components, that share as many prefix shingles as is asked for and whose sketches allow the overlap.
 
-    Shingles are counted in blocks: a document comes once to each block that shares some
+    All shingles of rows are counted in blocks: a document comes once to each block that shares some
     with it, with those alone, and a pair of blocks counts its pairs as products of incidence matrices.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -463,6 +467,16 @@ def _met_enough(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     return _dealt(sent, "x", "y").mapInArrow(run, f"a {name}, b {name}").distinct()
 
 
+def _met_rarely(rows: DataFrame, percent: int) -> DataFrame:
+    """As _met_enough, without sketches, for pairs one of which has no shingle with more than FEW_ROWS documents: a row for each pair of a shingle's documents, which are few for a shingle."""
+    slim = rows.where(F.col("rows") <= FEW_ROWS).select("token", "id", "n", "matches", "root", "dense").dropDuplicates(["token", "id"])
+    left, right = (slim.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "matches", "root", "dense"))) for side in "ab")
+    n, m = F.col("n_a"), F.col("n_b")
+    both = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & ~(F.col("dense_a") & F.col("dense_b")) & similar_size(n, m, percent))
+    enough = asked(n, F.col("matches_a"), m, F.col("matches_b"), percent)
+    return both.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(enough).alias("asked")).where("met >= asked").select("a", "b")
+
+
 def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each pair of blocks (x, y), of rows that are sorted by these."""
     held: list[pa.RecordBatch] = []
