@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import table
@@ -17,6 +17,39 @@ def sessions(events: DataFrame, user: str, ts: str, gap: str) -> DataFrame:
     return events.groupBy(user, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("events")).select(user, F.col("w.start").cast("timestamp_ntz").alias("start"), "events")
 
 
+def matched_patterns(events: DataFrame, user: str, ts: str, tie: str, steps: list[Column], minutes: int) -> DataFrame:
+    """Where each match of a sequence of steps ends: user, ts and tie of every row that is the first step, and ``end``, the least time of a last step that later rows reach through all steps in order, at most so many minutes after it.
+
+    Other rows may lie between. The automaton runs backwards: from a row, step k can be
+    completed at the least time at which, from any later row that is step k, the steps
+    after it can; each step is a running minimum over one sort. Time is cut into cells of
+    the given minutes, and a row is in its own cell and the one before, so that a match
+    is whole in the cell of its first row and a user of any size is many groups.
+
+    Rows of one time are ordered by tie; rows with a null user or time match nothing, and first
+    steps without a match are left out.
+    """
+    width = minutes * 60_000_000
+    micros = F.unix_micros(F.col(ts).cast("timestamp_ltz"))
+    rows = events.where(F.col(user).isNotNull() & F.col(ts).isNotNull()).select(user, ts, tie, micros.alias("__at"), *(F.coalesce(step, F.lit(False)).alias(f"__{k}") for k, step in enumerate(steps)))
+    cell = F.floor(F.col("__at") / width)
+    dealt = rows.withColumn("__own", cell).withColumn("__cell", F.explode(F.array(F.col("__own"), F.col("__own") - 1)))
+    later = Window.partitionBy(user, "__cell").orderBy("__at", tie).rowsBetween(1, Window.unboundedFollowing)
+    end = F.col("__at")
+    for k in range(len(steps) - 1, 0, -1):
+        dealt = dealt.withColumn(f"__end{k}", F.min(F.when(F.col(f"__{k}"), end)).over(later))
+        end = F.col(f"__end{k}")
+    found = dealt.where(F.col("__0") & (F.col("__own") == F.col("__cell")) & (end <= F.col("__at") + width))
+    return found.select(user, ts, tie, F.timestamp_micros(end).cast(events.schema[ts].dataType).alias("end"))
+
+
+def purchases_after_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views that a click of the same user follows, and a purchase after it, within two days of the view: when the first such purchase is."""
+    kind = F.col("event_type")
+    found = matched_patterns(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", [kind == "view", kind == "click", kind == "purchase"], 2880)
+    return found.select("user_id", "event_id", "ts", "end")
+
+
 def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per_group(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3).select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
 
@@ -96,6 +129,7 @@ def recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "purchases_after_clicks": purchases_after_clicks,
     "top_orders": top_orders,
     "ranks": ranks,
     "neighbours": neighbours,
@@ -115,6 +149,11 @@ QUERIES = {
 
 _KEYS = "WITH a AS (SELECT c_nationkey AS k FROM customer), b AS (SELECT s_nationkey AS k FROM supplier) "
 ORACLES = {
+    "purchases_after_clicks": """
+SELECT v.user_id, v.event_id, v.ts, min(p.ts) AS "end"
+FROM events v JOIN events c ON c.user_id = v.user_id AND c.event_type = 'click' AND c.ts > v.ts
+JOIN events p ON p.user_id = v.user_id AND p.event_type = 'purchase' AND p.ts > c.ts AND p.ts <= v.ts + INTERVAL 2 DAY
+WHERE v.event_type = 'view' GROUP BY ALL""",
     "top_orders": "SELECT o_custkey, o_orderkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3",
     "ranks": "SELECT s_suppkey, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 6) AS percent_rank, round(cume_dist() OVER w, 6) AS cume_dist FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal)",
     "neighbours": "SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after, first_value(role) OVER w AS first, last_value(role) OVER v AS last, nth_value(role, 2) OVER v AS second FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn), v AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",

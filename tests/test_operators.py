@@ -247,3 +247,171 @@ def test_overlap_counts_form_no_pairs(spark, sf_dir, monkeypatch):
     sessions = intervals.user_sessions(spark, sf_dir)
     intervals.overlap_counts(sessions, sessions, "begin", "end").count()
     assert seen[0].count() <= 4 * sessions.count() and "Join" not in plan(seen[0])
+
+
+# --- heavy hitters
+
+
+@pytest.mark.parametrize("share, slack", [(0.05, 0.5), (0.2, 0.9), (0.01, 0.1)])
+def test_heavy_hitters_equal_brute_force(spark, monkeypatch, share, slack):
+    """Shares just above and just at the limit, hidden in one part or spread, nulls, and batches that overflow the counters."""
+    from tessera.operators import aggregates
+
+    rng = random.Random(14)
+    values = ["hot"] * 500 + [None] * 130 + ["edge"] * 101 + ["at"] * 100 + [f"v{rng.randrange(700)}" for _ in range(1169)]
+    assert len(values) == 2000
+    last = ["late"] * 150
+    rng.shuffle(values)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        df = spark.createDataFrame([(v,) for v in values + last], "s string").coalesce(3)
+        found = {r["s"]: r["n"] for r in aggregates.heavy_hitters(df, "s", share, slack).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {v: n for v, n in Counter(values + last).items() if n > share * 2150}
+    assert aggregates.heavy_hitters(df.limit(0), "s", share).count() == 0
+
+
+# --- cores
+
+
+def test_core_numbers_equal_brute_force(spark):
+    """Cliques, chains, a hub, loops, repeated and turned edges, and null ends."""
+    from tessera.operators import graphs
+
+    rng = random.Random(15)
+    edges = [(a, b) for a in range(6) for b in range(a)] + [(5, 10), (10, 11), (11, 12)] + [(100, k) for k in range(20, 60)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(120)]
+    edges += [(b, a) for a, b in edges[:10]] + [(3, 3), (200, 200)]
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want, k = {}, 0
+    while near:
+        while low := [v for v, n in near.items() if len(n) <= k]:
+            for v in low:
+                want[v] = k
+                for n in near.pop(v):
+                    if n in near:
+                        near[n].discard(v)
+        k += 1
+    found = graphs.core_numbers(spark.createDataFrame([*edges, (1, None), (None, 2)], "a int, b int"))
+    assert {r["node"]: r["core"] for r in found.collect()} == want
+    assert graphs.core_numbers(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+# --- patterns
+
+
+@pytest.mark.parametrize("minutes", [3, 10, 100_000])
+def test_matched_patterns_equal_brute_force(spark, minutes):
+    """Matches across cells, ties of time, negative times, nulls, and four steps of which two are the same."""
+    import datetime
+
+    from tessera.operators import windows
+
+    rng = random.Random(16)
+    at = lambda m: datetime.datetime(1970, 1, 1) + datetime.timedelta(minutes=m)
+    rows = [(rng.choice([1, 2, None]), rng.randrange(-60, 90), i, rng.choice("abcx")) for i in range(300)]
+    df = spark.createDataFrame([(u, at(m) if i % 40 else None, i, kind) for u, m, i, kind in rows], "u int, ts timestamp_ntz, i int, kind string")
+    steps = ["a", "b", "b", "c"]
+    found = windows.matched_patterns(df, "u", "ts", "i", [F.col("kind") == s for s in steps], minutes)
+    good = sorted((u, m, i, kind) for u, m, i, kind in rows if u is not None and i % 40)
+    want = set()
+    for k, (u, m, i, kind) in enumerate(good):
+        if kind != "a":
+            continue
+        step = 1
+        for v, n, _, other in good[k + 1 :]:
+            if v != u or n > m + minutes:
+                break
+            if other == steps[step]:
+                step += 1
+                if step == 4:
+                    want.add((u, at(m), i, at(n)))
+                    break
+    assert {tuple(r) for r in found.collect()} == want
+
+
+# --- table functions, pruning, clustering
+
+
+def test_fill_gaps(spark):
+    """Keys that are null, times that are null, both fills, a schema of other types, and arguments that are refused."""
+    import datetime
+
+    from tessera.functions.python import FillGaps
+
+    hour = lambda h: datetime.datetime(2024, 1, 1, h)
+    rows = [("a", hour(1), 2.5), ("a", hour(4), 1.0), (None, hour(2), 7.0), (None, hour(3), 8.0), ("b", None, 0.5), ("b", hour(9), 6.0)]
+    spark.createDataFrame(rows, "k string, t timestamp_ntz, v double").createOrReplaceTempView("gaps")
+    spark.udtf.register("fill_gaps", F.udtf(FillGaps))
+    for fill, value in (("last", 2.5), ("0", 0.0)):
+        found = spark.sql(f"SELECT * FROM fill_gaps(TABLE(gaps), 'k', 't', 'v', 3600, '{fill}')")
+        assert found.dtypes == [("k", "string"), ("t", "timestamp_ntz"), ("v", "double"), ("filled", "boolean")]
+        want = Counter((k, t, v, False) for k, t, v in rows) + Counter([("a", hour(2), value, True), ("a", hour(3), value, True)])
+        assert Counter(map(tuple, found.collect())) == want
+    for wrong in ("'k', 'k', 'v'", "'k', 't', 'w'"):
+        with pytest.raises(Exception, match="no time|no column"):
+            spark.sql(f"SELECT * FROM fill_gaps(TABLE(gaps), {wrong}, 3600, 'last')").collect()
+
+
+def scanned_files(df):
+    """Run the query; the scans of its final plan with how many files each read."""
+    df.collect()
+    found = []
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind == "FileSourceScanExec":
+            found.append((node.toString(), node.metrics().apply("numFiles").value()))
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_dynamic_pruning_reads_the_joined_partitions(spark, sf_dir):
+    """The scan has the other side's keys as a dynamic filter and reads fewer partitions than there are."""
+    from tessera.sources import formats
+
+    found = formats.dynamic_pruning(spark, sf_dir)
+    assert "dynamicpruning" in plan(found)
+    nations = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_nationkey").distinct().count()
+    read = [n for text, n in scanned_files(found) if "dynamicpruning" in text]
+    assert len(read) == 1 and read[0] < nations
+
+
+def test_clustered_files_are_skipped_on_either_column(spark, tmp_path):
+    """By Z-order, a filter on either column leaves few of the files whose statistics allow a row; sorted by one, the other leaves all. Skewed values and nulls too."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tessera.sources import formats
+
+    rng = random.Random(17)
+    rows = [(int(rng.paretovariate(1)) if k % 50 else None, rng.randrange(1000), k) for k in range(8000)] + [(1, 1, 1)] * 500
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    formats.write_clustered(df, ["a", "b"], f"{tmp_path}/z", 16, 6)
+    df.repartitionByRange(16, "b", "c").write.parquet(f"{tmp_path}/sorted")
+
+    def possible(path, column, low, high):
+        kept = 0
+        for name in glob.glob(f"{tmp_path}/{path}/*.parquet"):
+            group = pq.ParquetFile(name).metadata.row_group(0).column("abc".index(column)).statistics
+            kept += group.has_min_max and group.min <= high and group.max >= low
+        return kept
+
+    assert Counter(map(tuple, spark.read.parquet(f"{tmp_path}/z").collect())) == Counter(rows)
+    assert possible("z", "b", 100, 110) <= 10 and possible("z", "a", 20, 30) <= 10
+    assert possible("sorted", "a", 20, 30) >= 14
+    key = spark.range(1).select(formats.interleaved([F.lit(5), F.lit(3)], 3)).first()[0]
+    assert key == 0b100111
