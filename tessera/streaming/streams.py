@@ -1,12 +1,11 @@
 """Structured Streaming: windowed aggregates, deduplication, interval joins and custom state.
 
 Each query drains the events table as a stream (available now) to a Parquet or
-callback sink below the shared folder and returns what arrived as a batch.
+callback sink below the shared folder, which ``sources.tables.release`` removes, and returns what arrived as a batch.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.sources.tables import shared_dir, table
+from tessera.sources.tables import scratch, table
 
+STEP_FILES = 4
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,19 +53,27 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
 
 
+def _latest(changed: DataFrame, *keys: str) -> DataFrame:
+    """Of an updated result, whose counts only grow, each key's last count."""
+    return changed.groupBy(*keys).agg(F.max("events").alias("events"))
+
+
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts by type: a batch hands on the windows that it changed, and those that the watermark has passed leave the state."""
     counts = events_stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"))
-    return drained(counts, "complete").select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "events")
+    return _latest(drained(counts, "update").select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "events"), "start", "event_type")
 
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = events_stream(spark, sf_dir).groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("events"))
-    return drained(counts, "complete").select(F.col("w.start").cast("timestamp_ntz").alias("start"), "events")
+    """Counts of two hours, every hour, as stream_tumbling."""
+    counts = events_stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("events"))
+    return _latest(drained(counts, "update").select(F.col("w.start").cast("timestamp_ntz").alias("start"), "events"), "start")
 
 
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = events_stream(spark, sf_dir).groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("events"))
-    return drained(counts, "complete").select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "events")
+    """Sessions of users that the watermark has closed: each is handed on once, when it leaves the state."""
+    counts = events_stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("events"))
+    return drained(counts, "append").select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "events")
 
 
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,15 +122,16 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of a stream whose last file has rows of long ago: the watermark has passed their hours, which stay as they were.
 
-    A batch judges lateness by the watermark with which the batch before it ended, hence three files.
+    A batch judges lateness by the watermark with which the batch before it ended, hence three steps, each of
+    STEP_FILES files that as many tasks write and one batch reads.
     """
     events = table(spark, sf_dir, "events").select("ts", "event_type")
     late = F.expr("ts < TIMESTAMP_NTZ '2024-01-05 00:00:00' AND event_type = 'error'")
     first, second = (F.expr(f"ts < TIMESTAMP_NTZ '2024-01-{day} 00:00:00'") & ~late for day in (20, 25))
     path = f"{_folder(spark)}/in"
     for part in (events.where(first), events.where(second & ~first), events.where(~second)):
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+        part.repartition(STEP_FILES).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", STEP_FILES).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("events"))
     return drained(counts, "append").select(F.col("w.start").cast("timestamp_ntz").alias("start"), "events")
 
@@ -141,7 +150,7 @@ ORACLES = {
     "stream_late": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS events FROM events WHERE NOT (ts < TIMESTAMP '2024-01-05' AND event_type = 'error') GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
     "stream_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events FROM events GROUP BY ALL",
     "stream_sliding": "SELECT start, count(*) AS events FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY 1",
-    "stream_session": "SELECT user_id, min(ts) AS start, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s",
+    "stream_session": "SELECT user_id, min(ts) AS start, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
     "stream_distinct": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_interval_join": "SELECT v.event_id AS view_id, b.event_id AS buy_id FROM events v JOIN events b ON v.user_id = b.user_id AND b.ts BETWEEN v.ts AND v.ts + INTERVAL 2 HOUR WHERE v.event_type = 'view' AND b.event_type = 'purchase'",
     "stream_state": "SELECT user_id, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1",
