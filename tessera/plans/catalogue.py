@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import python, scalar
 from tessera.operators import aggregates, edits, graphs, intervals, joins, nearest, ranks, windows
-from tessera.sources import formats
+from tessera.sources import formats, shards
 from tessera.sources.tables import table
 from tessera.streaming import streams
 
@@ -31,7 +31,7 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MODULES = (joins, nearest, edits, intervals, graphs, aggregates, ranks, windows, scalar, python, formats, streams)
+MODULES = (joins, nearest, edits, intervals, graphs, aggregates, ranks, windows, scalar, python, formats, shards, streams)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pricing_summary": pricing_summary}
 
