@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -119,6 +119,81 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("user_id", "events", F.round("value", 4).alias("value"))
 
 
+class TimedSessions(StatefulProcessor):
+    """Sessions per user that event-time timers close, and rows that came too late beside them.
+
+    Map state holds how many events an open session has at each time. Each row sets a timer for when its session may end; when the
+    watermark has passed it, the sessions that no row can lengthen any more are handed on and leave the state. A row
+    behind the watermark changes nothing and is handed on as late. Rows may come in any order within the watermark's delay.
+    """
+
+    GAP = 30 * 60_000_000
+    COLUMNS = ("user_id", "kind", "begin", "end", "events")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.times = handle, handle.getMapState("times", "at long", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed, late = timerValues.getCurrentWatermarkInMs() * 1000, []
+        for part in rows:
+            for at in part["at"].tolist():
+                if at < passed:
+                    late.append((key[0], "late", at, at, 1))
+                    continue
+                known = self.times.getValue((at,)) if self.times.containsKey((at,)) else (0,)
+                self.times.updateValue((at,), (known[0] + 1,))
+                self.handle.registerTimer(-(-(at + self.GAP) // 1000))
+        yield pd.DataFrame(late, columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        sessions: list[list] = []
+        for (at,), (n,) in sorted(self.times.iterator()):
+            if sessions and at - sessions[-1][1][-1] < self.GAP:
+                sessions[-1][0] += n
+                sessions[-1][1].append(at)
+            else:
+                sessions.append([n, [at]])
+        closed = [(n, times) for n, times in sessions if times[-1] + self.GAP <= passed]
+        for _, times in closed:
+            for at in times:
+                self.times.removeKey((at,))
+        yield pd.DataFrame([(key[0], "session", times[0], times[-1], n) for n, times in closed], columns=self.COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def in_steps(events: DataFrame, late: Column, borders: list[str]) -> DataFrame:
+    """events as a stream in steps by time, STEP_FILES files each, of which the last has the late rows; ts as a zoned timestamp."""
+    spark, path = events.sparkSession, f"{_folder(events.sparkSession)}/in"
+    low = F.lit(True)
+    for border in borders:
+        high = F.col("ts") < F.lit(border).cast("timestamp_ntz")
+        events.where(low & high & ~late).repartition(STEP_FILES).write.mode("append").parquet(path)
+        low = ~high
+    events.where(low | late).repartition(STEP_FILES).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", STEP_FILES).parquet(path)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_session_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions closed by timers, and the rows of the last step that the watermark had passed."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        events = table(spark, sf_dir, "events").select("user_id", "ts", "event_type")
+        late = (F.col("ts") < F.lit("2024-01-05").cast("timestamp_ntz")) & (F.col("event_type") == "error")
+        stream = in_steps(events, late, ["2024-01-20", "2024-01-25"]).withWatermark("ts", "1 hour")
+        # the time goes as a number: rows behind a column with a watermark would be dropped before they are seen
+        numbers = stream.select("user_id", F.unix_micros("ts").alias("at"))
+        found = numbers.groupBy("user_id").transformWithStateInPandas(TimedSessions(), "user_id long, kind string, begin long, end long, events long", "append", "eventTime")
+        rows = drained(found, "append")
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    return rows.select("user_id", "kind", *(F.timestamp_micros(c).cast("timestamp_ntz").alias(c) for c in ("begin", "end")), "events")
+
+
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of a stream whose last file has rows of long ago: the watermark has passed their hours, which stay as they were.
 
@@ -144,9 +219,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_interval_join": stream_interval_join,
     "stream_state": stream_state,
     "stream_late": stream_late,
+    "stream_session_timers": stream_session_timers,
 }
 
 ORACLES = {
+    "stream_session_timers": """
+WITH rows AS (
+  SELECT *, ts < TIMESTAMP '2024-01-05' AND event_type = 'error' AS late FROM events
+), marked AS (
+  SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM rows WHERE NOT late WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+), numbered AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM marked
+)
+SELECT user_id, 'session' AS kind, min(ts) AS begin, max(ts) AS "end", count(*) AS events FROM numbered GROUP BY user_id, n HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+UNION ALL SELECT user_id, 'late', ts, ts, 1 FROM rows WHERE late""",
     "stream_late": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS events FROM events WHERE NOT (ts < TIMESTAMP '2024-01-05' AND event_type = 'error') GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
     "stream_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events FROM events GROUP BY ALL",
     "stream_sliding": "SELECT start, count(*) AS events FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY 1",
