@@ -290,7 +290,7 @@ def _joined(texts: DataFrame, seen: DataFrame, percent: int, all_links: bool) ->
         # no pair is left out for what others connect: each that meets often enough and that the sketches allow is verified
         met = written(_shared_tokens(postings(texts, heavy, percent)), "postings")
         whole = sketches.dropDuplicates(["id"]).select("id", "sketch", F.col("id").alias("root"))
-        rows = written(met.join(whole, "id"), "whole")
+        rows = written(met.join(whole, "id").withColumn("few", F.lit(0)), "whole")
         blocks = written(_blocks(rows), "blocks")
         pairs = checkpoint(_met_enough(rows, blocks, percent))
         links = checkpoint(verified_in_blocks(pairs, texts, blocks, percent))
@@ -336,7 +336,7 @@ def _joined(texts: DataFrame, seen: DataFrame, percent: int, all_links: bool) ->
     if between.isEmpty():
         return _named(members, roots), links
     blocks = written(_blocks(between), "blocks")
-    counted = _met_enough(between.where("dense"), blocks, percent).unionByName(_plausible(_met_rarely(between, percent), sketches, percent))
+    counted = _met_enough(between.where(F.col("rows") > FEW_ROWS), blocks, percent).unionByName(_plausible(_met_rarely(between, percent), sketches, percent)).distinct()
     rest = checkpoint(counted.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionByName(checkpoint(verified_in_blocks(rest, texts, blocks, percent)))
@@ -358,13 +358,14 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
 
 
 def _between(rows: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of the postings (id, n, matches, token) those of classes and of shingles whose documents lie in more than one component, with sketch, root, into how many parts a round deals the shingle's documents, how many these are, the least of them, and whether the document has a shingle with more than FEW_ROWS."""
+    """Of the postings (id, n, matches, token) those of classes and of shingles whose documents lie in more than one component, with sketch, root, into how many parts a round deals the shingle's documents, how many these are, the least of them, and how many of the document's shingles up to FEW_ROWS documents, or more, have."""
     rooted = rows.join(sketches.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "id")
     tokens = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"), F.min("id").alias("least")).where("low < high")
     kept = rooted.join(tokens.select("token", (F.floor(F.col("rows") / DEALT_ROWS) + 1).alias("parts"), "least", "rows"), "token")
     named = kept.join(sketches.select("id", "sketch").dropDuplicates(["id"]), "id")
-    dense = F.max(F.col("rows") > FEW_ROWS).over(Window.partitionBy("id"))
-    return named.withColumn("dense", dense).select("id", "n", "matches", "token", "root", "parts", "sketch", "least", "rows", "dense")
+    own, frequent = Window.partitionBy("id"), F.col("rows") > FEW_ROWS
+    named = named.withColumns({"few": F.count_if(~frequent).over(own), "many": F.count_if(frequent).over(own)})
+    return named.select("id", "n", "matches", "token", "root", "parts", "sketch", "least", "rows", "few", "many")
 
 
 def _apart_bits(one: Column, two: Column) -> Column:
@@ -402,18 +403,19 @@ def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """id, n, matches, root, sketch and block: documents of a group, told by the least that shares a shingle, lie in neighbouring blocks of BLOCK_SHINGLES shingles and BLOCK_ROWS documents at most, but for longer documents alone."""
-    near = rows.groupBy("id").agg(F.min("least").alias("group"), *(F.first(c).alias(c) for c in ("n", "matches", "root", "sketch")))
+    """id, n, matches, root, sketch, few and block: documents of a group, told by the least that shares a shingle, lie in neighbouring blocks of BLOCK_SHINGLES shingles and BLOCK_ROWS documents at most, but for longer documents alone."""
+    near = rows.groupBy("id").agg(F.min("least").alias("group"), *(F.first(c).alias(c) for c in ("n", "matches", "root", "sketch", "few")))
     weight = F.greatest("n", F.lit(BLOCK_SHINGLES // BLOCK_ROWS))
     placed = prefix_sums(near.withColumns({"sum": weight, "own": weight}), [("group", "asc"), ("id", "asc")], ["sum"])
-    return placed.select("id", "n", "matches", "root", "sketch", F.floor((F.col("sum") - F.col("own")) / BLOCK_SHINGLES).alias("block"))
+    return placed.select("id", "n", "matches", "root", "sketch", "few", F.floor((F.col("sum") - F.col("own")) / BLOCK_SHINGLES).alias("block"))
 
 
 def _met_enough(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), in different components, that share as many prefix shingles as is asked for and whose sketches allow the overlap.
 
-    All shingles of rows are counted in blocks: a document comes once to each block that shares some
-    with it, with those alone, and a pair of blocks counts its pairs as products of incidence matrices.
+    The shingles of rows are counted in blocks: a document comes once to each block that shares some
+    with it, with those alone, and a pair of blocks counts its pairs as products of incidence matrices. As many as a document has
+    few of, beside rows, a pair may share in addition.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.select("id", "token", "root", "n").join(blocks.select("id", "block"), "id").repartition(parts, "token")
@@ -421,10 +423,10 @@ def _met_enough(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     likely = ((F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))) & (F.col("long") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("short") * percent)
     met = placed.join(there, "token").where(likely).select("id", "other", "token")
     sent = met.groupBy("id", "other").agg(F.collect_set("token").alias("tokens")).join(blocks, "id")
-    sent = sent.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "matches", "root", "sketch", "tokens")
+    sent = sent.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "matches", "root", "sketch", "few", "tokens")
 
     def pairs(cell: pa.Table) -> pa.RecordBatch | None:
-        block, ids, n, matches, root = (cell.column(c).to_numpy() for c in ("block", "id", "n", "matches", "root"))
+        block, ids, n, matches, root, few = (cell.column(c).to_numpy() for c in ("block", "id", "n", "matches", "root", "few"))
         lists = cell.column("tokens").combine_chunks()
         tokens = lists.flatten().to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -447,7 +449,7 @@ def _met_enough(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
         sizes = n[one] + n[two]
         overlap = -(-(sizes * percent) // (100 + percent))
         rest = np.maximum(-(-(n[one] * percent) // 100) - matches[one], -(-(n[two] * percent) // 100) - matches[two])
-        good = shared_[one, two] >= np.maximum(np.minimum(matches[one], matches[two]), overlap - rest)
+        good = shared_[one, two] + np.minimum(few[one], few[two]) >= np.maximum(np.minimum(matches[one], matches[two]), overlap - rest)
         one, two, sizes = one[good], two[good], sizes[good]
         bits = np.unpackbits(cell.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint8).reshape(len(ids), -1), axis=1)
         good = np.zeros(len(one), bool)
@@ -468,13 +470,13 @@ def _met_enough(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def _met_rarely(rows: DataFrame, percent: int) -> DataFrame:
-    """As _met_enough, without sketches, for pairs one of which has no shingle with more than FEW_ROWS documents: a row for each pair of a shingle's documents, which are few for a shingle."""
-    slim = rows.where(F.col("rows") <= FEW_ROWS).select("token", "id", "n", "matches", "root", "dense").dropDuplicates(["token", "id"])
-    left, right = (slim.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "matches", "root", "dense"))) for side in "ab")
+    """As _met_enough, without sketches, for pairs that share a shingle of FEW_ROWS documents or fewer: a row for each pair of its documents, which are few for a shingle. As many as a document has many of, a pair may share in addition."""
+    slim = rows.where(F.col("rows") <= FEW_ROWS).select("token", "id", "n", "matches", "root", "many").dropDuplicates(["token", "id"])
+    left, right = (slim.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "matches", "root", "many"))) for side in "ab")
     n, m = F.col("n_a"), F.col("n_b")
-    both = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & ~(F.col("dense_a") & F.col("dense_b")) & similar_size(n, m, percent))
-    enough = asked(n, F.col("matches_a"), m, F.col("matches_b"), percent)
-    return both.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(enough).alias("asked")).where("met >= asked").select("a", "b")
+    both = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & similar_size(n, m, percent))
+    missing = asked(n, F.col("matches_a"), m, F.col("matches_b"), percent) - F.least("many_a", "many_b")
+    return both.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(missing).alias("missing")).where("met >= missing").select("a", "b")
 
 
 def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
