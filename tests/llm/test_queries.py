@@ -78,10 +78,14 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     kept = set(last.values())
     roots = brute_components({i: shingles(docs[i]["text"]) for i in kept})
     kept = {i for i, root in roots.items() if root == i}
-    want = Counter()
+    want, words = Counter(), Counter()
     processor = sentencepiece_codec.load(tokenizer_path())
-    for i, text in pieces_by_loops(spark.createDataFrame([docs[i] for i in sorted(kept)]), {i: docs[i]["text"] for i in kept}):
+    mixed = spark.createDataFrame([docs[i] for i in sorted(kept)])
+    for i, text in pieces_by_loops(mixed, {i: docs[i]["text"] for i in kept}):
         want[i, len(processor.encode(text))] += 1
+        words[i] += len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    # what the mix says that it takes of each document is what its slots cover
+    assert {r["doc_id"]: r["taken"] for r in mixture.mix(mixed).where("taken > 0").collect()} == words
     got = corpus_pipeline.run(spark, sf_dir)
     assert Counter((r["doc_id"], r["n_tokens"]) for r in got.select("doc_id", F.col("n_tokens")).collect()) == want
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "ngram_join", "mixture", "sentencepiece"]
