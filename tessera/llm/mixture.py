@@ -18,7 +18,7 @@ buckets of bounded size, whose totals are summed over buckets, then sums within
 bucket. A hot source is thereby spread over all buckets. All steps are DataFrame
 operations and every choice is a hash of indexes, so that reruns agree.
 
-Defined results: a null text has size 0; null sources are one source, the last in
+Defined results: a very long text spans blocks like any other; a null text has size 0; null sources are one source, the last in
 order; documents without words, and sources without words, take 0; rows with the
 same doc_id are rows of their own; an empty table gives no rows. The table of sources is
 broadcast up to ``broadcast_sources`` rows, and joined like any other beyond that.

@@ -10,7 +10,8 @@ Turns meet by conversation in one aggregate each (a conversation is one row of t
 result, and so of one task); conversations are spread by their ids, and chosen and
 rejected meet by an equi-join.
 
-Defined results: turns are ordered by number, then role, then text, nulls first, and
+Defined results: a conversation is one array of its row, however long its texts and many
+its turns; turns are ordered by number, then role, then text, nulls first, and
 repeated turns count each; null roles and texts render as empty, and are the same as
 each other but not as the empty string; a conversation with one side only is dropped
 as it is not a pair; with equal sides both completions are empty; a null id is not a

@@ -20,7 +20,8 @@ stratum calibrate, and a broadcast of the cutoffs (a row a stratum; checked to b
 
 Windows of five words are compared by 64-bit hashes within one text.
 
-Defined results: a null text has no words; a null language is a stratum; labels
+Defined results: a very long text is judged as a whole, its words one array of its
+row; a null text has no words; a null language is a stratum; labels
 with a null doc_id or quality are ignored and a document with several labels is
 good if one of them says so; repeated documents are judged alike, row by row; an
 empty table gives no rows; without labels only the base rules hold; the labels'

@@ -13,7 +13,8 @@ costs only its tasks. One table for the
 whole corpus would need a shuffle of every occurrence of every word and of its
 position to bring the ids back; this one moves nothing.
 
-Defined results: a null text counts as empty; an empty text has no ids and
+Defined results: a very long text is split into words and encoded like any other, in
+one row; a null text counts as empty; an empty text has no ids and
 decodes to the empty text; rows, repeated ones too, are treated alone; columns
 other than the two that are named are ignored; an empty table gives no rows.
 """
