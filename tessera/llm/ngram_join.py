@@ -292,7 +292,7 @@ def _joined(texts: DataFrame, seen: DataFrame, percent: int, all_links: bool) ->
         whole = sketches.dropDuplicates(["id"]).select("id", "sketch", F.col("id").alias("root"))
         rows = written(met.join(whole, "id").withColumn("few", F.lit(0)), "whole")
         blocks = written(_blocks(rows), "blocks")
-        pairs = checkpoint(_met_enough(rows, blocks, percent))
+        pairs = checkpoint(_met_enough(rows, blocks, percent).where("met >= asked").select("a", "b").distinct())
         links = checkpoint(verified_in_blocks(pairs, texts, blocks, percent))
         return _named(members, components(links)), links
 
@@ -336,7 +336,7 @@ def _joined(texts: DataFrame, seen: DataFrame, percent: int, all_links: bool) ->
     if between.isEmpty():
         return _named(members, roots), links
     blocks = written(_blocks(between), "blocks")
-    counted = _met_enough(between.where(F.col("rows") > FEW_ROWS), blocks, percent).unionByName(_plausible(_met_rarely(between, percent), sketches, percent)).distinct()
+    counted = _plausible(_met_in_all(_met_enough(between.where(F.col("rows") > FEW_ROWS), blocks, percent), _met_rarely(between, percent)), sketches, percent)
     rest = checkpoint(counted.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionByName(checkpoint(verified_in_blocks(rest, texts, blocks, percent)))
@@ -411,7 +411,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _met_enough(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), in different components, that share as many prefix shingles as is asked for and whose sketches allow the overlap.
+    """Pairs (a, b), in different components, that may share as many prefix shingles as is asked for and whose sketches allow the overlap, with how many of rows they share (met) and how many are asked.
 
     The shingles of rows are counted in blocks: a document comes once to each block that shares some
     with it, with those alone, and a pair of blocks counts its pairs as products of incidence matrices. As many as a document has
@@ -449,8 +449,9 @@ def _met_enough(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
         sizes = n[one] + n[two]
         overlap = -(-(sizes * percent) // (100 + percent))
         rest = np.maximum(-(-(n[one] * percent) // 100) - matches[one], -(-(n[two] * percent) // 100) - matches[two])
-        good = shared_[one, two] + np.minimum(few[one], few[two]) >= np.maximum(np.minimum(matches[one], matches[two]), overlap - rest)
-        one, two, sizes = one[good], two[good], sizes[good]
+        least = np.maximum(np.minimum(matches[one], matches[two]), overlap - rest)
+        good = shared_[one, two] + np.minimum(few[one], few[two]) >= least
+        one, two, sizes, least = one[good], two[good], sizes[good], least[good]
         bits = np.unpackbits(cell.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint8).reshape(len(ids), -1), axis=1)
         good = np.zeros(len(one), bool)
         for at in range(0, len(one), 8192):
@@ -458,7 +459,8 @@ def _met_enough(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
             apart = np.count_nonzero(bits[one[part]] != bits[two[part]], axis=1)
             good[part] = (100 + percent) * ((sizes[part] - apart) // 2) >= percent * sizes[part]
         a, b = ids[one[good]], ids[two[good]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)).cast(kind), pa.array(np.maximum(a, b)).cast(kind)], names=["a", "b"])
+        counts = pa.array(shared_[one[good], two[good]].astype(np.int64)), pa.array(least[good].astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)).cast(kind), pa.array(np.maximum(a, b)).cast(kind), *counts], names=["a", "b", "met", "asked"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in by_cell(batches):
@@ -466,17 +468,25 @@ def _met_enough(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
 
     kind = pa.int64() if isinstance(rows.schema["id"].dataType, T.LongType) else pa.int32()
     name = rows.schema["id"].dataType.simpleString()
-    return _dealt(sent, "x", "y").mapInArrow(run, f"a {name}, b {name}").distinct()
+    return _dealt(sent, "x", "y").mapInArrow(run, f"a {name}, b {name}, met long, asked long")
 
 
 def _met_rarely(rows: DataFrame, percent: int) -> DataFrame:
     """As _met_enough, without sketches, for pairs that share a shingle of FEW_ROWS documents or fewer: a row for each pair of its documents, which are few for a shingle. As many as a document has many of, a pair may share in addition."""
-    slim = rows.where(F.col("rows") <= FEW_ROWS).select("token", "id", "n", "matches", "root", "many").dropDuplicates(["token", "id"])
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = rows.where(F.col("rows") <= FEW_ROWS).select("token", "id", "n", "matches", "root", "many").repartition(parts, "token").dropDuplicates(["token", "id"])
     left, right = (slim.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "matches", "root", "many"))) for side in "ab")
     n, m = F.col("n_a"), F.col("n_b")
     both = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & similar_size(n, m, percent))
-    missing = asked(n, F.col("matches_a"), m, F.col("matches_b"), percent) - F.least("many_a", "many_b")
-    return both.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(missing).alias("missing")).where("met >= missing").select("a", "b")
+    least = asked(n, F.col("matches_a"), m, F.col("matches_b"), percent)
+    counted = both.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(least).alias("asked"), F.min(F.least("many_a", "many_b")).alias("more"))
+    return counted.where("met + more >= asked").select("a", "b", "met", "asked")
+
+
+def _met_in_all(frequent: DataFrame, rare: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose counts together are enough. One that either list has left out has no more than the other says, or too few in any case."""
+    both = frequent.unionByName(rare).groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("asked").alias("asked"))
+    return both.where("met >= asked").select("a", "b")
 
 
 def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -503,18 +513,6 @@ def _dealt(df: DataFrame, *names: str) -> DataFrame:
     return df.repartition(n, "x", "y").sortWithinPartitions(*names)
 
 
-def hashed_sets(texts: DataFrame) -> DataFrame:
-    """id and set: the shingle hashes of each text, sorted, as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.tobytes() for own in sets(part.column(1))], pa.binary())], names=["id", "set"])
-
-    return texts.select("id", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, set binary")
-
-
 def cells(pairs: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): the pairs of blocks (x, y) with the documents that their pairs name, each once, and the pairs."""
     placed = pairs.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("block_a")), "a").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("block_b")), "b")
@@ -523,13 +521,13 @@ def cells(pairs: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def verified_in_blocks(pairs: DataFrame, texts: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose texts are similar: a document's hashes move once to each pair of blocks that has pairs with it, however many."""
+    """Of the pairs (a, b) those whose texts are similar: a document's text moves once to each pair of blocks that has pairs with it, however many, and is hashed there."""
     members, placed = cells(pairs, blocks)
     members = written(members, "members-of-blocks")
     ids = members.select("id").distinct()
-    known = hashed_sets(through_bitmap(texts, ids).join(ids, "id", "left_semi")).dropDuplicates(["id"])
+    known = through_bitmap(texts, ids).join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     none = F.lit(None).cast(texts.schema["id"].dataType)
-    rows = members.join(known, "id").select("x", "y", F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), "set").unionByName(placed.select("x", "y", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("set")))
+    rows = members.join(known, "id").select("x", "y", F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), "text").unionByName(placed.select("x", "y", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -540,7 +538,7 @@ def verified_in_blocks(pairs: DataFrame, texts: DataFrame, blocks: DataFrame, pe
                 if key != (x[i], y[i]):
                     key, held = (x[i], y[i]), {}
                 if kind == 0:
-                    held[one[i]] = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64)
+                    held[one[i]] = next(iter(sets(batch.column(5).slice(i, 1))))
                     keep.append(False)
                 else:
                     first, second = held[one[i]], held[two[i]]
