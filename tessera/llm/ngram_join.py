@@ -56,7 +56,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import blocks_for, checkpoint, scratch, small_batches
+from tessera.llm.common import blocks_for, checkpoint, drop_shuffles, scratch, small_batches
 from tessera.llm.components import components
 from tessera.llm.shingles import sets, shared
 from tessera.operators.ranks import prefix_sums
@@ -301,6 +301,8 @@ def _joined(texts: DataFrame, seen: DataFrame, percent: int, all_links: bool) ->
     own = Window.partitionBy("token", "salt")
     met = rows.withColumns({"rep": F.min(F.struct("id", "n", "matches")).over(own), "last": F.max("id").over(own)})
     met = written(met.where("salt >= 0 OR last <> rep.id").select("id", "n", "matches", "token", "salt", "rep"), "postings")
+    del rows
+    drop_shuffles(texts.sparkSession)
     groups = met.where("salt >= 0").groupBy("token", "rep").agg(F.count(F.lit(1)).alias("rows"))
     tops = groups.groupBy("token").agg(F.min("rep").alias("top"))
     upper = groups.join(tops, "token").select("rep.id", "rep.n", "rep.matches", F.col("top").alias("rep"))
@@ -319,6 +321,7 @@ def _joined(texts: DataFrame, seen: DataFrame, percent: int, all_links: bool) ->
     more = checkpoint(verified(others, texts, percent), few)
     links = links.unionByName(more)
     roots = components(links)
+    drop_shuffles(texts.sparkSession)
 
     # what lies between components: rounds of chance partners, then all pairs that are left
     between = written(_between(met.select("id", "n", "matches", "token"), sketches, roots), "between")
@@ -333,11 +336,14 @@ def _joined(texts: DataFrame, seen: DataFrame, percent: int, all_links: bool) ->
         if n_found < LEAST_YIELD * tries.count():  # the roots in between stay those of before, which forms a few pairs more
             break
         between = written(_between(between.select("id", "n", "matches", "token"), sketches, roots), "between")
+        drop_shuffles(texts.sparkSession)
+    drop_shuffles(texts.sparkSession)
     if between.isEmpty():
         return _named(members, roots), links
     blocks = written(_blocks(between), "blocks")
     counted = _plausible(_met_in_all(_met_enough(between.where(F.col("rows") > FEW_ROWS), blocks, percent), _met_rarely(between, percent)), sketches, percent)
     rest = checkpoint(counted.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    drop_shuffles(texts.sparkSession)
     if not rest.isEmpty():
         links = links.unionByName(checkpoint(verified_in_blocks(rest, texts, blocks, percent)))
         roots = components(links)
