@@ -79,16 +79,21 @@ def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether quantiles and distinct counts from mergeable sketches are within their bounds of the exact ones."""
+    """Whether quantiles and distinct counts from mergeable sketches are within their bounds of the exact ones, and a count-min sketch has counted every row.
+
+    The exact distinct count is an aggregate of its own: beside it, each value would have sketches.
+    """
     lines = table(spark, sf_dir, "lineitem")
     lines.createOrReplaceTempView("lineitem")
     bounds = quantiles(lines, "l_extendedprice", (0.45, 0.55)).agg(F.min("quantile").alias("low"), F.max("quantile").alias("high"))
+    exact = lines.agg(F.count_distinct("l_suppkey").alias("suppliers"))
     found = spark.sql("""
-        SELECT count(DISTINCT l_suppkey) AS suppliers, theta_sketch_estimate(theta_sketch_agg(l_suppkey)) AS theta,
-               kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5D) AS kll, percentile_approx(l_extendedprice, 0.5, 1000) AS approx
+        SELECT theta_sketch_estimate(theta_sketch_agg(l_suppkey)) AS theta, kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5D) AS kll,
+               percentile_approx(l_extendedprice, 0.5, 1000) AS approx, count(l_partkey) AS rows, count_min_sketch(l_partkey, 0.01D, 0.95D, 7) AS counts
         FROM lineitem""")
     close = [(F.abs(F.col("theta") - F.col("suppliers")) <= 0.1 * F.col("suppliers")).alias("theta_close"), *(F.col(c).between(F.col("low"), F.col("high")).alias(f"{c}_close") for c in ("kll", "approx"))]
-    return found.crossJoin(F.broadcast(bounds)).select("suppliers", *close)  # a row each
+    total = F.hex(F.substring("counts", 5, 8)) == F.lpad(F.hex("rows"), 16, "0")  # a version of four bytes, then how many it has counted
+    return found.crossJoin(F.broadcast(bounds)).crossJoin(F.broadcast(exact)).select("suppliers", *close, total.alias("has_counts"))  # a row each
 
 
 def heavy_hitters(df: DataFrame, column: str, share: float, slack: float = 0.5) -> DataFrame:
@@ -158,7 +163,7 @@ QUERIES = {
 
 _LEVELS = "SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS level, round(sum(l_quantity), 2) AS quantity, count(*) AS rows FROM lineitem GROUP BY "
 ORACLES = {
-    "sketches": "SELECT count(DISTINCT l_suppkey) AS suppliers, true AS theta_close, true AS kll_close, true AS approx_close FROM lineitem",
+    "sketches": "SELECT count(DISTINCT l_suppkey) AS suppliers, true AS theta_close, true AS kll_close, true AS approx_close, true AS has_counts FROM lineitem",
     "frequent_parts": """
 WITH parts AS (
   SELECT p_size::VARCHAR AS size, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey

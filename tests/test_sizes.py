@@ -11,7 +11,14 @@ def plan(df):
 
 def test_no_distinct_value_has_a_sketch(spark, sf_dir):
     """A sketch for each distinct value would be kilobytes for each part of the table."""
-    for query, key in ((aggregates.approximate_distinct, "l_partkey"),):
+    for query, key in ((aggregates.approximate_distinct, "l_partkey"), (aggregates.sketches, "l_suppkey")):
         found = query(spark, sf_dir)
         keyed = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line] + re.findall(rf".*keys=\[{key}.*", plan(found))
         assert len(keyed) > 2 and not any(f"keys=[{key}" in line and re.search("sketch|hyperlog|approx", line, re.I) for line in keyed)
+
+
+def test_count_min_sketch_counts_every_row(spark, tmp_path):
+    """The sketches query hands on whether its count-min sketch holds all rows that have a part, nulls left out."""
+    rows = [(i % 50, None if i == 7 else i % 90, float(i)) for i in range(1000)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert aggregates.sketches(spark, str(tmp_path)).first().asDict() == {"suppliers": 50, "theta_close": True, "kll_close": True, "approx_close": True, "has_counts": True}
