@@ -1,8 +1,14 @@
 """What the work of queries grows with, and rows that cuts would lose."""
 
+import datetime
+import random
 import re
+from collections import Counter
+
+import duckdb
 
 from tessera.operators import aggregates
+from tessera.streaming import streams
 
 
 def plan(df):
@@ -22,3 +28,17 @@ def test_count_min_sketch_counts_every_row(spark, tmp_path):
     rows = [(i % 50, None if i == 7 else i % 90, float(i)) for i in range(1000)]
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert aggregates.sketches(spark, str(tmp_path)).first().asDict() == {"suppliers": 50, "theta_close": True, "kll_close": True, "approx_close": True, "has_counts": True}
+
+
+def test_sessions_in_any_order_of_files_are_whole(spark, tmp_path):
+    """Files out of the order of time, sessions that are open at the end, gaps of just 30 minutes, and events without user or time."""
+    at = lambda m, us=0: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m, microseconds=us)
+    rng = random.Random(5)
+    rows = [(at(rng.randrange(20_000)), rng.choice([1, 2, 3, None])) for _ in range(400)] + [(at(30_000), 7), (at(30_030), 7), (at(30_000, 1), 8), (at(30_030), 8), (at(30_040), 9), (at(30_000), 9), (None, 1), (None, 1)]
+    rows.sort(key=lambda r: rng.random())
+    for part in range(8):
+        spark.createDataFrame(rows[part::8], "ts timestamp_ntz, user_id long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = streams.stream_session(spark, str(tmp_path)).select("user_id", "start", "events")
+    assert Counter(map(tuple, found.collect())) == Counter(con.execute(streams.ORACLES["stream_session"]).fetchall())
