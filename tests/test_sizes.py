@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pandas as pd
 
 from tessera.operators import aggregates
 from tessera.streaming import streams
@@ -42,3 +43,54 @@ def test_sessions_in_any_order_of_files_are_whole(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     found = streams.stream_session(spark, str(tmp_path)).select("user_id", "start", "events")
     assert Counter(map(tuple, found.collect())) == Counter(con.execute(streams.ORACLES["stream_session"]).fetchall())
+
+
+def test_timed_sessions_keep_sessions_not_times():
+    """However many times an open session has, a batch reads and writes its state once, and sets one timer."""
+
+    class Fake:
+        value, timers, reads, writes = None, [], 0, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.reads += 1
+            return self.value
+
+        def update(self, value):
+            self.writes += 1
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def getValueState(self, *args):
+            return self
+
+        getMapState = getValueState
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    minute, fake, sessions = 60_000_000, Fake(), streams.TimedSessions()
+    sessions.init(fake)
+    times = [m * minute for m in range(1000)] + [2000 * minute, 2030 * minute]
+    random.Random(1).shuffle(times)
+    parts = (pd.DataFrame({"at": times[k::3]}) for k in range(3))
+    assert not list(sessions.handleInputRows((5,), parts, Clock(0)))
+    assert (fake.writes, fake.timers) == (1, [1029 * 60_000]) and sum(map(len, fake.value[:3])) == 3 * 3 * 8
+    late = list(sessions.handleInputRows((5,), iter([pd.DataFrame({"at": [minute, 999 * minute]})]), Clock(1000 * 60_000)))
+    assert [list(map(tuple, f.values)) for f in late] == [[(5, "late", minute, minute, 1), (5, "late", 999 * minute, 999 * minute, 1)]]
+    (closed,) = sessions.handleExpiredTimer((5,), Clock(1030 * 60_000), Clock(1029 * 60_000))
+    assert list(map(tuple, closed.values)) == [(5, "session", 0, 999 * minute, 1000)] and fake.timers[-1] == 2030 * 60_000
+    assert [len(f) for f in sessions.handleExpiredTimer((5,), Clock(3000 * 60_000), Clock(2030 * 60_000))] == [2] and fake.value is None
