@@ -7,8 +7,10 @@ from collections import Counter
 
 import duckdb
 import pandas as pd
+import pytest
 
-from tessera.operators import aggregates
+from tessera.functions import python
+from tessera.operators import aggregates, edits
 from tessera.streaming import streams
 
 
@@ -94,3 +96,43 @@ def test_timed_sessions_keep_sessions_not_times():
     (closed,) = sessions.handleExpiredTimer((5,), Clock(1030 * 60_000), Clock(1029 * 60_000))
     assert list(map(tuple, closed.values)) == [(5, "session", 0, 999 * minute, 1000)] and fake.timers[-1] == 2030 * 60_000
     assert [len(f) for f in sessions.handleExpiredTimer((5,), Clock(3000 * 60_000), Clock(2030 * 60_000))] == [2] and fake.value is None
+
+
+def test_groups_of_an_aggregate_share_calls(spark, tmp_path):
+    """A call of Python takes many groups; nulls, no numbers and groups without values are as before."""
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i % 700, at + datetime.timedelta(minutes=i % 90), i * 0.37 % 11) for i in range(3000)]
+    rows += [(None, at, 1.0), (None, at, 3.5), (1, None, 2.0), (9999, at, None), (9998, at, float("nan")), (9998, at, 1.0), (9998, at, 4.0), (2**60 + 1, at, 1.0)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = python.grouped_aggregate(spark, str(tmp_path))
+    groups = {}
+    for user, ts, value in rows:
+        groups.setdefault((user, ts and ts.replace(minute=0)), []).extend([] if value is None or value != value else [value])
+    assert {(r["user_id"], r["hour"]): r["spread"] for r in found.collect()} == {k: round(max(v) - min(v), 6) if v else None for k, v in groups.items()}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [pmod(xxhash64(user_id") + found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [_groupingexpression") == 1
+
+
+@pytest.mark.parametrize("alphabet, longest, prefix", [("ab", 7, ""), ("01", 6, "Name#"), ("aé𝄞c", 4, "")])
+def test_edit_counts_equal_brute_force(spark, alphabet, longest, prefix):
+    """Strings of one and of several lengths, runs and alternations, with and without a common part; no pair of names of one length is formed for substitutions."""
+    rng = random.Random(7)
+    for lengths in ((longest,), range(longest + 1)):
+        strings = {prefix + "".join(rng.choice(alphabet) for _ in range(rng.choice(lengths))) + prefix for _ in range(90)}
+
+        def apart(a, b):
+            row = list(range(len(b) + 1))
+            for i, x in enumerate(a, 1):
+                new = [i]
+                for j, y in enumerate(b, 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+                row = new
+            return row[-1]
+
+        expected = {}
+        for a in strings:
+            near = Counter(apart(a, b) for b in strings if a != b)
+            if near[1] + near[2]:
+                expected[a] = (near[1], near[2])
+        df = spark.createDataFrame([(s,) for s in [*strings, *strings, None]], "s string")
+        assert {r["s"]: (r["one_edit"], r["two_edits"]) for r in edits.edit_counts(df, "s").collect()} == expected
+    assert edits.edit_counts(df.limit(0), "s").count() == 0
