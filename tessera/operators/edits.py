@@ -21,7 +21,9 @@ not used, and other columns are ignored; an empty table gives no pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import table, written
@@ -56,10 +58,10 @@ def _signatures(s: Column, edits: int) -> Column:
     return F.concat(*parts)
 
 
-def edit_join(left: DataFrame, right: DataFrame | None, column: str, other: str | None = None, edits: int = 2, block: int | None = None) -> DataFrame:
+def edit_join(left: DataFrame, right: DataFrame | None, column: str, other: str | None = None, edits: int = 2, block: int | None = None, unequal: bool = False) -> DataFrame:
     """a, b, distance: pairs of different strings of left's column (a < b) or, with right, of left's and right's, at most so many edits apart (1 or 2).
 
-    Between two tables equal strings are a pair of distance 0.
+    Between two tables equal strings are a pair of distance 0. With unequal, only pairs of strings of different lengths.
     """
     if edits not in (1, 2):
         raise ValueError("edits must be 1 or 2")
@@ -73,6 +75,8 @@ def edit_join(left: DataFrame, right: DataFrame | None, column: str, other: str
     every = a if alone else a.unionByName(strings(right, other or column).withColumn("side", F.lit(1).cast("byte")))
     # the hash of a string stands for it until pairs are few; strings of one hash are told apart by the check
     each = every.select("side", F.xxhash64("s").alias("id"), F.explode(_signatures(F.col("s"), edits)).alias("x")).select("side", "id", "x.key", "x.gone", "x.placed")
+    if unequal:  # what is left is as long on both sides
+        each = each.where(~F.col("placed"))
     each = written(each, "edit-signatures")
     counts = each.groupBy("key", "placed").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("low"), F.max("side").alias("high")).where("n > 1" if alone else "low < high")
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -82,6 +86,8 @@ def edit_join(left: DataFrame, right: DataFrame | None, column: str, other: str
     one, two = (met.select("key", "placed", "x", "y", *(F.col(c).alias(f"{c}{k}") for c in ("side", "id", "gone", "own"))) for k in (1, 2))
     sides = F.col("id1") < F.col("id2") if alone else F.col("side1") < F.col("side2")
     within = F.when(F.col("placed"), F.lit(True)).otherwise(F.col("gone1") + F.col("gone2") <= (3 if edits == 2 else 2))
+    if unequal:
+        within = within & (F.col("gone1") != F.col("gone2"))
     pairs = one.join(two, ["key", "placed", "x", "y"]).where(sides & within & ((F.col("x") == F.col("y")) | (F.col("own1") != F.col("own2"))))
     pairs = pairs.select("id1", "id2").distinct()
     named = every.select("side", "s", F.xxhash64("s").alias("id"))
@@ -93,11 +99,71 @@ def edit_join(left: DataFrame, right: DataFrame | None, column: str, other: str
     return met.select("a", "b", F.levenshtein("a", "b", edits).cast("long").alias("distance")).where("distance >= 0")
 
 
+def edit_counts(df: DataFrame, column: str) -> DataFrame:
+    """The column's strings that have others within two edits, and how many are within one and within two: one_edit, two_edits.
+
+    Where many strings differ in few places, as numbered names do, each has a thousand others near it. Those are counted and not paired:
+
+    * N strings equal one outside the places i and j, M(i) of them outside i alone: N - M(i) - M(j) + 1 differ from it at
+      both places. Places where all strings of a length agree need no look.
+    * Strings of one length that are a deletion and an insertion apart, and differ at three places or more, differ first at p and
+      last at e, and what the one leaves without p is what the other leaves without e, where p ends a run of equal characters of the
+      one and e begins one of the other. Such pairs meet there, twice at most (and count once), and leave their group as numbers.
+    * Strings of different lengths are few where lengths are few; ``edit_join`` pairs them.
+    """
+    names = df.select(F.col(column).cast("string").alias("s")).where("s IS NOT NULL").distinct().withColumn("n", F.length("s"))
+    ends = names.groupBy("n").agg(*(f(c).alias(k) for c, a, b in (("s", "low", "high"), (F.reverse("s"), "last", "first")) for f, k in ((F.min, a), (F.max, b)))).collect()  # a row a length
+    spans, lengths = [], {r["n"] for r in ends}
+    for r in ends:
+        begin, rest = (len(os.path.commonprefix([r[a], r[b]])) for a, b in (("low", "high"), ("last", "first")))
+        near = any(r["n"] + k in lengths for k in (-2, -1, 1, 2))
+        spans.append((r["n"], begin + 1, max(r["n"] - rest, begin), near))
+    spans = df.sparkSession.createDataFrame(spans, "n int, begin int, end int, near boolean")
+    names = names.join(F.broadcast(spans), "n")
+    varied = names.where("begin <= end")
+    places = F.sequence("begin", "end")
+
+    def without(i: Column, j: Column | None = None) -> Column:
+        rest = F.concat(F.substring("s", F.lit(1), i - 1), F.lit("\0"), F.substring("s", i + 1, F.length("s")))
+        return rest if j is None else F.concat(F.substring(rest, F.lit(1), j - 1), F.lit("\0"), F.substring(rest, j + 1, F.length("s")))
+
+    # i = j: one place alone. Each other place takes M(i) from its pairs, so that M(i) counts 1 - (places - 1) times
+    several = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(i, F.col("end")), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    each = varied.select("s", (F.col("end") - F.col("begin")).alias("others"), F.explode(several).alias("at")).select("s", "others", "at.i", "at.j")
+    each = each.select("s", "others", "i", "j", F.when(F.col("i") == F.col("j"), without(F.col("i"))).otherwise(without(F.col("i"), F.col("j"))).alias("rest"))
+    met = F.count(F.lit(1)).over(Window.partitionBy("i", "j", "rest")) - 1
+    single = F.col("i") == F.col("j")
+    alike = each.select("s", met.alias("met"), "others", single.alias("single")).select(
+        "s", F.when(F.col("single"), F.col("met")).otherwise(0).alias("one"), F.when(F.col("single"), -F.col("others") * F.col("met")).otherwise(F.col("met")).alias("two")
+    )
+
+    # a deletion and an insertion
+    left = varied.select("s", F.explode(places).alias("at"))
+    here, before, after = (F.substring("s", F.col("at") + k, F.lit(1)) for k in (0, -1, 1))
+    left = left.select("s", "at", F.concat(F.substring("s", F.lit(1), F.col("at") - 1), F.substring("s", F.col("at") + 1, F.length("s"))).alias("rest"), F.length("s").alias("n"), (here != after).alias("ends"), ((F.col("at") == 1) | (here != before)).alias("begins"))
+    first = left.where("ends").select("rest", "n", F.col("s").alias("a"), F.col("at").alias("p"))
+    last = left.where("begins").select("rest", "n", F.col("s").alias("b"), F.col("at").alias("e"))
+
+    def part(name: str, begin: Column, size: Column) -> Column:
+        return F.substring(F.col(name), begin, size)
+
+    p, size = F.col("p"), F.col("e") - F.col("p")
+    more = part("a", p + 1, size - 1) != part("b", p + 1, size - 1)  # differ at more than the two ends
+    turned = part("b", p + 1, size) == part("a", p, size)  # meet with sides changed, too
+    moved = first.join(last, ["rest", "n"]).where((p < F.col("e")) & more & (~turned | (F.col("a") < F.col("b"))))
+    moved = moved.select(F.explode(F.array("a", "b")).alias("s"), F.lit(0).cast("long").alias("one"), F.lit(1).cast("long").alias("two"))
+
+    found = alike.unionByName(moved)
+    if any(near for *_, near in (tuple(r) for r in spans.collect())):
+        pairs = edit_join(names.where("near"), None, "s", unequal=True).select(F.explode(F.array("a", "b")).alias("s"), "distance")
+        found = found.unionByName(pairs.select("s", (F.col("distance") == 1).cast("long").alias("one"), (F.col("distance") == 2).cast("long").alias("two")))
+    counts = found.groupBy("s").agg(F.sum("one").alias("one_edit"), F.sum("two").alias("two_edits")).where("one_edit + two_edits > 0")
+    return counts.withColumnRenamed("s", column)
+
+
 def similar_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many other customers' names are within one and two edits of each, mostly by digits: all names begin alike."""
-    pairs = edit_join(table(spark, sf_dir, "customer"), None, "c_name")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("c_name"), "distance")
-    return ends.groupBy("c_name").agg(F.count_if(F.col("distance") == 1).alias("one_edit"), F.count_if(F.col("distance") == 2).alias("two_edits"))
+    return edit_counts(table(spark, sf_dir, "customer"), "c_name")
 
 
 def similar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
