@@ -585,3 +585,25 @@ def test_ngram_join_moves_sets_by_blocks_not_by_pairs(spark, monkeypatch):
         sent, pairs = seen["cells"][0].count(), seen["cells"][1].count()
         assert pairs >= 0.6 * n * (n - 1) / 2
         assert sent <= n * (n * 5000 // 60_000 + 2)
+
+
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """More labels than any bound, in blocks, and words that only few or very long texts have: all are learnt, whatever the parts of the input."""
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(300)]
+    # what marks a toxic text is in a few hundred of 9,000 rows, and one kind of it at the end of texts longer than a fiftieth of max_words
+    rows = [(i, " ".join(rng.choices(vocabulary, k=8)) + (" zzslur" if i % 9 == 0 else ""), "en") for i in range(12_000)]
+    long = [(20_000 + i, "w1 " * 1500 + ("qqinsult" if i % 2 else "fine"), "en") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i, *_ in rows] + [(i, i % 2) for i, *_ in long], "doc_id long, toxic int")
+    learnt, plain = [], toxicity._round
+    monkeypatch.setattr(toxicity, "EPOCHS", 3)
+    monkeypatch.setattr(toxicity, "_round", lambda given, net, number: (learnt.append((given.count(), given.select("block").distinct().count())), plain(given, net, number)))
+    found = []
+    for parts in (2, 5):
+        docs = spark.createDataFrame(rows + long + rows[:50], "doc_id long, text string, lang string").repartition(parts)
+        model = toxicity.train(docs, labels, max_words=60_000)
+        asked = spark.createDataFrame([(1, "w5 qqinsult", "en"), (2, "w5 zzslur", "en"), (3, "w5 w6", "en")], "doc_id long, text string, lang string")
+        found.append([r["score"] for r in toxicity.score(asked, model).orderBy("doc_id").collect()])
+    assert found[0] == found[1] and min(found[0][:2]) > 0.5 > found[0][2]
+    known = {i for i, *_ in rows + long}
+    assert min(n for n, _ in learnt) >= sum(zlib.crc32(str(i).encode()) % 5 > 1 for i in known) and min(b for _, b in learnt) > 1
