@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, mixture, ngram_join, quality_rules, sentencepiece_codec, toxicity
+from tessera.llm.components import components
 from tessera.llm.queries_documents import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -607,3 +608,36 @@ def test_toxicity_learns_from_every_label(spark, monkeypatch):
     assert found[0] == found[1] and min(found[0][:2]) > 0.5 > found[0][2]
     known = {i for i, *_ in rows + long}
     assert min(n for n, _ in learnt) >= sum(zlib.crc32(str(i).encode()) % 5 > 1 for i in known) and min(b for _, b in learnt) > 1
+
+
+def test_components_of_few_links_do_not_shuffle_in_rounds(spark):
+    pairs = [(a, a * 7 % 500) for a in range(1, 300)] + [(0, 600 + i) for i in range(100)] + [(900 + i, 901 + i) for i in range(60)] + [(5, 5)]
+    want = brute_roots(pairs)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    status = spark.sparkContext.statusTracker()
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("few-links", "few links")
+    try:
+        found = {r["id"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long").coalesce(1)).collect()}
+        stages = {s for j in status.getJobIdsForGroup("few-links") for s in status.getJobInfo(j).stageIds}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == want
+    # one shuffle takes the links apart; a round that shuffled would run hundreds of tasks more
+    assert sum(status.getStageInfo(s).numCompletedTasks for s in stages) < 3 * 64 + 2 * len(stages)
+
+
+def brute_roots(pairs):
+    root = {i: i for a, b in pairs if a != b for i in (a, b)}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if a != b and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    return root
