@@ -20,6 +20,8 @@ model over its own texts in small steps, in a task; what the blocks changed is a
 touched it) as sums of integers, so that their order plays no role, and makes the next model. One block is plain training. Calibration
 and thresholds see all of fold 1, as numbers of labels by language and logit (in steps of 1 / ``STEP``). What goes to the driver and back is
 the model, of a bounded size, and these numbers.
+Of the texts, only those whose ids a bitmap of the labelled ones lets through move, once, to the tasks of their blocks, where labels are joined to them and
+words hashed; the hashes are kept compressed. Each round's shuffle goes before the next one.
 Every text is scored as a whole, in one scan, without a shuffle.
 
 Defined results: null and empty texts score what a text without words scores;
@@ -40,7 +42,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint
+from tessera.llm.common import checkpoint, drop_shuffles
+from tessera.llm.ngram_join import through_bitmap
 from tessera.llm.shingles import SPACE, each_text
 
 ROW_BITS, WIDTH, FILTERS, WIDEST = 19, 8, 8, 3
@@ -52,6 +55,8 @@ PLACES = ROW_BITS * np.arange(1 + len(PREFIXES))
 EPOCHS, BATCH, HELD, STEP, UNIT = 12, 32, 256, 256, 1 << 32
 #: Blocks of texts; with more texts, blocks are larger, and a task holds no more of one at once.
 MOST_BLOCKS = 48
+#: Bits of the map of labelled ids: 4 MB.
+LABELLED_BITS = 1 << 25
 #: Bytes of a word, roughly.
 WORD_BYTES = 6
 SEPARATORS = SPACE.copy()
@@ -265,18 +270,26 @@ def fold(id_: Column) -> Column:
 
 
 def _tokens(df: DataFrame, more: str, schema: str) -> DataFrame:
-    """Each row's text (the last column) as its words' table rows, a word in 64 bits."""
+    """Each row's text (the last column) as its words' table rows, a word in 64 bits, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [(rows_of(h).astype(np.int64) << PLACES).sum(1).tobytes() for hashes, counts in each_text(batch.column(batch.num_columns - 1), SEPARATORS, PREFIXES) for h in np.split(hashes, np.cumsum(counts)[:-1])]
+            words = [_packed((rows_of(h).astype(np.int64) << PLACES).sum(1)) for hashes, counts in each_text(batch.column(batch.num_columns - 1), SEPARATORS, PREFIXES) for h in np.split(hashes, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(words, pa.binary())], names=[*more.split(), "words"])
 
     return df.mapInArrow(run, f"{schema}, words binary")
 
 
+def _packed(words: np.ndarray) -> bytes:
+    """Their number and, compressed, the words."""
+    return len(words).to_bytes(8, "little") + pa.compress(words.tobytes(), "zstd", asbytes=True)
+
+
 def _unpacked(words) -> np.ndarray:
-    return ((np.frombuffer(words.as_buffer() or b"", np.int64)[:, None] >> PLACES) & ((1 << ROW_BITS) - 1)).astype(np.int32)
+    """The words' table rows again."""
+    packed = words.as_py()
+    plain = pa.decompress(packed[8:], 8 * int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+    return ((np.frombuffer(plain, np.int64)[:, None] >> PLACES) & ((1 << ROW_BITS) - 1)).astype(np.int32)
 
 
 def _round(rows: DataFrame, net: Network, number: int) -> None:
@@ -351,14 +364,21 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     blocks = min(-(-(total or 1) // (max_words * WORD_BYTES)) or 1, MOST_BLOCKS)
     # blocks of fold 1 follow
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int") + F.when(learnt, 0).otherwise(blocks)
-    one = texts.withColumn("lang", F.coalesce("lang", F.lit(""))).join(chosen.withColumn("lang", F.coalesce("lang", F.lit(""))), ["id", "digest", "lang"])
-    rows = _tokens(one.select(block.alias("block"), F.col("id").cast("string").alias("id"), "lang", "toxic", "text"), "block id lang toxic", "block int, id string, lang string, toxic int")
-    rows = checkpoint(rows.repartition(2 * blocks, "block").sortWithinPartitions("block", F.xxhash64("id", F.lit(seed)), "id"))
+    # both sides are dealt by block, so that the join moves neither again
+    known = chosen.select(block.alias("block"), "id", "toxic", "digest", F.coalesce("lang", F.lit("")).alias("lang")).repartition(2 * blocks, "block")
+    dealt = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int") + F.when(fold(F.col("id")) != 1, 0).otherwise(blocks)
+    labelled = through_bitmap(texts, chosen.select("id"), LABELLED_BITS)
+    moved = labelled.select(dealt.alias("block"), "id", "digest", F.coalesce("lang", F.lit("")).alias("lang"), "text").repartition(2 * blocks, "block")
+    one = moved.join(known, ["block", "id", "digest", "lang"]).select("block", F.col("id").cast("string").alias("id"), "lang", "toxic", "text")
+    one = one.sortWithinPartitions("block", F.xxhash64("id", F.lit(seed)), "id")
+    rows = checkpoint(_tokens(one, "block id lang toxic", "block int, id string, lang string, toxic int"))
+    drop_shuffles(df.sparkSession)
     net = Network(seed)
     net.begin()
     if fits:
         for number in range(EPOCHS):
             _round(rows.where(F.col("block") < blocks).select("block", "id", "toxic", "words"), net, number)
+            drop_shuffles(df.sparkSession)
     thresholds = {}
     judged = _judged(rows.where(F.col("block") >= blocks), net)
     if len(judged):

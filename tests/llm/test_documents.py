@@ -641,3 +641,30 @@ def brute_roots(pairs):
                 root[a] = root[b] = min(root[a], root[b])
                 changed = True
     return root
+
+
+def test_toxicity_moves_labelled_texts_only_and_keeps_words_packed(spark, monkeypatch):
+    rng = random.Random(5)
+    text = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(1500)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(text)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    # the words of a text that repeats itself take less than the 8 bytes each that they have
+    packed = toxicity._tokens(spark.createDataFrame([(1, "some few words " * 500)], "id long, text string"), "id", "id long").first()["words"]
+    assert len(packed) < 8 * 1500 / 4
+    assert len(toxicity._unpacked(toxicity.pa.scalar(bytes(packed)))) == 1500 and len(toxicity._unpacked(toxicity.pa.scalar(toxicity._packed(toxicity.np.zeros(0, "int64"))))) == 0
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    context = spark.sparkContext._jsc.sc()
+    docs.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/labelled-only")
+
+    def moved():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before, threshold = moved(), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        toxicity.train(spark.read.parquet(path), labels)
+    finally:
+        spark.conf.unset(threshold)
+    # the model's rows move too, hence not less
+    assert moved() - before < sum(map(len, text)) / 4
