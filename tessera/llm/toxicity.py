@@ -20,8 +20,8 @@ model over its own texts in small steps, in a task; what the blocks changed is a
 touched it) as sums of integers, so that their order plays no role, and makes the next model. One block is plain training. Calibration
 and thresholds see all of fold 1, as numbers of labels by language and logit (in steps of 1 / ``STEP``). What goes to the driver and back is
 the model, of a bounded size, and these numbers.
-Of the texts, only those whose ids a bitmap of the labelled ones lets through move, once, to the tasks of their blocks, where labels are joined to them and
-words hashed; the hashes are kept compressed. Each round's shuffle goes before the next one.
+Of the texts, only those whose ids a bitmap of the labelled ones lets through move, to their labels and then to the tasks of their blocks, where
+words are hashed; the hashes are kept compressed. Each round's shuffle goes before the next one.
 Every text is scored as a whole, in one scan, without a shuffle.
 
 Defined results: null and empty texts score what a text without words scores;
@@ -364,12 +364,11 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     blocks = min(-(-(total or 1) // (max_words * WORD_BYTES)) or 1, MOST_BLOCKS)
     # blocks of fold 1 follow
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int") + F.when(learnt, 0).otherwise(blocks)
-    # both sides are dealt by block, so that the join moves neither again
-    known = chosen.select(block.alias("block"), "id", "toxic", "digest", F.coalesce("lang", F.lit("")).alias("lang")).repartition(2 * blocks, "block")
-    dealt = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int") + F.when(fold(F.col("id")) != 1, 0).otherwise(blocks)
-    labelled = through_bitmap(texts, chosen.select("id"), LABELLED_BITS)
-    moved = labelled.select(dealt.alias("block"), "id", "digest", F.coalesce("lang", F.lit("")).alias("lang"), "text").repartition(2 * blocks, "block")
-    one = moved.join(known, ["block", "id", "digest", "lang"]).select("block", F.col("id").cast("string").alias("id"), "lang", "toxic", "text")
+    known = chosen.withColumn("lang", F.coalesce("lang", F.lit("")))
+    labelled = through_bitmap(texts, chosen.select("id"), LABELLED_BITS).withColumn("lang", F.coalesce("lang", F.lit("")))
+    one = labelled.join(known, ["id", "digest", "lang"]).select(block.alias("block"), F.col("id").cast("string").alias("id"), "lang", "toxic", "text")
+    # after the join, which would deal them anew where blocks are few: a block is learnt in one task
+    one = one.repartition(2 * blocks, "block")
     one = one.sortWithinPartitions("block", F.xxhash64("id", F.lit(seed)), "id")
     rows = checkpoint(_tokens(one, "block id lang toxic", "block int, id string, lang string, toxic int"))
     drop_shuffles(df.sparkSession)
