@@ -8,7 +8,7 @@ that it has met: a chunk is segmented, and its ids are decoded, once; a text's
 ids and decoded text are joined from that table by the chunks' positions.
 
 The table lives in the Python worker, which later tasks find again, and is emptied
-at ``table_chunks`` entries, so that its memory is bounded and a lost executor
+at ``table_chunks`` entries or ``TABLE_BYTES`` bytes, as chunks have any length, so that its memory is bounded and a lost executor
 costs only its tasks. One table for the
 whole corpus would need a shuffle of every occurrence of every word and of its
 position to bring the ids back; this one moves nothing.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import chain
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Bytes of a worker's table, and what an entry takes besides its text and ids, about.
+TABLE_BYTES, ENTRY_BYTES = 64_000_000, 150
 
 
 def load(model: str):
@@ -73,6 +76,7 @@ class ChunkTable:
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
+        self.held = 0
 
     def grow(self, fresh: list[str]) -> None:
         """Segment the chunks that the table lacks."""
@@ -83,10 +87,12 @@ class ChunkTable:
                 text = " " + text
                 if text != (MARK + chunk).replace(MARK, " "):
                     self.changed[at + i] = text
+                    self.held += getsizeof(text)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))])
+        self.held += sum(map(getsizeof, fresh)) + ENTRY_BYTES * len(fresh) + self.flat.itemsize * int(lengths.sum())
 
     def segment(self, fresh: list[str]) -> list[list[int]]:
         """The ids of each chunk.
@@ -108,7 +114,7 @@ class ChunkTable:
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Ids of all texts end to end, how many each has, and the decoded texts."""
-        if len(self.place) > self.limit:
+        if len(self.place) > self.limit or self.held > TABLE_BYTES:
             self.clear()
         place, fresh, rows = self.place, [], []
         for text in texts:

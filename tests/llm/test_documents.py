@@ -671,3 +671,14 @@ def test_toxicity_moves_labelled_texts_only_and_keeps_words_packed(spark, monkey
     assert sum(held[0]) == 1  # a block lies in one task, though the join has more partitions
     # the model's rows move too, hence not less
     assert moved() - before < sum(map(len, text)) / 4
+
+
+def test_sentencepiece_table_is_bounded_in_bytes(monkeypatch):
+    processor = sentencepiece_codec.load(tokenizer_path())
+    monkeypatch.setattr(sentencepiece_codec, "TABLE_BYTES", 100_000, raising=False)
+    chunks = sentencepiece_codec.ChunkTable(processor, 1_000_000)
+    for k in range(20):
+        text = f"{k}" + "xy" * 10_000 + f" and {k}"
+        ids, n, decoded = chunks.of([text])
+        assert ids.tolist() == processor.encode(text) and n.tolist() == [len(ids)] and decoded == [text]
+        assert sum(map(len, chunks.place)) < 130_000
