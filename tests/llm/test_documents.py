@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -682,3 +683,22 @@ def test_sentencepiece_table_is_bounded_in_bytes(monkeypatch):
         ids, n, decoded = chunks.of([text])
         assert ids.tolist() == processor.encode(text) and n.tolist() == [len(ids)] and decoded == [text]
         assert sum(map(len, chunks.place)) < 130_000
+
+
+def test_ngram_join_moves_postings_between_components_once_by_token(spark):
+    rows = spark.createDataFrame([(i, 9, 1, t) for i in range(6) for t in (i % 2, 7)], "id long, n long, matches int, token long")
+    sketches = spark.createDataFrame([(i, 9, [0] * 8) for i in range(6)], "id long, n long, sketch array<bigint>")
+    roots = spark.createDataFrame([(i, i % 2) for i in range(6)], "id long, root long")
+    found = ngram_join._between(rows, sketches, roots)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(token") == 1
+    got = {(r["id"], r["n"], r["token"], r["root"], r["least"], r["rows"], r["few"], r["many"]) for r in found.collect()}
+    assert got == {(i, 9, 7, i % 2, 0, 6, 1, 0) for i in range(6)}
+
+
+def test_ngram_join_removes_tables_that_are_read_no_more(docs, monkeypatch):
+    made = {}
+    real = ngram_join.scratch
+    monkeypatch.setattr(ngram_join, "scratch", lambda spark, label: made.setdefault((label, len(made)), real(spark, label)))
+    ngram_join.similarity_join(docs)[0].count()
+    left = {label for (label, _), path in made.items() if Path(path.removeprefix("file://")).exists()}
+    assert "members" in left and not left & {"outline", "postings", "between"}
