@@ -702,3 +702,22 @@ def test_ngram_join_removes_tables_that_are_read_no_more(docs, monkeypatch):
     ngram_join.similarity_join(docs)[0].count()
     left = {label for (label, _), path in made.items() if Path(path.removeprefix("file://")).exists()}
     assert "members" in left and not left & {"outline", "postings", "between"}
+
+
+def test_few_pairs_and_links_take_few_jobs(spark, monkeypatch):
+    import sys
+
+    module, made = sys.modules["tessera.llm.components"], []
+    real = module.checkpoint
+    monkeypatch.setattr(module, "checkpoint", lambda *args: made.append(1) or real(*args))
+    pairs = [(i * 37 % 401, (i + 1) * 37 % 401) for i in range(400)]
+    found = {r["id"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert found == brute_roots(pairs)
+    # the links and four jobs of three rounds each; with a checkpoint for each round there were 11
+    assert len(made) <= 5
+    # few pairs go to the texts and so need neither a bitmap nor a join for each side; repeated rows, nulls and missing ids do no harm
+    monkeypatch.setattr(ngram_join, "through_bitmap", None)
+    texts = {1: "a b c d e f", 2: "A b c d e f", 3: "a b c d e g", 4: None, 5: ""}
+    table = spark.createDataFrame([*texts.items(), (1, texts[1])], "id long, text string")
+    tried = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4), (4, 5), (2, 9)], "a long, b long")
+    assert {tuple(r) for r in ngram_join.verified(tried, table, 75).collect()} == {(1, 2)}
